@@ -2,7 +2,8 @@
 
 Three variants exist on purpose: ``phone_e164`` (mobile prefix list),
 ``phone_series`` (any 03..09 number) and ``phone_loose`` (identity files, any
-number of ten digits or more).
+number of ten digits or more).  Each is a chain of regular expressions that
+uses its input once, so that the generated code stays small.
 """
 
 from pyspark.sql import Column
@@ -10,68 +11,50 @@ from pyspark.sql import functions as F
 
 from leadloom import dictionaries as D
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_EXPONENT = "([eE][+-]?[0-9]+)"
+_FLOAT_TEXT = rf"^[+-]?(([0-9]+\.[0-9]*|\.[0-9]+){_EXPONENT}?|[0-9]+{_EXPONENT})$"
+_SIGNED_EXPONENT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-][0-9]+$"
 
 
-def _spreadsheet_number(text: Column, is_candidate: Column) -> Column:
+def _whole_number(text: Column, form: str) -> Column:
     """Undo the float / scientific text of spreadsheet cells: 9.1E+08 -> 910000000."""
-    whole = text.try_cast("double").try_cast("bigint").cast("string")
-    return F.when(is_candidate & text.rlike(_NUMBER), F.coalesce(whole, F.lit(""))).otherwise(text)
+    whole = F.coalesce(text.try_cast("double").try_cast("bigint").cast("string"), F.lit(""))
+    return F.when(text.rlike(form), whole).otherwise(text)
 
 
-def _dialable(text: Column) -> Column:
-    """Digits without country code, still unchecked."""
-    digits = F.regexp_replace(F.regexp_replace(text, "[^0-9+]", ""), r"^\+", "")
-    return (
-        F.when(digits.startswith("84") & (F.length(digits) == 11),
-               F.concat(F.lit("0"), F.substring(digits, 3, 20)))
-        .when(F.length(digits) == 9, F.concat(F.lit("0"), digits))
-        .otherwise(digits)
-    )
+def mobile_body(phone: Column, prefixes: list[str] | None = None) -> Column:
+    """Nine national digits of a valid mobile number, else null."""
+    start = "|".join(p[1:] for p in prefixes or D.MOBILE_PREFIXES)
+    digits = F.regexp_replace(_whole_number(F.trim(phone.cast("string")), _FLOAT_TEXT), "[^0-9+]", "")
+    return F.nullif(F.regexp_extract(digits, rf"^\+?(?:84|0)?((?:{start})[0-9]{{7}})$", 1), F.lit(""))
 
 
 def phone_e164(phone: Column, prefixes: list[str] | None = None) -> Column:
     """+84 and nine digits, or null when it is no valid mobile number."""
-    text = F.trim(phone.cast("string"))
-    number = _dialable(_spreadsheet_number(text, text.rlike("[eE.]")))
-    valid = number.rlike("^0[0-9]{9}$") & F.substring(number, 1, 3).isin(
-        prefixes or D.MOBILE_PREFIXES)
-    return F.when(valid, F.concat(F.lit("+84"), F.substring(number, 2, 9)))
-
-
-def e164_to_local(e164: Column) -> Column:
-    return F.concat(F.lit("0"), F.substring(e164, 4, 9))
+    return F.concat(F.lit("+84"), mobile_body(phone, prefixes))
 
 
 def phone_local(phone: Column) -> Column:
     """0 and nine digits, or null."""
-    return e164_to_local(phone_e164(phone))
+    return F.concat(F.lit("0"), mobile_body(phone))
 
 
 def phone_valid(phone: Column) -> Column:
-    return phone_e164(phone).isNotNull()
+    return mobile_body(phone).isNotNull()
 
 
 def phone_series(phone: Column) -> Column:
     """Column variant without a prefix list; signed exponents only."""
-    text = F.trim(F.coalesce(phone.cast("string"), F.lit("")))
-    text = _spreadsheet_number(text, text.rlike("[Ee][+-][0-9]+"))
-    digits = F.regexp_replace(F.regexp_replace(text, "[^0-9+]", ""), r"^\+", "")
-    local = (
-        F.when(digits.rlike("^84[0-9]{9}$"), F.concat(F.lit("0"), F.substring(digits, 3, 9)))
-        .when(digits.rlike("^[3-9][0-9]{8}$"), F.concat(F.lit("0"), digits))
-        .otherwise(digits)
-    )
-    return F.when(local.rlike("^0[3-9][0-9]{8}$"), local)
+    digits = F.regexp_replace(_whole_number(F.trim(phone.cast("string")), _SIGNED_EXPONENT), "[^0-9+]", "")
+    body = F.regexp_extract(digits, r"^\+?(?:84|0)?([3-9][0-9]{8})$", 1)
+    return F.concat(F.lit("0"), F.nullif(body, F.lit("")))
 
 
 def phone_loose(phone: Column) -> Column:
     """Identity variant: digits only, anything of ten digits or more is kept."""
     digits = F.regexp_replace(phone.cast("string"), "[^0-9]", "")
-    digits = F.when(digits.startswith("84") & (F.length(digits) > 10),
-                    F.concat(F.lit("0"), F.substring(digits, 3, 10**6))).otherwise(digits)
-    digits = F.when(F.length(digits) == 9, F.concat(F.lit("0"), digits)).otherwise(digits)
-    return F.when(F.length(digits) >= 10, digits)
+    local = F.regexp_replace(F.regexp_replace(digits, "^84(?=[0-9]{9})", "0"), "^([0-9]{9})$", "0$1")
+    return F.nullif(F.regexp_extract(local, "^[0-9]{10,}$", 0), F.lit(""))
 
 
 def phone_audience(phone: Column) -> Column:
@@ -81,34 +64,25 @@ def phone_audience(phone: Column) -> Column:
 
 def phone_join_key(phone: Column) -> Column:
     """One key for 0xxx and +84xxx numbers."""
-    text = F.trim(F.coalesce(phone, F.lit("")))
-    key = F.when(text.startswith("0"), F.concat(F.lit("+84"), F.substring(text, 2, 20))).otherwise(text)
-    return F.when(key != "", key)
+    return F.nullif(F.regexp_replace(F.trim(phone), "^0", "+84"), F.lit(""))
 
 
 def lookup_text(query: Column) -> Column:
     """Search text as typed -> canonical phone, other text without dots and blanks."""
     bare = F.regexp_replace(F.trim(query), "[. ]", "")
-    numeric = bare.rlike("^[0-9]+$") | bare.startswith("+")
-    digits = F.regexp_replace(bare, r"^\+", "")
-    local = (
-        F.when(digits.startswith("84") & (F.length(digits) == 11),
-               F.concat(F.lit("0"), F.substring(digits, 3, 20)))
-        .when(F.length(digits) == 9, F.concat(F.lit("0"), digits))
-        .otherwise(digits)
-    )
-    return F.when(numeric, local).otherwise(bare)
+    local = F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        bare, r"^\+", ""), "^84(?=.{9}$)", "0"), "^(.{9})$", "0$1")
+    return F.when(bare.rlike(r"^(\+.*|[0-9]+)$"), local).otherwise(bare)
 
 
 def province_from_phone(phone: Column, codes: dict[str, str] | None = None) -> Column:
     """Province of a landline number; four-digit codes win over three-digit ones."""
+    codes = codes or D.LANDLINE_PROVINCE
     digits = F.regexp_replace(F.coalesce(phone.cast("string"), F.lit("")), "[^0-9]", "")
-    digits = F.when(digits.startswith("84") & (F.length(digits) == 11),
-                    F.concat(F.lit("0"), F.substring(digits, 3, 20))).otherwise(digits)
-    digits = F.when(digits.startswith("0"), digits).otherwise(F.concat(F.lit("0"), digits))
-    table = F.create_map(*[F.lit(x) for kv in (codes or D.LANDLINE_PROVINCE).items() for x in kv])
-    return F.coalesce(F.element_at(table, F.substring(digits, 1, 4)),
-                      F.element_at(table, F.substring(digits, 1, 3)), F.lit("Unknown"))
+    local = F.regexp_replace(F.regexp_replace(digits, "^84(?=[0-9]{9}$)", "0"), "^(?!0)", "0")
+    longest_first = "|".join(sorted(codes, key=lambda code: (-len(code), code)))
+    table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    return F.coalesce(F.element_at(table, F.regexp_extract(local, f"^({longest_first})", 1)), F.lit("Unknown"))
 
 
 def phones_in_text(text: Column) -> Column:
@@ -119,12 +93,14 @@ def phones_in_text(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(found, phone_e164)))
 
 
-def phones_in_html(html: Column, keep: int = 10) -> Column:
-    """Numbers of ``tel:`` links, then of the visible text; at most ``keep`` per page."""
+def html_body(html: Column) -> Column:
+    """Markup without its script, style, nav and footer elements."""
     body = F.coalesce(html, F.lit(""))
-    for tag in ("script", "style", "nav", "footer"):
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    return F.regexp_replace(body, r"(?is)<(script|style|nav|footer)\b[^>]*>.*?</\1>", " ")
+
+
+def phones_in_body(body: Column, keep: int = 10) -> Column:
+    """Numbers of ``tel:`` links, then of the visible text; at most ``keep`` per page."""
     hrefs = F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*?href\s*=\s*[\"']tel:([^\"']*)[\"']"), F.lit(1))
-    linked = F.array_compact(F.transform(hrefs, phone_e164))
     visible = F.regexp_replace(body, r"(?s)<[^>]*>", " ")
-    return F.slice(F.array_union(linked, phones_in_text(visible)), 1, keep)
+    return F.slice(F.array_union(F.array_compact(F.transform(hrefs, phone_e164)), phones_in_text(visible)), 1, keep)

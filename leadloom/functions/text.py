@@ -1,6 +1,6 @@
 """Names, e-mails, addresses, file names and keyword tests as Column expressions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import dictionaries as D
@@ -10,8 +10,7 @@ _EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+$"
 
 def blank_to_null(value: Column) -> Column:
     """Null for blanks and the text 'nan' that empty cells leave behind."""
-    text = F.trim(value.cast("string"))
-    return F.when((text != "") & (F.lower(text) != "nan"), text)
+    return F.nullif(F.regexp_replace(F.trim(value.cast("string")), "(?i)^nan$", ""), F.lit(""))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -35,7 +34,8 @@ def email_valid(email: Column) -> Column:
 
 
 def email_clean(email: Column) -> Column:
-    return F.when(email_valid(email), F.lower(F.trim(email)))
+    """Lower-cased address, null when it is no valid one."""
+    return F.nullif(F.lower(F.regexp_extract(F.trim(email), _EMAIL, 0)), F.lit(""))
 
 
 def name_clean(name: Column) -> Column:
@@ -69,14 +69,24 @@ def uid_extract(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), "([0-9]{9,})", 1), F.lit(""))
 
 
-def province_from_text(address: Column, file_name: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", F.coalesce(address, F.lit("")), F.coalesce(file_name, F.lit(""))))
-    hit = F.lit(None).cast("string")
-    branches = [(contains_any(text, words), label) for label, words in D.PROVINCE_PRIORITY]
-    branches += [(text.contains(n.lower()), D.PROVINCE_ALIASES.get(n, n)) for n in D.PROVINCE_NAMES]
+def place_text(address: Column, file_name: Column) -> Column:
+    """Text searched for a province; compute it once as a column of its own."""
+    return F.lower(F.concat_ws(" ", F.coalesce(address, F.lit("")), F.coalesce(file_name, F.lit(""))))
+
+
+def province_in(place: Column) -> Column:
+    """Province named in a ``place_text`` column."""
+    hit = F.lit("Unknown")
+    branches = [(place.rlike("|".join(words)), label) for label, words in D.PROVINCE_PRIORITY]
+    branches += [(place.contains(n.lower()), D.PROVINCE_ALIASES.get(n, n)) for n in D.PROVINCE_NAMES]
     for cond, label in reversed(branches):
         hit = F.when(cond, F.lit(label)).otherwise(hit)
-    return F.coalesce(hit, F.lit("Unknown"))
+    return hit
+
+
+def with_province(rows: DataFrame, address: Column, file_name: Column, alias: str = "province") -> DataFrame:
+    return (rows.withColumn("_place", place_text(address, file_name))
+            .withColumn(alias, province_in(F.col("_place"))).drop("_place"))
 
 
 def source_from_content(*cells: Column) -> Column:
@@ -84,7 +94,7 @@ def source_from_content(*cells: Column) -> Column:
     text = F.lower(F.concat_ws(" ", *cells))
     out = F.lit("Unknown")
     for label, words in reversed(D.SOURCE_WORDS):
-        out = F.when(contains_any(text, words), F.lit(label)).otherwise(out)
+        out = F.when(text.rlike("|".join(words)), F.lit(label)).otherwise(out)
     return out
 
 
@@ -98,29 +108,37 @@ def url_domain(url: Column) -> Column:
     return F.replace(F.try_parse_url(url, F.lit("HOST")), F.lit("www."), F.lit(""))
 
 
-def file_tier(file_name: Column, tiers: list | None = None) -> Column:
-    """struct(tier, weight, label, confidence, matched) of a file name.
+def classify_files(files: DataFrame, tiers: list | None = None) -> DataFrame:
+    """Tier, weight, label, confidence and number of matching patterns per file name.
 
-    The tier of the highest weight with at least one matching pattern wins; of
-    two equal weights the earlier one.
+    The tier of the highest weight with a matching pattern wins; of two equal
+    weights the earlier one.
     """
     tiers = tiers or D.TIERS
+    name = F.col("file_name")
+    counted = files
+    for i, (_, _, _, _, patterns) in enumerate(tiers):
+        counted = counted.withColumn(f"_n{i}", sum(
+            (name.rlike("(?iu)" + p).cast("int") for p in patterns), F.lit(0)))
     by_weight = sorted(range(len(tiers)), key=lambda i: (-tiers[i][1], i))
-    none = D.UNKNOWN_TIER
-    out = F.struct(F.lit(none[0]).alias("tier"), F.lit(none[1]).alias("weight"),
-                   F.lit(none[2]).alias("label"), F.lit(0.0).alias("confidence"),
-                   F.lit(0).alias("matched"))
-    for i in reversed(by_weight):
-        tier, weight, label, _, patterns = tiers[i]
-        hits = F.lit(0)
-        for pattern in patterns:
-            hits = hits + file_name.rlike("(?iu)" + pattern).cast("int")
-        confidence = F.round(F.least(F.lit(1.0), F.lit(0.70) + (hits - 1) * F.lit(0.15))
-                             .cast("decimal(10,4)"), 2).cast("double")
-        out = F.when(hits > 0, F.struct(
-            F.lit(tier).alias("tier"), F.lit(weight).alias("weight"), F.lit(label).alias("label"),
-            confidence.alias("confidence"), hits.alias("matched"))).otherwise(out)
-    return out
+
+    def pick(value, default):
+        out = F.lit(default)
+        for i in reversed(by_weight):
+            out = F.when(F.col(f"_n{i}") > 0, value(i)).otherwise(out)
+        return out
+
+    unknown = D.UNKNOWN_TIER
+    share = F.least(F.lit(1.0), F.lit(0.70) + (F.col("matched") - 1) * F.lit(0.15))
+    return (
+        counted.withColumn("tier", pick(lambda i: F.lit(tiers[i][0]), unknown[0]))
+        .withColumn("weight", pick(lambda i: F.lit(tiers[i][1]), unknown[1]))
+        .withColumn("label", pick(lambda i: F.lit(tiers[i][2]), unknown[2]))
+        .withColumn("matched", pick(lambda i: F.col(f"_n{i}"), 0))
+        .withColumn("confidence", F.when(F.col("matched") == 0, F.lit(0.0)).otherwise(
+            F.round(share.cast("decimal(10,4)"), 2).cast("double")))
+        .drop(*[f"_n{i}" for i in range(len(tiers))])
+    )
 
 
 def tier_code(tier: Column) -> Column:
@@ -142,7 +160,7 @@ def file_category(file_name: Column) -> Column:
     low = F.lower(file_name)
     out = F.lit(D.FILE_UNCATEGORISED)
     for label, words in reversed(D.FILE_CATEGORIES):
-        out = F.when(contains_any(low, words), F.lit(label)).otherwise(out)
+        out = F.when(low.rlike("|".join(words)), F.lit(label)).otherwise(out)
     return out
 
 

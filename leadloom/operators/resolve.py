@@ -17,29 +17,29 @@ STATUSES = ("valid", "duplicate", "missing_contact", "invalid_phone")
 
 def clean(raw: DataFrame) -> DataFrame:
     """Cleaned columns next to the raw ones; one row per input row."""
-    e164 = P.phone_e164(F.col("raw_phone"))
     return (
-        raw.withColumn("e164", e164)
-        .withColumn("phone", P.e164_to_local(F.col("e164")))
+        raw.withColumn("_body", P.mobile_body(F.col("raw_phone")))
+        .withColumn("e164", F.concat(F.lit("+84"), F.col("_body")))
+        .withColumn("phone", F.concat(F.lit("0"), F.col("_body")))
         .withColumn("email", T.email_clean(F.col("raw_email")))
         .withColumn("name", T.name_clean(F.col("raw_name")))
         .withColumn("address", F.coalesce(T.blank_to_null(F.col("raw_address")), F.lit("")))
         .withColumn("uid", F.coalesce(T.blank_to_null(F.col("raw_uid")), F.lit("")))
         .withColumn("link", F.coalesce(T.blank_to_null(F.col("raw_link")), F.lit("")))
+        .drop("_body")
     )
 
 
-def reject_status() -> Column:
-    """Row-level reject reason; null for rows that can be leads."""
-    has_phone = T.blank_to_null(F.col("raw_phone")).isNotNull()
-    return (F.when(has_phone & F.col("phone").isNull(), "invalid_phone")
-            .when(~has_phone & F.col("email").isNull(), "missing_contact"))
-
-
 def lead_keys(cleaned: DataFrame) -> DataFrame:
-    """Adds ``reject`` and ``lead_key`` (phone, else e-mail; null when rejected)."""
-    return cleaned.withColumn("reject", reject_status()).withColumn(
-        "lead_key", F.when(F.col("reject").isNull(), F.coalesce("phone", "email")))
+    """Adds ``lead_key`` (phone; the e-mail of rows without a phone text) and ``reject``.
+
+    The key is null for rejected rows: an invalid phone text, or no contact at all.
+    """
+    has_phone = F.coalesce(F.trim("raw_phone").rlike("(?i)^(?!nan$).+"), F.lit(False))
+    key = F.coalesce(F.col("phone"), F.when(~has_phone, F.col("email")))
+    reject = F.when(F.col("phone").isNotNull(), None).when(has_phone, "invalid_phone").when(
+        F.col("email").isNull(), "missing_contact")
+    return cleaned.withColumns({"lead_key": key, "reject": reject})
 
 
 def history_keys(contacts: DataFrame) -> DataFrame:
@@ -88,9 +88,9 @@ def rejects(marked: DataFrame) -> DataFrame:
 
 def new_leads(marked: DataFrame) -> DataFrame:
     """Accepted rows in the canonical layout."""
-    return marked.filter("status = 'valid'").select(
-        "name", "phone", "email", "address",
-        T.province_from_text(F.col("address"), F.col("file_name")).alias("province"),
+    valid = T.with_province(marked.filter("status = 'valid'"), F.col("address"), F.col("file_name"))
+    return valid.select(
+        "name", "phone", "email", "address", "province",
         F.coalesce(T.blank_to_null(F.col("raw_source")),
                    T.source_from_content(F.col("raw_name"), F.col("raw_email"), F.col("raw_address"),
                                          F.col("raw_note"), F.col("raw_link"), F.col("file_name"))
@@ -102,11 +102,10 @@ def new_leads(marked: DataFrame) -> DataFrame:
 
 def ingest_stats(marked: DataFrame) -> DataFrame:
     """Counts per file, and the total in the row without a file."""
-    province = T.province_from_text(F.col("address"), F.col("file_name"))
-    per_file = marked.groupBy("file_name").agg(
+    per_file = T.with_province(marked, F.col("address"), F.col("file_name")).groupBy("file_name").agg(
         F.count("*").alias("total_rows"),
         *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
-        F.count_if((F.col("status") == "valid") & (province == "Unknown")).alias("unclassified"))
+        F.count_if((F.col("status") == "valid") & (F.col("province") == "Unknown")).alias("unclassified"))
     sums = ["total_rows", *STATUSES, "unclassified"]
     return per_file.rollup("file_name").agg(*[F.sum(c).alias(c) for c in sums])
 
@@ -114,8 +113,8 @@ def ingest_stats(marked: DataFrame) -> DataFrame:
 def with_tier(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Tier and weight of each row's file, classified once per file."""
     files = rows.select("file_name").distinct() if files is None else files
-    tiers = files.select("file_name", T.file_tier(F.col("file_name")).alias("t")).select(
-        "file_name", F.col("t.tier").alias("source_tier"), F.col("t.weight").alias("source_weight"))
+    tiers = T.classify_files(files.select("file_name")).select(
+        "file_name", F.col("tier").alias("source_tier"), F.col("weight").alias("source_weight"))
     return rows.join(tiers, "file_name", "left")
 
 

@@ -98,17 +98,16 @@ def rfm_segment(score: Column) -> Column:
 
 def rescore(contacts: DataFrame, as_of: str) -> DataFrame:
     """All stored scores of the golden contacts in one select, no shuffle."""
-    return (
+    return T.with_province(
         unified_score(contacts, as_of)
         .withColumn("legacy_score", legacy_score(F.col("unified_score")))
         .withColumn("rfm_score", rfm(F.col("source_count"), F.col("source_weight"),
                                      F.col("latest_file_date"), as_of))
         .withColumn("rfm_segment", rfm_segment(F.col("rfm_score")))
         .withColumn("province_phone", P.province_from_phone(F.col("phone")))
-        .withColumn("province", T.province_from_text(F.col("address"), F.col("file_source")))
         .withColumn("score", contact_score(F.col("phone"), F.col("email"), F.col("address"),
-                                           F.lit("Unknown"), F.col("file_source"), F.col("note")))
-    )
+                                           F.lit("Unknown"), F.col("file_source"), F.col("note"))),
+        F.col("address"), F.col("file_source"))
 
 
 def lead_score(phone: Column, uid: Column, email: Column, cluster: Column, fb: Column,

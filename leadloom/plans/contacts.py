@@ -75,8 +75,13 @@ _column("cln11_lookup_text",
 _column("map3_name_compose",
         f"coalesce({O.filled('raw_name')}, nullif(trim(concat_ws(' ', {O.filled('raw_note')}, {O.filled('raw_source')})), ''))")(
     lambda: T.name_compose(c("raw_name"), c("raw_source"), c("raw_note")))
-_column("txt1_province_text", O.province("raw_address", "file_name"))(
-    lambda: T.province_from_text(c("raw_address"), c("file_name")))
+
+
+@query("txt1_province_text", f"SELECT row_id, {O.province('raw_address', 'file_name')} AS province FROM {{v_raw_contacts}}")
+def txt1_province_text(spark, sf):
+    return T.with_province(raw(spark, sf), c("raw_address"), c("file_name")).select("row_id", "province")
+
+
 _column("txt2_province_phone", O.province_phone("raw_phone"))(lambda: P.province_from_phone(c("raw_phone")))
 _column("txt3_source_infer", O.source("concat_ws(' ', raw_name, raw_note, raw_source, raw_link, file_name)"))(
     lambda: T.source_from_content(c("raw_name"), c("raw_note"), c("raw_source"), c("raw_link"), c("file_name")))
@@ -116,8 +121,8 @@ SELECT row_id, tier, CAST(weight AS DOUBLE) AS weight, label, CAST(n AS INTEGER)
 FROM {{v_raw_contacts}} JOIN {{o_file_tier}} USING (file_name)""")
 def txt4_file_tier(spark, sf):
     rows = raw(spark, sf)
-    tiers = rows.select("file_name").distinct().withColumn("t", T.file_tier(c("file_name")))
-    return rows.join(tiers, "file_name").select("row_id", "t.*")
+    tiers = T.classify_files(rows.select("file_name").distinct())
+    return rows.join(tiers, "file_name").select("row_id", "tier", "weight", "label", "matched", "confidence")
 
 
 @query("txt6_file_category", f"""
@@ -224,18 +229,20 @@ def set4_member_minus(spark, sf):
     return R.unseen(keys, history(spark, sf))
 
 
+O.cte("lead", "SELECT * FROM {o_marked} JOIN {o_file_tier} USING (file_name) WHERE status = 'valid' AND phone IS NOT NULL")
+O.cte("dup", "SELECT * FROM {o_marked} JOIN {o_file_tier} USING (file_name) WHERE status = 'duplicate' AND phone IS NOT NULL")
+
+
 @query("join2_dup_merge", """
-WITH lead AS (SELECT * FROM {o_marked} JOIN {o_file_tier} USING (file_name) WHERE status = 'valid' AND phone IS NOT NULL),
-dup AS (SELECT * FROM {o_marked} JOIN {o_file_tier} USING (file_name) WHERE status = 'duplicate' AND phone IS NOT NULL),
-e AS (SELECT phone, arg_min(name, rn) FILTER (WHERE name <> '') AS n_name, arg_min(email, rn) FILTER (WHERE email <> '') AS n_email,
+SELECT * FROM (WITH e AS (SELECT phone, arg_min(name, rn) FILTER (WHERE name <> '') AS n_name, arg_min(email, rn) FILTER (WHERE email <> '') AS n_email,
              arg_min(uid, rn) FILTER (WHERE uid <> '') AS n_uid, arg_min(link, rn) FILTER (WHERE link <> '') AS n_link,
-             arg_min(tier, rn - CAST(weight * 100 AS BIGINT) * 1000000000000) AS n_tier, max(weight) AS n_weight FROM dup GROUP BY phone),
-m AS (SELECT d.phone, count(DISTINCT d.file_name) AS n FROM dup d JOIN lead l ON d.phone = l.phone AND d.file_name <> l.file_name GROUP BY d.phone)
+             arg_min(tier, rn - CAST(weight * 100 AS BIGINT) * 1000000000000) AS n_tier, max(weight) AS n_weight FROM {dup} GROUP BY phone),
+m AS (SELECT d.phone, count(DISTINCT d.file_name) AS n FROM {dup} d JOIN {lead} l ON d.phone = l.phone AND d.file_name <> l.file_name GROUP BY d.phone)
 SELECT l.phone, coalesce(nullif(l.name, ''), n_name, '') AS name, coalesce(nullif(l.email, ''), n_email, '') AS email,
        coalesce(nullif(l.uid, ''), n_uid, '') AS uid, coalesce(nullif(l.link, ''), n_link, '') AS link,
        CASE WHEN n_weight > l.weight THEN n_tier ELSE l.tier END AS source_tier,
        CAST(CASE WHEN n_weight > l.weight THEN n_weight ELSE l.weight END AS DOUBLE) AS source_weight, 1 + coalesce(m.n, 0) AS source_count
-FROM lead l LEFT JOIN e ON l.phone = e.phone LEFT JOIN m ON l.phone = m.phone""")
+FROM {lead} l LEFT JOIN e ON l.phone = e.phone LEFT JOIN m ON l.phone = m.phone)""")
 def join2_dup_merge(spark, sf):
     marked = R.mark_status(keyed(spark, sf))
     stored = R.with_tier(marked.filter("status = 'valid' AND phone IS NOT NULL")).withColumn(

@@ -120,8 +120,11 @@ def age_steps(days, table, older):
 
 
 def ge_steps(x, table, below):
-    return "(CASE " + " ".join(f"WHEN {x} >= {b} THEN {s if isinstance(s, float) else lit(s)}" for b, s in table) + \
-        f" ELSE {below if isinstance(below, float) else lit(below)} END)"
+    def const(v):
+        return f"{v}e0" if isinstance(v, float) else lit(v)
+
+    return ("(CASE " + " ".join(f"WHEN {x} >= {b} THEN {const(s)}" for b, s in table)
+            + f" ELSE {const(below)} END)")
 
 
 def grade(x):

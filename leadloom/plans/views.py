@@ -15,15 +15,14 @@ BASE = ("region nation customer supplier part orders lineitem events documents e
 
 
 def _pick(index: str, values: list[str]) -> str:
-    """CASE expression choosing the index-th text."""
-    quoted = ["'" + v.replace("'", "''") + "'" for v in values]
-    return ("CASE " + " ".join(f"WHEN {index} = {i} THEN {v}" for i, v in enumerate(quoted[:-1]))
-            + f" ELSE {quoted[-1]} END")
+    """The index-th text of a list."""
+    joined = "|".join(values).replace("'", "''")
+    return f"split_part('{joined}', '|', CAST({index} AS INT) + 1)"
 
 
 def _phone(key: str) -> str:
-    prefix = _pick(f"({key}) % 6", ["091", "032", "070", "086", "024", "099"])
-    return f"({prefix} || lpad(CAST((({key}) * 7919) % 10000000 AS STRING), 7, '0'))"
+    return (f"(substr('091032070086024099', CAST(({key}) % 6 AS INT) * 3 + 1, 3)"
+            f" || lpad(CAST((({key}) * 7919) % 10000000 AS STRING), 7, '0'))")
 
 
 FILE_NAMES = [
@@ -48,8 +47,7 @@ PHRASES = [
 ]
 TIER_NAMES = ["WINNER", "SCALING", "STABLE", "DECLINING", "POOR", "TESTING"]
 
-_ok, _ck = "o.o_orderkey", "o.o_custkey"
-_b = _phone(_ck)
+_ok, _ck, _b = "o_orderkey", "o_custkey", "b"
 
 VIEWS = {
     "v_raw_contacts": f"""
@@ -58,24 +56,17 @@ SELECT {_ok} AS row_id,
        {_ok} AS pos,
        CASE WHEN {_ok} % 23 = 0 THEN 'nan' WHEN {_ok} % 19 = 0 THEN ''
             WHEN {_ok} % 4 = 0 THEN 'nguyễn  văn an ' || CAST({_ck} AS STRING)
-            WHEN {_ok} % 4 = 1 THEN 'TRẦN THỊ ' || upper(c.c_name)
-            ELSE c.c_name END AS raw_name,
+            WHEN {_ok} % 4 = 1 THEN 'TRẦN THỊ ' || upper(c_name)
+            ELSE c_name END AS raw_name,
        CASE WHEN {_ok} % 29 = 0 THEN NULL WHEN {_ok} % 31 = 0 THEN '' WHEN {_ok} % 37 = 0 THEN 'nan'
-            WHEN {_ok} % 41 = 0 THEN substr({_b}, 2, 1) || '.' || substr({_b}, 3, 8) || 'E+08'
-            WHEN {_ok} % 43 = 0 THEN substr({_b}, 1, 4) || '.' || substr({_b}, 5, 6)
-            WHEN {_ok} % 8 = 0 THEN {_b}
-            WHEN {_ok} % 8 = 1 THEN '84' || substr({_b}, 2, 9)
-            WHEN {_ok} % 8 = 2 THEN '+84' || substr({_b}, 2, 9)
-            WHEN {_ok} % 8 = 3 THEN substr({_b}, 1, 4) || ' ' || substr({_b}, 5, 3) || ' ' || substr({_b}, 8, 3)
-            WHEN {_ok} % 8 = 4 THEN substr({_b}, 1, 4) || '-' || substr({_b}, 5, 3) || '-' || substr({_b}, 8, 3)
-            WHEN {_ok} % 8 = 5 THEN substr({_b}, 2, 9)
-            WHEN {_ok} % 8 = 6 THEN substr({_b}, 2, 9) || '.0'
-            ELSE substr({_b}, 1, 4) || '.' || substr({_b}, 5, 3) || '.' || substr({_b}, 8, 3) END AS raw_phone,
+            ELSE {_pick('fmt', ['0', '84', '+84', '0', '0', '', '', '0', '0', ''])} || substr(b, 2, 2)
+                 || {_pick('fmt', ['', '', '', ' ', '-', '', '', '..', '.', '.'])} || substr(b, 4, 7)
+                 || {_pick('fmt', ['', '', '', '', ' ', '', '.0', '', '', 'E+07'])} END AS raw_phone,
        CASE WHEN {_ok} % 17 = 0 THEN 'not an address'
             WHEN {_ck} % 5 < 2 AND {_ok} % 3 = 0 THEN ' USER' || CAST({_ck} AS STRING) || '@Mail.Example.com'
             WHEN {_ck} % 5 < 2 THEN 'user' || CAST({_ck} AS STRING) || '@mail.example.com'
             WHEN {_ok} % 11 = 0 THEN 'nan' ELSE '' END AS raw_email,
-       {_pick('(n.n_nationkey + ' + _ok + ' % 2) % 12', ADDRESSES)} AS raw_address,
+       {_pick('(n_nationkey + ' + _ok + ' % 2) % 12', ADDRESSES)} AS raw_address,
        CASE WHEN {_ok} % 6 = 0 THEN 'Zalo ads' WHEN {_ok} % 6 = 1 THEN 'facebook' ELSE '' END AS raw_source,
        CASE WHEN {_ok} % 10 = 0 THEN 'Spring' ELSE '' END AS raw_campaign,
        CASE WHEN {_ok} % 7 = 0 THEN 'Quan tâm biệt thự' WHEN {_ok} % 7 = 1 THEN 'cần tư vấn vay'
@@ -83,9 +74,11 @@ SELECT {_ok} AS row_id,
        CASE WHEN {_ck} % 3 = 0 THEN '1000' || lpad(CAST({_ck} AS STRING), 11, '0') ELSE 'nan' END AS raw_uid,
        CASE WHEN {_ck} % 3 = 0 AND {_ok} % 2 = 0
             THEN 'https://facebook.com/1000' || lpad(CAST({_ck} AS STRING), 11, '0') ELSE '' END AS raw_link,
-       CAST(o.o_orderdate AS DATE) AS file_date
-FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey
-JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey""",
+       CAST(o_orderdate AS DATE) AS file_date
+FROM (SELECT o_orderkey, o_custkey, o_orderdate, c_name, n_nationkey, {_phone('o_custkey')} AS b,
+             CASE WHEN o_orderkey % 41 = 0 THEN 9 WHEN o_orderkey % 43 = 0 THEN 8 ELSE o_orderkey % 8 END AS fmt
+      FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey
+      JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey) t""",
 
     "v_interactions": f"""
 SELECT event_id,
@@ -189,15 +182,14 @@ SELECT page_id, url AS page_url,
        'https://www.' || {_pick('page_id % 9', D.LISTING_DOMAINS + ['example.org', 'm.example.com'])}
            || '/tin/' || CAST(page_id AS STRING) AS link,
        'Bán nhà ' || CAST(page_id AS STRING) AS title,
-       CASE WHEN page_id % 3 = 0 THEN 'Liên hệ 0'
-            WHEN page_id % 3 = 1 THEN 'Gọi 84' ELSE 'Zalo +84 ' END
-           || {_pick('page_id % 3', ['', 'x', ''])} || substr({_phone('page_id')}, 2, 3) || '-'
-           || substr({_phone('page_id')}, 5, 3) || ' ' || substr({_phone('page_id')}, 8, 3)
-           || ' - 0' || substr({_phone('page_id + 7')}, 2, 9) AS snippet,
+       {_pick('page_id % 3', ['Liên hệ 0', 'Gọi 84x', 'Zalo +84 '])} || substr(b0, 2, 3) || '-'
+           || substr(b0, 5, 3) || ' ' || substr(b0, 8, 3) || ' - 0' || substr(b7, 2, 9) AS snippet,
        {_pick('page_id % 6', KEYWORDS)} AS keyword,
-       html || '<p>Hotline: ' || {_phone('page_id + 3')} || '</p><a class="x" href="tel:+84'
-           || substr({_phone('page_id + 5')}, 2, 9) || '">call</a><footer>0912345678</footer>' AS html
-FROM {{pages}}""",
+       html || '<p>Hotline: ' || b3 || '</p><a class="x" href="tel:+84'
+           || substr(b5, 2, 9) || '">call</a><footer>0912345678</footer>' AS html
+FROM (SELECT page_id, url, html, {_phone('page_id')} AS b0, {_phone('page_id + 7')} AS b7,
+             {_phone('page_id + 3')} AS b3, {_phone('page_id + 5')} AS b5
+      FROM {{pages}}) t""",
 }
 
 _REF = re.compile(r"\{(\w+)\}")
