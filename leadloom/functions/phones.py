@@ -90,7 +90,7 @@ def phones_in_text(text: Column) -> Column:
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), "[- ]", "")
     found = F.regexp_extract_all(
         squeezed, F.lit(r"((?:(?:\+84|0084|84)?[3-9][0-9]{8})|(?:0[3-9][0-9]{8}))"), F.lit(1))
-    return F.array_distinct(F.array_compact(F.transform(found, phone_e164)))
+    return F.array_distinct(F.array_compact(F.transform(found, lambda p: phone_e164(p))))
 
 
 def html_body(html: Column) -> Column:
@@ -103,4 +103,4 @@ def phones_in_body(body: Column, keep: int = 10) -> Column:
     """Numbers of ``tel:`` links, then of the visible text; at most ``keep`` per page."""
     hrefs = F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*?href\s*=\s*[\"']tel:([^\"']*)[\"']"), F.lit(1))
     visible = F.regexp_replace(body, r"(?s)<[^>]*>", " ")
-    return F.slice(F.array_union(F.array_compact(F.transform(hrefs, phone_e164)), phones_in_text(visible)), 1, keep)
+    return F.slice(F.array_union(F.array_compact(F.transform(hrefs, lambda p: phone_e164(p))), phones_in_text(visible)), 1, keep)

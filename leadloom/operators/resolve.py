@@ -11,23 +11,23 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions import text as T
+from leadloom.operators.common import computed_once
 
 STATUSES = ("valid", "duplicate", "missing_contact", "invalid_phone")
 
 
 def clean(raw: DataFrame) -> DataFrame:
     """Cleaned columns next to the raw ones; one row per input row."""
-    return (
-        raw.withColumn("_body", P.mobile_body(F.col("raw_phone")))
-        .withColumn("e164", F.concat(F.lit("+84"), F.col("_body")))
-        .withColumn("phone", F.concat(F.lit("0"), F.col("_body")))
-        .withColumn("email", T.email_clean(F.col("raw_email")))
-        .withColumn("name", T.name_clean(F.col("raw_name")))
-        .withColumn("address", F.coalesce(T.blank_to_null(F.col("raw_address")), F.lit("")))
-        .withColumn("uid", F.coalesce(T.blank_to_null(F.col("raw_uid")), F.lit("")))
-        .withColumn("link", F.coalesce(T.blank_to_null(F.col("raw_link")), F.lit("")))
-        .drop("_body")
-    )
+    once = computed_once(raw, {
+        "_body": P.mobile_body(F.col("raw_phone")), "email": T.email_clean(F.col("raw_email"))})
+    return once.withColumns({
+        "e164": F.concat(F.lit("+84"), F.col("_body")),
+        "phone": F.concat(F.lit("0"), F.col("_body")),
+        "name": T.name_clean(F.col("raw_name")),
+        "address": F.coalesce(T.blank_to_null(F.col("raw_address")), F.lit("")),
+        "uid": F.coalesce(T.blank_to_null(F.col("raw_uid")), F.lit("")),
+        "link": F.coalesce(T.blank_to_null(F.col("raw_link")), F.lit("")),
+    }).drop("_body")
 
 
 def lead_keys(cleaned: DataFrame) -> DataFrame:

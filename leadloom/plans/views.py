@@ -9,11 +9,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom import dictionaries as D
+from leadloom.operators.common import spread
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings "
         "pages benchmark labels conversations").split()
 
 
+FACTS = ("orders", "lineitem", "events", "conversations", "pages")
+
+
 def _pick(index: str, values: list[str]) -> str:
     """The index-th text of a list."""
     joined = "|".join(values).replace("'", "''")
@@ -198,6 +202,7 @@ _REF = re.compile(r"\{(\w+)\}")
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a view as DataFrame."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in FACTS else table
     sql = VIEWS[name]
     return spark.sql(sql, **{ref: load(spark, sf_dir, ref) for ref in set(_REF.findall(sql))})

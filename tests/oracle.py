@@ -54,8 +54,7 @@ def compare(spark, con, sf_dir, fn, sql):
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a == b:
         return None if a else "EMPTY"
-    only_a = [x for x in a if x not in set(b)][:2]
-    only_b = [x for x in b if x not in set(a)][:2]
+    only_a, only_b = sorted(set(a) - set(b))[:2], sorted(set(b) - set(a))[:2]
     return f"rows {len(a)} vs {len(b)} cols={sorted(cols)}\n   spark {only_a}\n   duck  {only_b}"
 
 
