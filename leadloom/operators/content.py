@@ -7,7 +7,9 @@ from leadloom import dictionaries as D
 from leadloom.functions.numbers import exact_sum, half_up, rate, ratio, rescale
 from leadloom.operators.ads import compute_cpl
 
-_EVERY = Window.partitionBy(F.lit(1))
+def _every():
+    """All rows of a small aggregated table."""
+    return Window.partitionBy(F.lit(1))
 
 
 def _literal_map(table: dict) -> Column:
@@ -117,7 +119,7 @@ def content_performance(insights: DataFrame, campaigns: DataFrame, chat_leads: D
         "ctr_vs_bench": F.when(c("avg_ctr") > b["ctr_good"], "good").when(c("avg_ctr") < b["ctr_poor"], "poor").otherwise("avg"),
         "qual_vs_bench": F.when(c("avg_quality") >= b["quality_good"], "good").when(c("avg_quality") < b["quality_poor"], "poor").otherwise("avg"),
         "freq_risk": F.when(c("avg_freq") > b["freq_warn"], "high").when(c("avg_freq") > b["freq_good"], "medium").otherwise("low"),
-        "spend_pct": rate(c("total_spend"), exact_sum(c("total_spend")).over(_EVERY), 1, 100),
+        "spend_pct": rate(c("total_spend"), exact_sum(c("total_spend")).over(_every()), 1, 100),
     }).drop("rows", "spend", "_ctr", "_freq", "q_sum", "q_n")
 
 
@@ -239,7 +241,7 @@ def tier_rollup(insights: DataFrame, campaigns: DataFrame, chat_leads: DataFrame
     spend = F.coalesce("spend", F.lit(0))
     return (rows.withColumn("total_spend", half_up(spend, 0))
             .withColumn("cpl", compute_cpl(spend, c("total_leads"))).withColumn("avg_quality", _avg_quality(2))
-            .withColumn("spend_pct", rate(c("total_spend"), exact_sum(c("total_spend")).over(_EVERY), 1, 100))
+            .withColumn("spend_pct", rate(c("total_spend"), exact_sum(c("total_spend")).over(_every()), 1, 100))
             .select("tier", "campaign_count", "total_spend", "total_leads", "cpl", "avg_quality", "spend_pct"))
 
 

@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 
-from leadloom.plans import contacts, reports  # noqa: F401
+from leadloom.plans import ads, contacts, reports  # noqa: F401
 
 FLAGSHIP = "scr22_rescore_all"

@@ -27,8 +27,8 @@ def safe(num, den):
     return f"(CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE 0e0 END)"
 
 
-def rate(num, den, n, scale=1.0):
-    return rnd(f"{safe(num, den)} * {scale}e0", n)
+def rate(num, den, n, scale=1):
+    return rnd(f"{safe(num, den)} * {int(scale)}e0", n)
 
 
 def esum(expr):

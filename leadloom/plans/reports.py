@@ -319,7 +319,7 @@ _COV = """SELECT count(*) AS total, count(*) FILTER (WHERE phone <> '') AS has_p
 
 
 @query("agg15_coverage", "SELECT *, " + ", ".join(
-    f"{O.rate(m, 'total', 2, 100.0).replace('100.0e0', '100e0')} AS {m}_pct" for m in ("has_phone", "has_email", "cross_source", "grade_a_plus")) + f" FROM ({_COV}) t")
+    f"{O.rate(m, 'total', 2, 100.0)} AS {m}_pct" for m in ("has_phone", "has_email", "cross_source", "grade_a_plus")) + f" FROM ({_COV}) t")
 def agg15_coverage(spark, sf):
     return R.coverage(scored(spark, sf))
 
