@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions import text as T
 from leadloom.operators.reports import top_values_code
+from leadloom.session import staged
 
 FEATURES = ["unified_score", "tier_code", "source_count", "has_email", "has_uid", "hot_total"]
 FEATURES_V3 = ["unified_score", "tier_weight", "source_count", "source_weight", "province_code", "has_uid"]
@@ -50,8 +51,13 @@ def impute_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     return scaler.fit(vectors).transform(vectors).drop("_raw")
 
 
+def scaled_table(features: DataFrame, cols: list[str]) -> DataFrame:
+    """Scaled features as a written table: fitting reads them dozens of times."""
+    return staged(impute_scale(staged(features, "features"), cols), "scaled")
+
+
 def kmeans(scaled: DataFrame, k: int, starts: int = 10, seed: int = 42):
-    """Model with the lowest cost of several starts; the input should be persisted."""
+    """Model with the lowest cost of several starts; the input should be a written table."""
     models = [KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster_raw").fit(scaled)
               for i in range(starts)]
     return min(models, key=lambda m: m.summary.trainingCost)
@@ -74,11 +80,8 @@ def choose_k(scaled: DataFrame, ks=(3, 4, 5, 6), rows: int = 15000, starts: int
     """Silhouette per k on a bounded sample (the sample is the method, not a shortcut)."""
     total = scaled.count()
     share = min(1.0, 1.2 * rows / max(total, 1))
-    sample = (scaled if share >= 1.0 else scaled.sample(share, seed)).limit(rows).persist()
-    try:
-        scores = [(k, silhouette(kmeans(sample, k, starts, seed).transform(sample))) for k in ks]
-    finally:
-        sample.unpersist()
+    sample = staged((scaled if share >= 1.0 else scaled.sample(share, seed)).limit(rows), "sample")
+    scores = [(k, silhouette(kmeans(sample, k, starts, seed).transform(sample))) for k in ks]
     return scaled.sparkSession.createDataFrame(scores, "k INT, silhouette DOUBLE")
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.session import staged
+
 
 def computed_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """Adds columns that later filters and join keys will not re-evaluate.
@@ -70,13 +72,11 @@ def top_per_key(df: DataFrame, key: str, order: list, n: int, salt: Column, salt
 def numbered(df: DataFrame, order: list, alias: str) -> DataFrame:
     """Running number over a global order without a one-task window.
 
-    The range-sorted rows are checkpointed so that every pass sees the same
-    partitions; each row's number is its place in the partition plus the size
-    of the partitions before it.
+    The range-partitioned rows are written with their partition number, so that
+    every pass sees the same parts; a row's number is its place in the part plus
+    the size of the parts before it.
     """
-    from leadloom.session import cut
-
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

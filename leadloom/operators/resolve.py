@@ -216,13 +216,15 @@ def upsert(old: DataFrame, old_files: DataFrame, new: DataFrame, new_files: Data
                .groupBy("lead_key").agg(F.count("*").alias("n_files")))
     o, n = old.alias("o"), new.alias("n")
 
+    stored = F.col("o.lead_key").isNotNull()
+    merged = F.col("o.phone").isNotNull()  # e-mail-only contacts keep what is stored
+
     def filled(name: str) -> Column:
-        return F.coalesce(F.nullif(F.col(f"o.{name}"), F.lit("")), F.col(f"n.{name}"),
-                          F.col(f"o.{name}"), F.lit("")).alias(name)
+        return F.when(stored & ((F.col(f"o.{name}") != "") | ~merged), F.col(f"o.{name}")).otherwise(
+            F.coalesce(F.col(f"n.{name}"), F.col(f"o.{name}"), F.lit(""))).alias(name)
 
-    stored = F.col("o.lead_key").isNotNull()
-    better = ~stored | (F.col("n.source_weight") > F.col("o.source_weight"))
-    wider = ~stored | (F.length("n.address") > F.length("o.address"))
+    better = ~stored | (merged & (F.col("n.source_weight") > F.col("o.source_weight")))
+    wider = ~stored | (merged & (F.length("n.address") > F.length("o.address")))
     return (
         o.join(n, F.col("o.lead_key") == F.col("n.lead_key"), "full_outer")
         .select(

@@ -436,7 +436,7 @@ def ml2_impute_scale(spark, sf):
 
 
 def _three(spark, sf):
-    scaled = C.impute_scale(RP.E.features(RP.leads(spark, sf)), C.FEATURES).persist()
+    scaled = C.scaled_table(RP.E.features(RP.leads(spark, sf)), C.FEATURES)
     return C.kmeans(scaled, 3).transform(scaled)
 
 
@@ -464,7 +464,7 @@ def ml6_feature_matrix_v3(spark, sf):
 
 
 def _scaled_v3(spark, sf):
-    return C.impute_scale(C.features_v3(PC.scored(spark, sf), "province"), C.FEATURES_V3).persist()
+    return C.scaled_table(C.features_v3(PC.scored(spark, sf), "province"), C.FEATURES_V3)
 
 
 @query("ml7_choose_k")

@@ -31,8 +31,12 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/leadloom-{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    A written table survives lost executors and is computed once however often
+    it is read.
+    """
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
