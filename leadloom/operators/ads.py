@@ -11,6 +11,7 @@ from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions.numbers import exact_avg, exact_sum, half_up, rate, rating, ratio, steps
 from leadloom.operators import score as S
+from leadloom.operators.common import join_dimension
 
 LEVELS = {"campaign": ["campaign_id"], "adset": ["campaign_id", "adset_id"],
           "ad": ["campaign_id", "adset_id", "ad_id"]}
@@ -110,8 +111,8 @@ def scored_chat_leads(chat_leads: DataFrame, profiles: DataFrame) -> DataFrame:
     """Chat leads with the lead score of their profile (by phone) and their quality."""
     scores = profiles.select("profile_key", F.col("lead_score").alias("profile_score"))
     c = F.col
-    return (chat_leads.withColumn("profile_key", P.phone_join_key(c("phone")))
-            .join(scores, "profile_key", "left")
+    keyed = chat_leads.withColumn("profile_key", P.phone_join_key(c("phone")))
+    return (join_dimension(keyed, scores, "profile_key", ["conversation_id"])
             .withColumn("profile_score", F.coalesce("profile_score", F.lit(0.0)))
             .withColumn("quality", S.chat_quality(
                 c("sender_name"), c("phone"), c("email"), c("intent_score"), c("message_count"),

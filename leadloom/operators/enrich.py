@@ -9,6 +9,8 @@ from leadloom.functions import phones as P
 from leadloom.functions import text as T
 from leadloom.functions.numbers import half_up
 from leadloom.operators import score as S
+from leadloom.operators.common import join_dimension
+from leadloom.session import staged
 
 BASE_LISTING_SCORE, LISTING_STEP, LISTING_CAP = 3.0, 0.5, 8.0  # fixed values
 RECENT_FACTOR, STALE_BELOW = 1.5, 0.3  # fixed values
@@ -32,7 +34,7 @@ def interaction_scores(interactions: DataFrame, as_of: str) -> DataFrame:
 def social_hot_leads(interactions: DataFrame, as_of: str) -> DataFrame:
     """Interaction rows with the score of their uid; stale low scores are dropped."""
     known = interactions.filter("uid <> ''")
-    return (known.join(interaction_scores(known, as_of), "uid")
+    return (join_dimension(known, interaction_scores(known, as_of), "uid", ["event_id"], "inner")
             .filter(F.col("hot_score") >= STALE_BELOW)
             .select(F.lit("facebook").alias("source"), F.col("event_id").alias("seq"), "uid",
                     F.lit(None).cast("string").alias("phone"), "keyword", "behavior", "source_url",
@@ -65,16 +67,17 @@ def listing_dedup(listings: DataFrame) -> DataFrame:
 
 def match_hot_leads(hot: DataFrame, profiles: DataFrame) -> DataFrame:
     """Adds the profile of each hot lead: by uid, else by phone."""
-    by_uid = (profiles.filter("uid <> ''").groupBy("uid")
-              .agg(F.max("profile_key").alias("_by_uid")))
-    by_phone = profiles.select(F.col("profile_key").alias("_phone_key")).distinct()
-    keyed = hot.withColumn("_phone_key0", P.phone_join_key(F.col("phone")))
+    keys = staged(profiles.select("profile_key", "uid"), "profile-keys")
+    by_uid = keys.filter("uid <> ''").groupBy("uid").agg(F.max("profile_key").alias("_by_uid"))
+    by_phone = keys.select(F.col("profile_key").alias("_phone_key"),
+                               F.col("profile_key").alias("_by_phone")).distinct()
+    keyed = hot.withColumn("_phone_key", P.phone_join_key(F.col("phone")))
+    row = ["source", "seq"]
+    matched = join_dimension(join_dimension(keyed, by_uid, "uid", row), by_phone, "_phone_key", row, stats=keyed)
     return (
-        keyed.join(by_uid, "uid", "left")
-        .join(by_phone, keyed["_phone_key0"] == F.col("_phone_key"), "left")
-        .withColumn("profile_key", F.coalesce("_by_uid", "_phone_key"))
+        matched.withColumn("profile_key", F.coalesce("_by_uid", "_by_phone"))
         .withColumn("is_existing_customer", F.col("profile_key").isNotNull())
-        .drop("_by_uid", "_phone_key", "_phone_key0")
+        .drop("_by_uid", "_by_phone", "_phone_key")
     )
 
 

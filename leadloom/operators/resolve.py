@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions import text as T
-from leadloom.operators.common import computed_once
+from leadloom.operators.common import computed_once, join_dimension, skew_join
 
 STATUSES = ("valid", "duplicate", "missing_contact", "invalid_phone")
 
@@ -48,13 +48,17 @@ def history_keys(contacts: DataFrame) -> DataFrame:
             .filter(F.coalesce(F.col("lead_key"), F.lit("")) != "").distinct())
 
 
-def unseen(keyed: DataFrame, history: DataFrame) -> DataFrame:
-    """Rows whose key is not in the history."""
-    return keyed.join(history.select("lead_key"), "lead_key", "left_anti")
+def _flag_seen(keyed: DataFrame, history: DataFrame, spread_by: list[str]) -> DataFrame:
+    return skew_join(keyed, history.select("lead_key", F.lit(True).alias("_seen")), "lead_key", spread_by)
 
 
-def already_seen(keyed: DataFrame, history: DataFrame) -> DataFrame:
-    return keyed.join(history.select("lead_key"), "lead_key", "left_semi")
+def unseen(keyed: DataFrame, history: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Rows whose key is not in the history (distinct keys)."""
+    return _flag_seen(keyed, history, spread_by).filter("_seen IS NULL").drop("_seen")
+
+
+def already_seen(keyed: DataFrame, history: DataFrame, spread_by: list[str]) -> DataFrame:
+    return _flag_seen(keyed, history, spread_by).filter("_seen").drop("_seen")
 
 
 def mark_status(keyed: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -64,10 +68,10 @@ def mark_status(keyed: DataFrame, history: DataFrame | None = None) -> DataFrame
     back on key, file and position spreads a hot key over all partitions.
     """
     candidates = keyed.filter("lead_key IS NOT NULL").select("lead_key", "file_name", "pos")
+    firsts = candidates.groupBy("lead_key").agg(F.min(F.struct("file_name", "pos")).alias("first"))
     if history is not None:
-        candidates = unseen(candidates, history)
-    firsts = (candidates.groupBy("lead_key").agg(F.min(F.struct("file_name", "pos")).alias("first"))
-              .select("lead_key", "first.file_name", "first.pos", F.lit(True).alias("is_first")))
+        firsts = firsts.join(history.select("lead_key"), "lead_key", "left_anti")
+    firsts = (firsts.select("lead_key", "first.file_name", "first.pos", F.lit(True).alias("is_first")))
     return (
         keyed.join(firsts, ["lead_key", "file_name", "pos"], "left")
         .withColumn("status", F.coalesce("reject", F.when(F.col("is_first"), "valid").otherwise("duplicate")))
@@ -115,7 +119,7 @@ def with_tier(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     files = rows.select("file_name").distinct() if files is None else files
     tiers = T.classify_files(files.select("file_name")).select(
         "file_name", F.col("tier").alias("source_tier"), F.col("weight").alias("source_weight"))
-    return rows.join(tiers, "file_name", "left")
+    return join_dimension(rows, tiers, "file_name", ["file_name", "pos"])
 
 
 def golden(keyed: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from leadloom import dictionaries as D
 from leadloom.functions import numbers as N
 from leadloom.operators import ads as A
 from leadloom.operators import content as K
+from leadloom.operators import score as S
+from leadloom.operators.common import join_dimension
 from leadloom.plans import duck as O
 from leadloom.plans.registry import cte, query
 from leadloom.plans.reports import leads as profile_leads
@@ -30,10 +32,14 @@ def scored_chats(spark, sf):
     return A.scored_chat_leads(chats(spark, sf), profile_leads(spark, sf).select("profile_key", "lead_score"))
 
 
+def chat_only(spark, sf):
+    """Chat leads scored by chat signals only, the profile scores left out."""
+    return chats(spark, sf).withColumn("quality", S.chat_quality(
+        c("sender_name"), c("phone"), c("email"), c("intent_score"), c("message_count"), F.lit(False), F.lit(0.0)))
+
+
 def per_ad(spark, sf):
-    """Ad quality with the profile scores left out: chat signals only."""
-    empty = chats(spark, sf).select(c("phone").alias("profile_key"), F.lit(None).cast("double").alias("lead_score")).limit(0)
-    return A.ad_quality(A.scored_chat_leads(chats(spark, sf), empty))
+    return A.ad_quality(chat_only(spark, sf))
 
 
 def tree(spark, sf):
@@ -156,8 +162,7 @@ def agg22_ad_quality(spark, sf):
 
 @query("agg22_ad_scores", f"SELECT fb_ad_id, quality, count(*) AS leads FROM (SELECT fb_ad_id, {_quality('0')} AS quality FROM {{v_chat_leads}}) t GROUP BY 1, 2")
 def agg22_ad_scores(spark, sf):
-    empty = chats(spark, sf).select(c("phone").alias("profile_key"), F.lit(None).cast("double").alias("lead_score")).limit(0)
-    return A.ad_score_histogram(A.scored_chat_leads(chats(spark, sf), empty))
+    return A.ad_score_histogram(chat_only(spark, sf))
 
 
 @query("join10_ad_tree", """
@@ -485,7 +490,7 @@ def bms(spark, sf):
 @query("join12_page_first", "SELECT l.conversation_id, f.campaign_id, f.content_type, f.account_id, f.bm_id FROM {v_chat_leads} l LEFT JOIN {o_first} f USING (page_id)")
 def join12_page_first(spark, sf):
     first = K.first_campaign_of_page(campaigns(spark, sf))
-    return chats(spark, sf).join(first, "page_id", "left").select("conversation_id", "campaign_id", "content_type", "account_id", "bm_id")
+    return join_dimension(chats(spark, sf), first, "page_id", ["conversation_id"]).select("conversation_id", "campaign_id", "content_type", "account_id", "bm_id")
 
 
 @query("join13_page_all", f"SELECT c.campaign_id, count(l.quality_score) AS leads, {O.eavg('l.quality_score', 1)} AS avg_quality FROM {{v_campaigns}} c JOIN {{v_chat_leads}} l ON l.page_id = c.page_id GROUP BY 1")

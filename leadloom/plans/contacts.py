@@ -9,6 +9,7 @@ from leadloom.functions import phones as P
 from leadloom.functions import text as T
 from leadloom.operators import resolve as R
 from leadloom.operators import score as S
+from leadloom.operators.common import join_dimension
 from leadloom.plans import duck as O
 from leadloom.plans.registry import query
 from leadloom.plans.views import load
@@ -122,7 +123,7 @@ FROM {{v_raw_contacts}} JOIN {{o_file_tier}} USING (file_name)""")
 def txt4_file_tier(spark, sf):
     rows = raw(spark, sf)
     tiers = T.classify_files(rows.select("file_name").distinct())
-    return rows.join(tiers, "file_name").select("row_id", "tier", "weight", "label", "matched", "confidence")
+    return join_dimension(rows, tiers, "file_name", ["row_id"]).select("row_id", "tier", "weight", "label", "matched", "confidence")
 
 
 @query("txt6_file_category", f"""
@@ -211,8 +212,8 @@ UNION ALL SELECT row_id, lead_key, 'seen' FROM {o_keyed} WHERE lead_key IN (SELE
 def join1_history_anti(spark, sf):
     rows = keyed(spark, sf).filter("lead_key IS NOT NULL").select("row_id", "lead_key")
     old = history(spark, sf)
-    return (R.unseen(rows, old).select("row_id", "lead_key", F.lit("new").alias("side"))
-            .unionByName(R.already_seen(rows, old).select("row_id", "lead_key", F.lit("seen").alias("side"))))
+    return (R.unseen(rows, old, ["row_id"]).select("row_id", "lead_key", F.lit("new").alias("side"))
+            .unionByName(R.already_seen(rows, old, ["row_id"]).select("row_id", "lead_key", F.lit("seen").alias("side"))))
 
 
 @query("win1_first_seen", """
@@ -226,7 +227,7 @@ def win1_first_seen(spark, sf):
 SELECT DISTINCT lead_key FROM {o_keyed} WHERE lead_key IS NOT NULL EXCEPT SELECT lead_key FROM {o_history}""")
 def set4_member_minus(spark, sf):
     keys = keyed(spark, sf).filter("lead_key IS NOT NULL").select("lead_key").distinct()
-    return R.unseen(keys, history(spark, sf))
+    return keys.join(history(spark, sf), "lead_key", "left_anti")
 
 
 O.cte("lead", "SELECT * FROM {o_marked} JOIN {o_file_tier} USING (file_name) WHERE status = 'valid' AND phone IS NOT NULL")

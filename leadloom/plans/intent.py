@@ -6,10 +6,8 @@ from leadloom import dictionaries as D
 from leadloom.functions import dates as DT
 from leadloom.functions import phones as P
 from leadloom.functions import text as T
-from leadloom.operators import enrich as E
 from leadloom.operators import intent as I
 from leadloom.operators import profile as PR
-from leadloom.operators import score as S
 from leadloom.plans import duck as O
 from leadloom.plans import reports as RP
 from leadloom.plans.registry import cte, query
@@ -270,10 +268,8 @@ FROM {{o_leads}} LEFT JOIN {{o_top_hot}} h USING (profile_key) LEFT JOIN {{o_cha
 
 
 def _p360(spark, sf):
-    people, matched = RP.profiles(spark, sf)
-    scored = RP.scored(spark, sf)
-    full = E.with_contact_analytics(E.with_hot(people, matched), scored).withColumn("cluster", (c("source_count") % 3).cast("int"))
-    return PR.profile_360(E.with_lead_score(full), matched, load(spark, sf, "v_chat_leads"), social(spark, sf))
+    leads, matched = RP.scored_profiles(spark, sf)
+    return PR.profile_360(leads, matched, load(spark, sf, "v_chat_leads"), social(spark, sf))
 
 
 @query("join17_profile_360", "SELECT profile_key, CAST(n_behaviors AS INTEGER) AS n_behaviors, chats, ads AS ad_touches FROM {o_360}")

@@ -14,6 +14,7 @@ from leadloom.plans import duck as O
 from leadloom.plans.contacts import contacts, scored
 from leadloom.plans.registry import cte, query
 from leadloom.plans.views import load
+from leadloom.session import staged
 
 AS_OF = O.EVENTS_AS_OF
 c = F.col
@@ -24,17 +25,30 @@ def hot(spark, sf):
         E.listing_hot_leads(load(spark, sf, "v_listings")))
 
 
-def profiles(spark, sf, matched=None):
-    known = E.profiles_of(contacts(spark, sf))
-    matched = matched if matched is not None else E.match_hot_leads(hot(spark, sf), known)
+def profiles(spark, sf, base=None):
+    """Profiles and matched hot leads; the matched leads feed both."""
+    known = E.profiles_of(contacts(spark, sf) if base is None else base)
+    matched = E.match_hot_leads(hot(spark, sf), known)
     return known.unionByName(E.new_profiles(matched)), matched
 
 
+def scored_profiles(spark, sf):
+    """Profiles with cluster (a fixed rule here), scores and analytics, and the matched leads.
+
+    Scored contacts and matched leads are tables of the stored model, each read several times.
+    """
+    base = staged(scored(spark, sf).select(
+        "name", "phone", "uid", "email", "address", "source", "note", "source_count", "unified_score",
+        "source_tier", "source_weight"), "scored")
+    known = E.profiles_of(base)
+    matched = staged(E.match_hot_leads(hot(spark, sf), known), "matched")
+    people = known.unionByName(E.new_profiles(matched))
+    full = E.with_contact_analytics(E.with_hot(people, matched), base)
+    return E.with_lead_score(full.withColumn("cluster", (c("source_count") % 3).cast("int"))), matched
+
+
 def leads(spark, sf):
-    """Profiles with cluster (a fixed rule here), hot scores, analytics and lead score."""
-    people, matched = profiles(spark, sf)
-    full = E.with_contact_analytics(E.with_hot(people, matched), scored(spark, sf))
-    return E.with_lead_score(full.withColumn("cluster", (c("source_count") % 3).cast("int")))
+    return scored_profiles(spark, sf)[0]
 
 
 _W = "(CASE behavior WHEN 'comment' THEN 3.0 WHEN 'tag' THEN 2.5 WHEN 'share' THEN 2.0 ELSE 0.5 END)"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import dictionaries as D
 from leadloom.functions import text as T
+from leadloom.operators.common import join_dimension
 
 CANONICAL = [*D.HEADER_WORDS, "first_name", "last_name"]
 
@@ -34,8 +35,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
         "value")
     checked = raw.withColumn("_utf8", F.try_validate_utf8("value"))
-    foreign = checked.groupBy("file").agg(F.bool_or(F.col("_utf8").isNull()).alias("_latin"))
-    return checked.join(foreign, "file").select(
+    foreign = checked.filter(F.col("_utf8").isNull()).select("file").distinct().withColumn("_latin", F.lit(True))
+    return join_dimension(checked, foreign, "file", ["at"]).select(
         "file", "at", F.regexp_replace(F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
                                        .otherwise(F.col("_utf8")), "^﻿|\r$", "").alias("text"))
 
@@ -108,7 +109,7 @@ def read_contact_csv(spark: SparkSession, path: str, width: int = 32) -> DataFra
     """Rows of delimited contact files in canonical raw columns."""
     lines = read_lines(spark, path)
     mapping = map_columns(detect_headers(lines, width)).drop("cells")
-    data = lines.join(mapping, "file").filter((F.col("at") > F.col("header_at")) & (F.trim("text") != ""))
+    data = join_dimension(lines, mapping, "file", ["at"], "inner").filter((F.col("at") > F.col("header_at")) & (F.trim("text") != ""))
     data = data.withColumn("_c", _cells(F.col("text"), width))
 
     def cell(name):
@@ -163,11 +164,12 @@ def parse_social(lines: DataFrame) -> DataFrame:
 
 def read_social_txt(spark: SparkSession, path: str) -> DataFrame:
     lines = read_lines(spark, path)
-    return parse_social(lines.join(social_files(lines).filter("is_social"), "file", "left_semi"))
+    social = social_files(lines).filter("is_social")
+    return parse_social(join_dimension(lines, social, "file", ["at"], "inner").drop("is_social"))
 
 
 def plain_phone_files(lines: DataFrame) -> DataFrame:
     """Lines of the text files that are not social exports, one phone each."""
-    social = social_files(lines).filter("is_social")
-    return (lines.join(social, "file", "left_anti").select("file", "at", F.trim("text").alias("raw_phone"))
+    flagged = join_dimension(lines, social_files(lines), "file", ["at"])
+    return (flagged.filter(~F.coalesce("is_social", F.lit(False))).select("file", "at", F.trim("text").alias("raw_phone"))
             .filter("raw_phone <> ''"))
