@@ -15,6 +15,7 @@ from leadloom.operators import cluster as C
 from leadloom.operators import enrich as E
 from leadloom.operators import resolve as R
 from leadloom.operators import score as S
+from leadloom.session import staged
 from leadloom.sources import contact_files as CF
 from leadloom.sources import sinks as SK
 
@@ -29,8 +30,8 @@ def _write(df: DataFrame, path: str) -> DataFrame:
 def raw_contacts(spark: SparkSession, inbox: str) -> DataFrame:
     """Rows of the csv and text files of an inbox (folders ``csv`` and ``txt``) in canonical columns."""
     parts = [CF.read_contact_csv(spark, f"{inbox}/csv")]
-    lines = CF.read_lines(spark, f"{inbox}/txt")
-    social = CF.read_social_txt(spark, f"{inbox}/txt").select(
+    lines = staged(CF.read_lines(spark, f"{inbox}/txt"), "lines")
+    social = CF.social_rows(lines).select(
         "file", "at", *[F.col(a).alias(b) for a, b in (("name", "raw_name"), ("phone", "raw_phone"), ("email", "raw_email"),
                                                       ("uid", "raw_uid"), ("link", "raw_link"))])
     parts += [social, CF.plain_phone_files(lines)]

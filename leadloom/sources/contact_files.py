@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions import text as T
 from leadloom.operators.common import join_dimension
+from leadloom.session import staged
 
 CANONICAL = [*D.HEADER_WORDS, "first_name", "last_name"]
 
@@ -106,8 +107,11 @@ def map_columns(headers: DataFrame, words: dict[str, list[str]] | None = None) -
 
 
 def read_contact_csv(spark: SparkSession, path: str, width: int = 32) -> DataFrame:
-    """Rows of delimited contact files in canonical raw columns."""
-    lines = read_lines(spark, path)
+    """Rows of delimited contact files in canonical raw columns.
+
+    The lines are written once: places in a file are comparable only within one scan.
+    """
+    lines = staged(read_lines(spark, path), "lines")
     mapping = map_columns(detect_headers(lines, width)).drop("cells")
     data = join_dimension(lines, mapping, "file", ["at"], "inner").filter((F.col("at") > F.col("header_at")) & (F.trim("text") != ""))
     data = data.withColumn("_c", _cells(F.col("text"), width))
@@ -137,10 +141,13 @@ def read_phone_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def social_files(lines: DataFrame) -> DataFrame:
-    """Files whose head names facebook.com or that start with a long number."""
+    """Files whose head names facebook.com or that start with a long number and more text.
+
+    A long number alone on its line is a phone list, not a social export.
+    """
     head = head_lines(lines.filter("trim(text) <> ''"))
     return head.groupBy("file").agg(F.bool_or(
-        F.lower("text").contains("facebook.com") | ((F.col("line_no") == 1) & F.trim("text").rlike(r"^[0-9]{9,}(\s|$)"))).alias("is_social"))
+        F.lower("text").contains("facebook.com") | ((F.col("line_no") == 1) & F.trim("text").rlike(r"^[0-9]{9,}\s+\S"))).alias("is_social"))
 
 
 def parse_social(lines: DataFrame) -> DataFrame:
@@ -163,7 +170,11 @@ def parse_social(lines: DataFrame) -> DataFrame:
 
 
 def read_social_txt(spark: SparkSession, path: str) -> DataFrame:
-    lines = read_lines(spark, path)
+    return social_rows(staged(read_lines(spark, path), "lines"))
+
+
+def social_rows(lines: DataFrame) -> DataFrame:
+    """Parsed lines of the text files that are social exports."""
     social = social_files(lines).filter("is_social")
     return parse_social(join_dimension(lines, social, "file", ["at"], "inner").drop("is_social"))
 
