@@ -46,7 +46,7 @@ def raw_contacts(spark: SparkSession, inbox: str) -> DataFrame:
 def ingest(spark: SparkSession, inbox: str, data: str, run_ts: str) -> dict[str, DataFrame]:
     """Clean, de-duplicate against stored contacts, merge, and report."""
     raw = _write(raw_contacts(spark, inbox), f"{data}/raw_contacts/run={run_ts}")
-    keyed = R.lead_keys(R.clean(raw))
+    keyed = _write(R.lead_keys(R.clean(raw)), f"{data}/clean_rows/run={run_ts}")
     contacts_path = f"{data}/contacts"
     stored = _stored(spark, contacts_path)
     marked = _write(R.mark_status(keyed, None if stored is None else R.history_keys(stored[0])), f"{data}/marked/run={run_ts}")

@@ -11,7 +11,7 @@ from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions.numbers import exact_avg, exact_sum, half_up, rate, rating, ratio, steps
 from leadloom.operators import score as S
-from leadloom.operators.common import join_dimension
+from leadloom.operators.common import join_dimension, one_row
 
 LEVELS = {"campaign": ["campaign_id"], "adset": ["campaign_id", "adset_id"],
           "ad": ["campaign_id", "adset_id", "ad_id"]}
@@ -311,7 +311,7 @@ def recommendation_summary(matrix: DataFrame) -> DataFrame:
     counts = matrix.agg(F.count_if(c("quadrant") == "SCALE_UP").alias("winners"),
                         F.count_if(c("quadrant").isin("OPTIMIZE_TARGETING", "TEST_CREATIVE")).alias("to_optimize"),
                         F.count_if(c("quadrant") == "PAUSE").alias("to_pause"), F.count("*").alias("total_campaigns"))
-    return counts.join(plan, F.lit(True))  # one row each
+    return one_row(counts, plan)
 
 
 def benchmark_averages(costs: DataFrame) -> DataFrame:

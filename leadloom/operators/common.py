@@ -52,10 +52,9 @@ def skew_join(big: DataFrame, small: DataFrame, on: str, spread_by: list[str], h
     ``stats`` may name a cheaper frame with the same keys to count them from.
     """
     keys = (big if stats is None else stats).select(on)
-    counts = keys.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col(on).isNotNull())
-    total = keys.agg((F.count("*") / share).alias("_limit"))
-    hot = (counts.join(F.broadcast(total), F.col("_n") > F.col("_limit"))
-           .select(on, F.lit(True).alias("_hot")))
+    limit = keys.count() / share
+    hot = (keys.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
+           .filter(F.col("_n") > limit).select(on, F.lit(True).alias("_hot")))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")
     left = (big.join(F.broadcast(hot), on, "left")
             .withColumn("_salt", F.when(F.col("_hot") | F.col(on).isNull(), salt).otherwise(0)).drop("_hot"))
@@ -64,6 +63,14 @@ def skew_join(big: DataFrame, small: DataFrame, on: str, spread_by: list[str], h
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Single-row frames side by side, without a cross join."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def blocked_lag(df: DataFrame, key: str, order: str, value: Column, alias: str,
                 block: int = 10_000) -> DataFrame:
     """``lag`` of a struct per key without sorting a whole key in one task.

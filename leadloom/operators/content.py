@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions.numbers import exact_sum, half_up, rate, ratio, rescale
 from leadloom.operators.ads import compute_cpl
+from leadloom.operators.common import one_row
+from leadloom.session import staged
 
 def _every():
     """All rows of a small aggregated table."""
@@ -47,6 +49,22 @@ def _avg_quality(places: int) -> Column:
 
 
 # --- content types ---------------------------------------------------------
+def insight_cube(insights: DataFrame) -> DataFrame:
+    """Insight rows summed per campaign, content type, tier and day, written once.
+
+    Every report below is a sum over these rows, so a job with several reports
+    scans the insights a single time.
+    """
+    c = F.col
+    cube = insights.groupBy(
+        "campaign_id", "account_id", "bm_id", "page_id", F.coalesce("content_type", F.lit("unknown")).alias("content_type"),
+        F.coalesce("tier", F.lit("UNKNOWN")).alias("tier"), "date_start").agg(
+            F.count("*").alias("rows"), exact_sum(c("spend")).alias("spend"), F.sum("leads").alias("leads"),
+            F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
+            exact_sum(c("ctr")).alias("ctr_sum"), exact_sum(c("frequency")).alias("frequency_sum"))
+    return staged(cube, "cube")
+
+
 def content_daily(insights: DataFrame) -> DataFrame:
     return (insights.withColumn("content_type", F.coalesce("content_type", F.lit("unknown")))
             .groupBy("content_type", "date_start")
@@ -71,8 +89,9 @@ def cpl_trend(daily: DataFrame) -> DataFrame:
 
 
 def tier_counts(insights: DataFrame) -> DataFrame:
+    rows = F.sum("rows") if "rows" in insights.columns else F.count("*")
     return (insights.withColumn("content_type", F.coalesce("content_type", F.lit("unknown")))
-            .groupBy("content_type", F.coalesce("tier", F.lit("UNKNOWN")).alias("tier")).agg(F.count("*").alias("rows")))
+            .groupBy("content_type", F.coalesce("tier", F.lit("UNKNOWN")).alias("tier")).agg(rows.alias("rows")))
 
 
 def dominant_tier(counts: DataFrame) -> DataFrame:
@@ -91,18 +110,18 @@ def composite(cpl: Column, quality: Column, ctr: Column, conv: Column, freq: Col
 def content_performance(insights: DataFrame, campaigns: DataFrame, chat_leads: DataFrame) -> DataFrame:
     """Sums, rates, quality, composite score and flags per content type."""
     c = F.col
-    typed = insights.withColumn("content_type", F.coalesce("content_type", F.lit("unknown")))
-    sums = typed.groupBy("content_type").agg(
-        F.count("*").alias("rows"), exact_sum(c("spend")).alias("spend"), F.sum("leads").alias("total_leads"),
+    cube = insight_cube(insights)
+    sums = cube.groupBy("content_type").agg(
+        F.sum("rows").alias("rows"), F.sum("spend").alias("spend"), F.sum("leads").alias("total_leads"),
         F.sum("clicks").alias("total_clicks"), F.sum("impressions").alias("total_impressions"),
-        exact_sum(c("ctr")).alias("_ctr"), exact_sum(c("frequency")).alias("_freq"),
+        F.sum("ctr_sum").alias("_ctr"), F.sum("frequency_sum").alias("_freq"),
         F.count_distinct("campaign_id").alias("campaigns"))
     quality = quality_by_first(chat_leads, campaigns, "content_type")
     b = D.CONTENT_BENCHMARKS
     out = (
         sums.join(quality, "content_type", "left")
-        .join(cpl_trend(content_daily(insights)), "content_type", "left")
-        .join(dominant_tier(tier_counts(insights)), "content_type", "left")
+        .join(cpl_trend(content_daily(cube)), "content_type", "left")
+        .join(dominant_tier(tier_counts(cube)), "content_type", "left")
         .withColumns({
             "label": content_label(c("content_type")), "format": content_format(c("content_type")),
             "total_spend": half_up(c("spend"), 0), "cpl": compute_cpl(c("spend"), c("total_leads")),
@@ -165,7 +184,7 @@ def content_kpis(by_type: DataFrame, by_format: DataFrame) -> DataFrame:
         half_up(ratio(exact_sum(c("avg_quality") * c("total_leads")), F.greatest(F.sum("total_leads"), F.lit(1))), 1).alias("avg_quality"),
         F.count("*").alias("content_types"))
     best_format = by_format.agg(F.min_by("format", F.struct("cpl", "format")).alias("best_format"))
-    return kpi.join(best_format, F.lit(True))  # one row each
+    return one_row(kpi, best_format)
 
 
 def content_insights(by_type: DataFrame, by_format: DataFrame) -> DataFrame:
@@ -268,7 +287,7 @@ def campaign_metrics(insights: DataFrame, campaigns: DataFrame, chat_leads: Data
 def overview(insights: DataFrame, campaigns: DataFrame, adsets: DataFrame, chat_leads: DataFrame) -> DataFrame:
     """One row of totals; every part is a single aggregated row."""
     c = F.col
-    parts = [
+    return one_row(
         insights.agg(half_up(exact_sum(c("spend")), 0).alias("total_spend"), F.sum("leads").alias("total_leads"),
                      F.sum("impressions").alias("total_impressions"),
                      compute_cpl(exact_sum(c("spend")), F.sum("leads")).alias("overall_cpl")),
@@ -276,12 +295,7 @@ def overview(insights: DataFrame, campaigns: DataFrame, adsets: DataFrame, chat_
                       F.count_distinct("account_id").alias("total_accounts"), F.count_distinct("page_id").alias("total_pages")),
         adsets.agg(F.count("*").alias("total_adsets")),
         chat_leads.agg(F.count("*").alias("messenger_leads"),
-                       rate(exact_sum(c("quality_score")), F.count("quality_score"), 2).alias("avg_quality")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, F.lit(True))
-    return out
+                       rate(exact_sum(c("quality_score")), F.count("quality_score"), 2).alias("avg_quality")))
 
 
 def day_bm_trend(insights: DataFrame, bm_ids: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions import text as T
-from leadloom.functions.numbers import exact_avg, exact_sum, half_up, rate
+from leadloom.functions.numbers import exact_avg, half_up, rate
 
 
 def province_counts(contacts: DataFrame, provinces: list[str] | None = None) -> DataFrame:
@@ -156,22 +156,9 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
 
 
 def top_values_code(df: DataFrame, col: str, alias: str, n: int = 10) -> DataFrame:
-    """Code of the n most frequent values and 'Other', numbered alphabetically.
-
-    The value table has at most n rows, so it is broadcast.
-    """
+    """Code of the n most frequent values and 'Other', numbered alphabetically."""
     top = (df.groupBy(col).agg(F.count("*").alias("_c")).filter(F.col(col).isNotNull())
            .orderBy(F.desc("_c"), col).limit(n).select(F.col(col).alias("_top")))
-    cats = top.select(F.col("_top").alias("_cat")).unionByName(
-        df.sparkSession.range(1).select(F.lit("Other").alias("_cat"))).distinct()
-    codes = cats.withColumn(alias, F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("_cat")) - 1)
-    other = codes.filter("_cat = 'Other'").select(F.col(alias).alias("_other"))
-    known = codes.join(top, F.col("_cat") == F.col("_top"), "left_semi")
-    lookup_table = known.withColumnRenamed("_cat", "_key")
-    return (df.join(F.broadcast(lookup_table), F.col(col) == F.col("_key"), "left")
-            .join(F.broadcast(other), F.lit(True), "left")
-            .withColumn(alias, F.coalesce(alias, "_other")).drop("_key", "_other"))
-
-
-def money(col: str) -> Column:
-    return half_up(exact_sum(F.col(col)), 0)
+    names = sorted({r["_top"] for r in top.collect()} | {"Other"})  # n + 1 values at most
+    code = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))])
+    return df.withColumn(alias, F.coalesce(F.element_at(code, F.col(col)), F.lit(names.index("Other"))))

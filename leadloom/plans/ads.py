@@ -12,6 +12,7 @@ from leadloom.plans import duck as O
 from leadloom.plans.registry import cte, query
 from leadloom.plans.reports import leads as profile_leads
 from leadloom.plans.views import load
+from leadloom.session import staged
 
 c = F.col
 BMS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -463,7 +464,7 @@ SELECT (SELECT content_type FROM {{o_by_type}} ORDER BY composite_score DESC, co
        {O.rnd(O.safe(O.esum('avg_quality * total_leads'), 'greatest(sum(total_leads), 1)'), 1)} AS avg_quality, count(*) AS content_types,
        (SELECT format FROM {{o_by_format}} ORDER BY cpl, format LIMIT 1) AS best_format FROM {{o_by_type}}""")
 def agg43_content_kpis(spark, sf):
-    types = by_type(spark, sf)
+    types = staged(by_type(spark, sf), "content-types")
     return K.content_kpis(types, K.format_performance(types))
 
 
@@ -476,7 +477,7 @@ UNION ALL SELECT 'poor_conversion', 'crit', content_type, conv_rate FROM {o_by_t
 UNION ALL SELECT 'ad_fatigue', 'warn', content_type, avg_freq FROM {o_by_type} WHERE freq_risk = 'high' AND total_spend > 2000000
 UNION ALL SELECT * FROM (SELECT 'improving', 'ok', content_type, cpl FROM {o_by_type} WHERE trend = 'improving' ORDER BY composite_score DESC, content_type LIMIT 2) d""")
 def scr20_content_insights(spark, sf):
-    types = by_type(spark, sf)
+    types = staged(by_type(spark, sf), "content-types")
     return K.content_insights(types, K.format_performance(types))
 
 
@@ -590,7 +591,7 @@ UNION ALL SELECT 'quality_gap', 'info', x.account_id || ' vs ' || y.account_id,
 UNION ALL SELECT 'declining_tier', 'warn', tier, CAST(campaign_count AS DOUBLE) FROM {o_tier_roll} WHERE tier = 'DECLINING' AND campaign_count > 0
 UNION ALL SELECT 'agent_account', 'ok', account_id, cpl FROM (SELECT * FROM {o_accounts} WHERE contains(account_id, 'agent') ORDER BY total_spend DESC, account_id LIMIT 1) z WHERE cpl < 150000""")
 def scr21_account_insights(spark, sf):
-    i, k, l = insights(spark, sf), campaigns(spark, sf), chats(spark, sf)
+    i, k, l = K.insight_cube(insights(spark, sf)), campaigns(spark, sf), chats(spark, sf)
     return K.account_insights(K.bm_rollup(i, k, l), K.tier_rollup(i, k, l), K.account_rollup(i, k, l, bms(spark, sf)))
 
 

@@ -1,5 +1,6 @@
 """Queries over sources and sinks: files are written from the views and read back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadloom import dictionaries as D
@@ -356,9 +357,9 @@ def snk10_snapshot_latest(spark, sf):
     for day in ("2024-01-01", "2024-01-02"):
         SK.append(SK.snapshot(total, R.province_counts(scored), day), path)
     rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("snapshot_time").alias("_newest"))
-    return rows.join(newest, F.lit(True)).select(F.date_format("snapshot_time", "yyyy-MM-dd").alias("day"), "total_leads",
-                                                 (c("snapshot_time") == c("_newest")).alias("is_latest"))
+    newest = F.max("snapshot_time").over(Window.partitionBy(F.lit(1)))  # one row per snapshot
+    return rows.select(F.date_format("snapshot_time", "yyyy-MM-dd").alias("day"), "total_leads",
+                       (c("snapshot_time") == newest).alias("is_latest"))
 
 
 cte("o_log", "SELECT run, rule, action, adset_id, new_budget, reason FROM {o_actions}, (VALUES (1), (2)) v(run)")

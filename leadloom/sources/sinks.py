@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions import text as T
+from leadloom.operators.common import one_row
 
 SHEET_ROWS = 1048575  # fixed value: rows of one spreadsheet below its header
 
@@ -85,7 +86,7 @@ def cluster_writeback(contacts: DataFrame, clusters: DataFrame, key: str = "lead
 def snapshot(total: DataFrame, province_counts: DataFrame, at: str) -> DataFrame:
     """One snapshot row: totals, and the province distribution (a fixed short list) as JSON."""
     dist = province_counts.agg(F.to_json(F.sort_array(F.collect_list(F.struct("province", "contacts")))).alias("distribution"))
-    return total.join(dist, F.lit(True)).withColumn("snapshot_time", F.lit(at).cast("timestamp"))
+    return one_row(total, dist).withColumn("snapshot_time", F.lit(at).cast("timestamp"))
 
 
 def append(df: DataFrame, path: str, *partitions: str) -> None:
