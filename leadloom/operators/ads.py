@@ -4,14 +4,14 @@ Chat leads are reduced to one row per page or ad before they meet campaigns,
 so no lead-campaign pairs are produced.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions.numbers import exact_avg, exact_sum, half_up, rate, rating, ratio, steps
 from leadloom.operators import score as S
-from leadloom.operators.common import join_dimension, one_row
+from leadloom.operators.common import join_dimension, one_row, top_per_key
 
 LEVELS = {"campaign": ["campaign_id"], "adset": ["campaign_id", "adset_id"],
           "ad": ["campaign_id", "adset_id", "ad_id"]}
@@ -281,15 +281,12 @@ def scale_plan(matrix: DataFrame) -> DataFrame:
 
 
 def adsets_to_scale(plan: DataFrame, adsets: DataFrame, n: int = 3) -> DataFrame:
-    """The first n adsets of every winner in list order, with their new budget.
-
-    A campaign has few adsets, so ranking them per campaign is safe.
-    """
+    """The first n adsets of every winner in list order, with their new budget."""
     rows = adsets.join(plan.select("campaign_id", "scale_factor"), "campaign_id")
-    first = Window.partitionBy("campaign_id").orderBy("list_order", "adset_id")
-    return (rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n)
-            .select("campaign_id", "adset_id", "rank",
-                    F.floor(F.coalesce("daily_budget", F.lit(100000)) * F.col("scale_factor")).cast("bigint").alias("new_budget")))
+    first = top_per_key(rows, "campaign_id", ["list_order", "adset_id"], n, F.col("adset_id"))
+    return first.select(
+        "campaign_id", "adset_id", "rank",
+        F.floor(F.coalesce("daily_budget", F.lit(100000)) * F.col("scale_factor")).cast("bigint").alias("new_budget"))
 
 
 def recommendations(matrix: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from leadloom.functions import dates as DT
 from leadloom.functions import text as T
 from leadloom.functions.numbers import half_up
 from leadloom.operators.common import blocked_lag, blocked_row_number, computed_once, top_per_key
+from leadloom.session import staged
 
 CATEGORIES = list(D.INTENT_CATEGORIES)
 
@@ -197,16 +198,28 @@ def chat_chunks(messages: DataFrame, key: str = "conv_id", block: int = 200) ->
     """Joined lower-case text of up to ``block`` messages, with the tail of what came before.
 
     The tail keeps a phrase that runs over the border of two chunks visible.
+    Only tails are ordered per conversation, and those in blocks.
     """
     rows = messages.withColumn("block", F.floor(F.col("idx") / block))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text")))),
                                       lambda m: m["text"]), " ")
-    chunks = rows.groupBy(key, "block").agg(F.lower(joined).alias("chunk"))
-    order = Window.partitionBy(key).orderBy("block")
-    tail = F.substring("chunk", -64, 64)
-    return chunks.withColumns({
-        "before": F.concat_ws(" ", F.lag(tail, 2).over(order), F.lag(tail, 1).over(order)),
-        "start": F.coalesce(F.sum(F.length("chunk") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    chunks = staged(rows.groupBy(key, "block").agg(F.lower(joined).alias("chunk")), "chunks")
+    tails = chunks.select(key, "block", F.substring("chunk", -64, 64).alias("tail"))
+    one = blocked_lag(tails, key, "block", F.struct("tail"), "_p1")
+    two = blocked_lag(one, key, "block", F.struct(F.col("_p1.tail").alias("tail")), "_p2")
+    return chunks.join(two.select(key, "block", F.concat_ws(" ", "_p2.tail", "_p1.tail").alias("before")), [key, "block"])
+
+
+def stored_text(chunks: DataFrame, key: str, chars: int) -> DataFrame:
+    """The first ``chars`` characters of the joined text.
+
+    Every chunk adds at least the joining blank, so ``chars`` + 1 chunks are enough.
+    """
+    head = top_per_key(chunks.select(key, "block", F.substring("chunk", 1, chars).alias("chunk")), key, ["block"], chars + 1, F.col("block"))
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = head.withColumn("_start", F.coalesce(F.sum(F.length("chunk") + 1).over(before), F.lit(0))).filter(F.col("_start") <= chars)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("block", "chunk"))), lambda x: x["chunk"])
+    return placed.groupBy(key).agg(F.substring(F.array_join(texts, " "), 1, chars).alias("full_text"))
 
 
 def chat_leads(messages: DataFrame, key: str = "conv_id", stored_chars: int = 2000) -> DataFrame:
@@ -224,9 +237,7 @@ def chat_leads(messages: DataFrame, key: str = "conv_id", stored_chars: int = 20
         F.min_by("_phone", F.when(F.col("_phone").isNotNull(), F.col("block"))).alias("phone"),
         F.min_by("_email", F.when(F.col("_email").isNotNull(), F.col("block"))).alias("email"),
         F.bool_or("_amount").alias("_amount"))
-    kept = F.col("start") < stored_chars
-    stored = chunks.filter(kept).groupBy(key).agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(
-        F.struct("block", F.substring("chunk", 1, stored_chars).alias("chunk")))), lambda x: x["chunk"]), " "), 1, stored_chars).alias("full_text"))
+    stored = stored_text(chunks, key, stored_chars)
     senders = messages.groupBy(key).agg(F.count("*").alias("message_count"),
                                         F.min_by("sender", F.when(F.col("sender") != "agent", F.col("idx"))).alias("first_sender"))
     score = T.chat_intent_from_hits(sum((F.col(f"_h{i}") for i in range(1, n_high)), F.col("_h0")),

@@ -68,3 +68,24 @@ def test_numbered_and_top_per_key(spark):
 def test_computed_once_keeps_filters_above(spark):
     rows = C.computed_once(spark.range(10), {"h": F.sha2(F.col("id").cast("string"), 256)}).filter("h LIKE 'a%'")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("sha2") == 1
+
+
+def test_chat_text_in_chunks_equals_joined_text(spark):
+    from leadloom.operators import intent as I
+
+    words = ["căn", "hộ", "giá", "bao nhiêu", "5", "tỷ", "", "x" * 30, "số 0912345678", "a@b.vn"]
+    texts = [(c, i, "customer" if i % 2 else "agent", words[(c * 3 + i * 7 + i // 5) % len(words)]) for c in range(6) for i in range(40 + c)]
+    rows = spark.createDataFrame(texts, "conv_id INT, idx INT, sender STRING, text STRING")
+    want = {}
+    for c in range(6):
+        joined = " ".join(t[3] for t in texts if t[0] == c)
+        row = spark.createDataFrame([(joined,)], "t STRING").select(I.T.chat_intent(F.col("t")).alias("s")).first()
+        want[c] = (joined[:100], row["s"])
+    for block in (3, 1000):
+        chunks = I.chat_chunks
+        I.chat_chunks = lambda m, k, b=block: chunks(m, k, b)
+        try:
+            got = {r["conv_id"]: (r["full_text"], r["intent_score"]) for r in I.chat_leads(rows, stored_chars=100).collect()}
+        finally:
+            I.chat_chunks = chunks
+        assert got == want, block
