@@ -50,14 +50,14 @@ def _avg_quality(places: int) -> Column:
 
 # --- content types ---------------------------------------------------------
 def insight_cube(insights: DataFrame) -> DataFrame:
-    """Insight rows summed per campaign, content type, tier and day, written once.
+    """Insight rows summed per content type, tier and day, written once.
 
-    Every report below is a sum over these rows, so a job with several reports
-    scans the insights a single time.
+    Its size is bounded by types x tiers x days however many rows come in, so
+    the totals, the trend and the tier counts share one scan of the insights.
     """
     c = F.col
     cube = insights.groupBy(
-        "campaign_id", "account_id", "bm_id", "page_id", F.coalesce("content_type", F.lit("unknown")).alias("content_type"),
+        F.coalesce("content_type", F.lit("unknown")).alias("content_type"),
         F.coalesce("tier", F.lit("UNKNOWN")).alias("tier"), "date_start").agg(
             F.count("*").alias("rows"), exact_sum(c("spend")).alias("spend"), F.sum("leads").alias("leads"),
             F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
@@ -65,6 +65,11 @@ def insight_cube(insights: DataFrame) -> DataFrame:
     return staged(cube, "cube")
 
 
+def campaigns_per_type(insights: DataFrame) -> DataFrame:
+    pairs = insights.select(F.coalesce("content_type", F.lit("unknown")).alias("content_type"), "campaign_id").distinct()
+    return pairs.groupBy("content_type").agg(F.count("campaign_id").alias("campaigns"))
+
+
 def content_daily(insights: DataFrame) -> DataFrame:
     return (insights.withColumn("content_type", F.coalesce("content_type", F.lit("unknown")))
             .groupBy("content_type", "date_start")
@@ -114,12 +119,11 @@ def content_performance(insights: DataFrame, campaigns: DataFrame, chat_leads: D
     sums = cube.groupBy("content_type").agg(
         F.sum("rows").alias("rows"), F.sum("spend").alias("spend"), F.sum("leads").alias("total_leads"),
         F.sum("clicks").alias("total_clicks"), F.sum("impressions").alias("total_impressions"),
-        F.sum("ctr_sum").alias("_ctr"), F.sum("frequency_sum").alias("_freq"),
-        F.count_distinct("campaign_id").alias("campaigns"))
+        F.sum("ctr_sum").alias("_ctr"), F.sum("frequency_sum").alias("_freq"))
     quality = quality_by_first(chat_leads, campaigns, "content_type")
     b = D.CONTENT_BENCHMARKS
     out = (
-        sums.join(quality, "content_type", "left")
+        sums.join(campaigns_per_type(insights), "content_type").join(quality, "content_type", "left")
         .join(cpl_trend(content_daily(cube)), "content_type", "left")
         .join(dominant_tier(tier_counts(cube)), "content_type", "left")
         .withColumns({
