@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from leadloom.llm import exact_dedup, sharding, url_reputation
+from leadloom.llm import decontaminate, exact_dedup, packing, quality, sharding, toxicity, url_reputation
+from leadloom.llm.labels import remainder
 
 QUERIES, ORACLES = {}, {}
 
@@ -33,6 +34,46 @@ def op1(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op2_quality_ranking")
+def op2(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    out = quality.score(table(spark, sf_dir, "documents"), known)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op3_binary_packing")
+def op3(spark, sf_dir):
+    out = packing.pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+FOLDED = rf"translate(coalesce(text, ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}')"
+
+
+@query("op6_decontaminate", rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     iw AS (SELECT item_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     item AS (SELECT item_id, w, least(10, len(w)) AS n FROM iw WHERE len(w) > 0),
+     wins AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+              FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM item)),
+     sizes AS (SELECT DISTINCT n FROM wins),
+     hits AS (SELECT doc_id, p, n, item_id FROM
+              (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM
+                (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, sizes)) JOIN wins USING (n, win)),
+     spots AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM (SELECT doc_id, p, unnest(range(0, n)) AS k FROM hits) GROUP BY doc_id),
+     found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS ids
+               FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)
+""")
+def op6(spark, sf_dir):
+    out = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    out = out.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), decontaminate.items().alias("_items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 RULES = [url_reputation.Rule("allow", "org", "/"), url_reputation.Rule("block", "example.org", "/es/"),
          url_reputation.Rule("block", "example.org", "/en/1"), url_reputation.Rule("allow", "com", "/fr/"),
          url_reputation.Rule("block", "com", "/de/")]
@@ -78,6 +119,13 @@ def op7(spark, sf_dir):
     return url_reputation.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "url", "host", "path", "rule", "verdict")
 
 
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1)
+    out = toxicity.score(table(spark, sf_dir, "documents"), known)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query("op10_interleaved_shards")
 def op10(spark, sf_dir):
     out = sharding.interleave(table(spark, sf_dir, "documents"), n_shards=8)
