@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, exact_dedup, packing, quality, sharding, toxicity, url_reputation
+from leadloom.llm import decontaminate, exact_dedup, html_extract, packing, quality, sharding, toxicity, url_reputation
 from leadloom.llm.labels import remainder
 
 QUERIES, ORACLES = {}, {}
@@ -47,6 +47,11 @@ def op3(spark, sf_dir):
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op4_site_templates")
+def op4(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 FOLDED = rf"translate(coalesce(text, ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}')"
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from leadloom.llm.batches import add_columns, ship
+from leadloom.llm.common import staged
 from leadloom.llm.labels import sample
 
-ORDERS = (4, 5)
+ORDERS = (4, 6, 8)
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -82,54 +83,86 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
-def _logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.ndarray, k: int, ridge: float, steps: int = 400) -> np.ndarray:
-    """Weights and intercept of a ridge logistic regression on sparse rows, by accelerated gradient steps."""
-    w, ahead, speed = np.zeros(k + 1), np.zeros(k + 1), 1.0
-    v = values[features]
-    norm = np.bincount(rows, v * v, minlength=len(y)).max(initial=0.0) + 1
-    rate = 1 / (0.25 * norm + ridge)
-    for _ in range(steps):
-        raw = np.bincount(rows, ahead[features] * v, minlength=len(y)) + ahead[k]
+def _logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.ndarray, k: int, ridge: float,
+              steps: int = 200, memory: int = 10) -> np.ndarray:
+    """Weights and intercept of a ridge logistic regression on sparse rows, by limited-memory BFGS."""
+    v, mask = values[features], np.append(np.ones(k), 0.0)
+
+    def loss(w):
+        raw = np.bincount(rows, w[features] * v, minlength=len(y)) + w[k]
         error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - y) / len(y)
-        slope = np.append(np.bincount(features, error[rows] * v, minlength=k), error.sum()) + ridge * np.append(ahead[:k], 0)
-        new = ahead - rate * slope
-        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
-        w, ahead, speed = new, new + (speed - 1) / faster * (new - w), faster
+        slope = np.append(np.bincount(features, error[rows] * v, minlength=k), error.sum()) + ridge * mask * w
+        return np.logaddexp(0, np.where(y > 0, -raw, raw)).mean() + ridge / 2 * (mask * w * w).sum(), slope
+
+    w, past = np.zeros(k + 1), []
+    f, g = loss(w)
+    for _ in range(steps):
+        if np.abs(g).max() < 1e-6:
+            break
+        q, used = g.copy(), []
+        for s, t in reversed(past):
+            used.append((s @ q) / (s @ t))
+            q -= used[-1] * t
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.linalg.norm(g)))
+        for (s, t), a in zip(past, reversed(used), strict=True):
+            q += (a - (t @ q) / (s @ t)) * s
+        size, fall = 1.0, g @ q
+        while True:
+            new = w - size * q
+            f_new, g_new = loss(new)
+            if f_new <= f - 1e-4 * size * fall or size < 1e-10:
+                break
+            size /= 2
+        s, t = new - w, g_new - g
+        if s @ t > 1e-12:
+            past = [*past, (s, t)][-memory:]
+        w, f, g = new, f_new, g_new
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_features: int = 2048, least: int = 3, ridge: float = 1e-5,
-        id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic") -> Model:
-    """Fit on at most ``per_class`` labelled documents of each class, in hash order.
-
-    Document frequencies of n-grams per class give the log-count ratios r; the
-    ``n_features`` n-grams with the largest chi-square, in ``least`` texts at least,
-    become features with value r where present, and a ridge logistic regression
-    learns their weights.  Counting is a Spark aggregation; what the driver
-    holds is bounded by the sample and ``n_features``.
-    """
-    chosen = sample(labels, label_id, label, per_class, 0).unionByName(sample(labels, label_id, label, per_class, 1))
-    rows = ship(docs).select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+def _frequencies(rows: DataFrame, sieve: np.ndarray | None) -> DataFrame:
+    """(code, n): the texts in which each n-gram occurs; with a sieve only those n-grams whose top bits it has."""
 
     def count(batches):
         for batch in batches:
-            y, texts = np.array(batch.column(0).to_pylist(), np.int64), strings(batch.column(1))
+            texts = strings(batch.column(0))
             for start in range(0, len(texts), 256):
-                codes, owners = presence(texts[start:start + 256])
-                found, place = np.unique(codes, return_inverse=True)
-                toxic = np.bincount(place, y[start + owners], minlength=len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(toxic), pa.array(np.bincount(place, minlength=len(found)).astype(np.int64))],
-                                                 names=["code", "toxic", "all"])
+                codes, _ = presence(texts[start:start + 256])
+                if sieve is not None:
+                    codes = codes[sieve[codes >> np.uint64(40)]]
+                found, n = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    kind = StructType([StructField("code", LongType()), StructField("n", LongType())])
+    return ship(rows).select("text").mapInArrow(count, kind).groupBy("code").agg(F.sum("n").alias("n"))
 
-    kind = StructType([StructField(c, LongType()) for c in ("code", "toxic", "all")])
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, n_features: int = 2048, least: int = 3, ridge: float = 1e-4,
+        id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic") -> Model:
+    """Fit on at most ``per_class`` labelled ids of each class, in hash order.
+
+    Document frequencies of n-grams per class give the log-count ratios r; of the
+    n-grams in at least ``least`` toxic texts, the ``n_features`` with the largest
+    chi-square become features with value r where present, and a ridge logistic
+    regression learns their weights.  Counting is a Spark aggregation; the driver
+    holds the sample's features, ``n_features`` numbers and a sieve of 2**24 bits.
+    """
+    chosen = sample(labels, label_id, label, per_class, 0).unionByName(sample(labels, label_id, label, per_class, 1))
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    rows = staged(ship(rows), "labelled")
     n1, n = (int(x or 0) for x in rows.agg(F.sum("label"), F.count("*")).first())
     if not 0 < n1 < n:
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
-    seen = rows.mapInArrow(count, kind).groupBy("code").agg(F.sum("toxic").alias("a"), F.sum("all").alias("t")).filter(F.col("t") >= least)
-    gap = F.col("a") * n - F.col("t") * n1
+    toxic = staged(_frequencies(rows.filter("label = 1"), None).filter(F.col("n") >= least), "toxic-grams")
+    sieve = np.zeros(1 << 24, bool)
+    top = [r[0] for r in toxic.select(F.expr("cast(shiftrightunsigned(code, 40) as int) as top")).distinct().collect()]
+    sieve[top] = True
+    clean = _frequencies(rows.filter("label = 0"), sieve)
+    seen = toxic.withColumnRenamed("n", "a").join(clean, "code", "left").withColumn("t", F.col("a") + F.coalesce("n", F.lit(0)))
+    gap = (F.col("a") * n - F.col("t") * n1).cast("double")
     chi = gap * gap / (F.col("t") * (n - F.col("t")) + 1.0)
     best = np.array(seen.orderBy(chi.desc(), "code").limit(n_features).select("code", "a", "t").collect(), np.int64).reshape(-1, 3)
-    best = best[np.argsort(best[:, 0].view(np.uint64))]
+    best = best[np.argsort(best[:, 0].copy().view(np.uint64))]
     a, t = best[:, 1].astype(float), best[:, 2].astype(float)
     ratio = np.log((a + 1) / (n1 + 2)) - np.log((t - a + 1) / (n - n1 + 2))
     model = Model(best[:, 0].copy().view(np.uint64), ratio, 0.0)
@@ -144,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_features: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
 
     kind = StructType([StructField("label", IntegerType()), StructField("found", ArrayType(IntegerType()))])
-    data = rows.mapInArrow(features, kind).orderBy("label", "found").collect()  # bounded by the sample
+    data = rows.select("label", "text").mapInArrow(features, kind).orderBy("label", "found").collect()  # bounded by the sample
     flat = np.array([f for r in data for f in r[1]], np.int64)
     owner = np.repeat(np.arange(len(data)), [len(r[1]) for r in data])
     w = _logistic(owner, flat, ratio, np.array([r[0] for r in data], float), len(best), ridge)
@@ -162,10 +195,11 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "tex
     are ignored; with one class only, every text gets that class's rate.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(docs, labels, text=text, id=id, **options))  # n_features numbers
+    model = fit(docs, labels, text=text, id=id, **options)
+    shared = spark.sparkContext.broadcast((model.codes, model.weights, model.bias))  # n_features numbers
 
     def make():
-        model = shared.value
+        model = Model(*shared.value)
         return lambda texts: [model.score(strings(texts))]
 
     out = add_columns(docs, text, make, [StructField(name, DoubleType())], carry or [id])
