@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, exact_dedup, html_extract, packing, quality, sharding, toxicity, url_reputation
+from leadloom.llm import decontaminate, exact_dedup, html_extract, packing, ppm, quality, sharding, toxicity, url_reputation
 from leadloom.llm.labels import remainder
 
 QUERIES, ORACLES = {}, {}
@@ -131,6 +131,13 @@ def op8(spark, sf_dir):
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query("op9_ppm_score")
+def op9(spark, sf_dir):
+    out = ppm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 @query("op10_interleaved_shards")
 def op10(spark, sf_dir):
     out = sharding.interleave(table(spark, sf_dir, "documents"), n_shards=8)
