@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, exact_dedup, html_extract, packing, ppm, quality, sharding, toxicity, url_reputation
+from leadloom.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, ppm, quality, sharding, toxicity, url_reputation
 from leadloom.llm.labels import remainder
 
 QUERIES, ORACLES = {}, {}
@@ -52,6 +52,24 @@ def op4(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}'), '[^\x20\x09-\x0D]+')"
+
+
+@query("op5_jaccard_join", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+           FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+     links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+     reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+     least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN n USING (doc_id)
+""")
+def op5(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 FOLDED = rf"translate(coalesce(text, ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}')"
 
 

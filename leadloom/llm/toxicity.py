@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from leadloom.llm.batches import add_columns, ship
+from leadloom.llm.batches import add_columns, column, ship
 from leadloom.llm.common import staged
 from leadloom.llm.labels import sample
 
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, n_features: i
 
 
 def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "text", id: str = "doc_id", carry: list[str] | None = None,
-          name: str = "score", **options) -> DataFrame:
+          name: str = "score", decide: bool = True, **options) -> DataFrame:
     """Columns ``carry`` (default: id) of every document plus ``name`` (0..1, higher: more toxic) and predicted (1 from ``cut`` on).
 
     ``labels`` are the rows that may be learnt from.  Null and empty texts have
@@ -203,4 +203,10 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "tex
         return lambda texts: [model.score(strings(texts))]
 
     out = add_columns(docs, text, make, [StructField(name, DoubleType())], carry or [id])
-    return out.withColumn("predicted", (F.col(name) >= cut).cast("int"))
+    return out.withColumn("predicted", (F.col(name) >= cut).cast("int")) if decide else out
+
+
+def drop(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+    """The documents that score below ``cut``, their columns unchanged; no shuffle of texts."""
+    out = score(docs, labels, cut, text, id, carry=docs.columns, name="_toxicity", decide=False, **options)
+    return out.filter(F.col("_toxicity") < cut).select(*[column(c) for c in docs.columns])
