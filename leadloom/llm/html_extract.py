@@ -14,7 +14,7 @@ from leadloom.llm.common import staged
 from leadloom.llm.url_reputation import host_and_path
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,9999}+"|'[^']{0,9999}+')*+)>"""
-                 r"""|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+(?:>|\Z)""", re.S)
+                 r"""|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^<>]*+\Z""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
