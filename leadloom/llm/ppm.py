@@ -14,6 +14,7 @@ from leadloom.llm.common import power_of_two, staged
 
 END = b"\n"
 GRAM, WORD, TOTAL = 0, 1, 2
+UNSEEN = -0.5  # log10(0.1) is the weight of a token that was not seen, log10(1.1) the least of the others
 PART = StructType([StructField("kind", IntegerType()), StructField("shard", IntegerType()), StructField("block", LongType()),
                    StructField("keys", BinaryType()), StructField("values", BinaryType())])
 
@@ -160,7 +161,7 @@ def _requests(batches, order: int, suffix: int, shards: int):
                 yield flush()
                 grams, words = [], Counter()
             block = int(ids[start])
-            for part in slices(batch.slice(start, stop - start), 2):
+            for part in slices(batch.slice(start, stop - start), 2, 1 << 21):
                 lists = [tokens(t) for t in text_bytes(part.column(2))]
                 train = np.array(part.column(1).to_pylist(), bool)
                 found, sizes = codes(lists, order)
@@ -211,23 +212,22 @@ def _answers(table: pa.Table, order: int, low: list[Level]) -> pa.Table:
 
 def _score(docs: pa.Table, answers: pa.Table, order: int, ends: int, names: list[str]) -> pa.Table:
     """Sums over whole texts of a block, with the block's own answers."""
-    grams, logs, known = [], [], {}
+    grams, logs, weight = [], [], {}
     for kind, keys, values in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
         if kind == GRAM:
             grams.append(np.frombuffer(keys, "<u8"))
             logs.append(np.frombuffer(values, "<f4"))
         elif kind == WORD:
-            known.update(zip(keys.split(b"\n"), np.frombuffer(values, "<i8").tolist(), strict=True))
+            weight.update(zip(keys.split(b"\n"), np.log10(np.frombuffer(values, "<i8") + 0.1).tolist(), strict=True))
     if not docs.num_rows:
         return pa.table([pa.array([], f.type) for f in docs.schema][1:2] + [pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())] * 2, names=names)
     grams, logs = np.concatenate(grams), np.concatenate(logs).astype(float)
     place = np.argsort(grams)
     grams, logs = grams[place], logs[place]
-    weight = {w: (c > 0, float(np.log10(c + 0.1))) for w, c in known.items()}
-    end = (ends > 0, float(np.log10(ends + 0.1)))
+    end = float(np.log10(ends + 0.1))
     out = []
     for batch in docs.combine_chunks().to_batches():
-        for part in slices(batch, 2):
+        for part in slices(batch, 2, 1 << 20):
             lists = [tokens(t) for t in text_bytes(part.column(2))]
             asked, sizes = codes(lists, order)
             i = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
@@ -235,8 +235,8 @@ def _score(docs: pa.Table, answers: pa.Table, order: int, ends: int, names: list
                 raise RuntimeError("a block has other texts than when it was counted; write the documents to a table first")
             score = np.add.reduceat(logs[i], np.cumsum(sizes) - sizes)
             facts = [[weight[w] for w in words] + [end] for words in lists]
-            out.append(pa.table([part.column(1), pa.array([len(f) for f in facts], pa.int64()), pa.array([sum(k for k, _ in f) for f in facts], pa.int64()),
-                                 pa.array([sum(x for _, x in f) for f in facts], pa.float64()), pa.array(score)], names=names))
+            out.append(pa.table([part.column(1), pa.array([len(f) for f in facts], pa.int64()), pa.array([sum(x > UNSEEN for x in f) for f in facts], pa.int64()),
+                                 pa.array([sum(f) for f in facts], pa.float64()), pa.array(score)], names=names))
     return pa.concat_tables(out)
 
 
