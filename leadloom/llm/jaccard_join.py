@@ -24,7 +24,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -43,6 +43,11 @@ def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
+def order_keys(tokens: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, 32-bit key) by which members are counted; two members that share both only share a count, which still orders them alike everywhere."""
+    return (tokens >> np.uint64(32)) % np.uint64(shards), tokens.astype(np.uint32)
+
+
 def prefix_length(n: int) -> int:
     """Of two sets with Jaccard similarity 3/4 or more, the first n - ceil(3n/4) + 1 members of each have one in common."""
     return n - -(-3 * n // 4) + 1
@@ -145,7 +150,7 @@ def _block_rows(batches, at: int):
         cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
-                for part in slices(batch.slice(a, b - a), at):
+                for part in slices(batch.slice(a, b - a), at, 1 << 20):
                     yield int(ids[a]), part
 
 
@@ -157,14 +162,15 @@ def _requests(batches, width: int, shards: int):
     """Per block and shard: the distinct members of the block with the number of its texts, and its distinct sets with their least id."""
     hashes, block, runs, classes = WordHashes(), None, [], {}
 
+    def merged(parts):
+        found, back = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+        return found, np.bincount(back, np.concatenate([c for _, c in parts]), minlength=len(found)).astype("<u4")
+
     def flush():
-        found, back = np.unique(np.concatenate([f for f, _ in runs]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([c for _, c in runs]), minlength=len(found)).astype("<u4")
-        shard = (found >> np.uint64(32)) % np.uint64(shards)
-        by = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
-        rows = [(TOKEN, s, block, found[p].astype("<u8").tobytes(), n[p].tobytes())
-                for s in np.unique(shard).tolist() if len(p := by[cuts[int(s)]:cuts[int(s) + 1]])]
+        found, n = merged(runs)
+        cuts = np.searchsorted(found, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
+        rows = [(TOKEN, s, block, found[a:b].astype("<u4").tobytes(), n[a:b].tobytes())
+                for s, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if b > a]
         bins: dict[int, list] = {}
         for key, first in classes.items():
             bins.setdefault(int.from_bytes(key[:4], "little") % shards, []).append((key, first))
@@ -181,11 +187,11 @@ def _requests(batches, width: int, shards: int):
             if len(s):
                 key = _class(s)
                 classes[key] = min(i, classes.get(key, NO_ID))
-        found, n = np.unique(np.concatenate(sets), return_counts=True)
-        runs.append((found, n))
-        if len(runs) > 12:
-            found, back = np.unique(np.concatenate([f for f, _ in runs]), return_inverse=True)
-            runs = [(found, np.bincount(back, np.concatenate([c for _, c in runs])).astype(np.int64))]
+        shard, key = order_keys(np.concatenate(sets), shards)
+        found, n = np.unique(shard << np.uint64(32) | key, return_counts=True)
+        runs.append((found, n.astype("<u4")))
+        if len(runs) > 4:
+            runs = [merged(runs)]
     if block is not None and classes:
         yield flush()
 
@@ -196,7 +202,7 @@ def _answers(table: pa.Table) -> pa.Table:
     blocks, keys, values = (table.column(c).to_pylist() for c in ("block", "keys", "values"))
     rows = []
     if kind == TOKEN:
-        asked = [np.frombuffer(k, "<u8") for k in keys]
+        asked = [np.frombuffer(k, "<u4") for k in keys]
         found, back = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(back, np.concatenate([np.frombuffer(v, "<u4") for v in values])).astype("<u4")
         at = 0
@@ -215,15 +221,15 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_blob_rows(rows)])
 
 
-def _sets(docs: pa.Table, answers: pa.Table, width: int) -> pa.Table:
+def _sets(docs: pa.Table, answers: pa.Table, width: int, shards: int) -> pa.Table:
     """Every document's set size and class; for one document of a class also its members that occur elsewhere, rarest first."""
     kinds = {f.name: f.type for f in _arrow(SETS)}
     if not docs.num_rows:
         return pa.table({c: pa.array([], t) for c, t in kinds.items()})
     tokens, counts, classes = [], [], {}
-    for kind, keys, values in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
+    for kind, shard, keys, values in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "keys", "values")), strict=True):
         if kind == TOKEN:
-            tokens.append(np.frombuffer(keys, "<u8"))
+            tokens.append(np.frombuffer(keys, "<u4").astype(np.uint64) | np.uint64(shard << 32))
             counts.append(np.frombuffer(values, "<u4"))
         else:
             facts = np.frombuffer(values, "<i8").reshape(-1, 2).tolist()
@@ -233,7 +239,7 @@ def _sets(docs: pa.Table, answers: pa.Table, width: int) -> pa.Table:
     by = np.argsort(tokens)
     tokens, counts, hashes, out = tokens[by], counts[by], WordHashes(), []
     for batch in docs.combine_chunks().to_batches():
-        for part in slices(batch, 2):
+        for part in slices(batch, 2, 1 << 20):
             rows = []
             for i, t in zip(part.column(1).to_pylist(), text_bytes(part.column(2)), strict=True):
                 s = shingles(t, width, hashes)
@@ -247,8 +253,10 @@ def _sets(docs: pa.Table, answers: pa.Table, width: int) -> pa.Table:
                 prefix = members = numbers = None
                 if mine and i == first:
                     classes[name][1] = 0  # one document of a class, also where ids repeat
-                    at = np.minimum(np.searchsorted(tokens, s), max(0, len(tokens) - 1))
-                    known = tokens[at] == s if len(tokens) else np.zeros(len(s), bool)
+                    shard, key = order_keys(s, shards)
+                    key = shard << np.uint64(32) | key
+                    at = np.minimum(np.searchsorted(tokens, key), max(0, len(tokens) - 1))
+                    known = tokens[at] == key if len(tokens) else np.zeros(len(s), bool)
                     shared, n = s[known], counts[at[known]] if len(tokens) else counts[:0]
                     order = np.lexsort((shared, n))
                     shared, n = shared[order], n[order]
@@ -292,7 +300,7 @@ def _join_cell(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([names[i] for i, _ in links], pa.binary()), pa.array([names[j] for _, j in links], pa.binary())], names=["a", "b"])
 
 
-def join(docs: DataFrame, width: int = 5, id: str = "doc_id", text: str = "text", block_bytes: int = 24 << 20, cell: int = 8192,
+def join(docs: DataFrame, width: int = 5, id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, cell: int = 8192,
          salts: int = 32) -> DataFrame:
     """One row per document: id, n_shingles, component_id.
 
@@ -331,7 +339,7 @@ def join(docs: DataFrame, width: int = 5, id: str = "doc_id", text: str = "text"
     shards = power_of_two(spark, 4)
     asked = rows.mapInArrow(lambda batches: _requests(batches, width, shards), PART)
     answers = asked.groupBy("kind", "shard").applyInArrow(_answers, PART)
-    sets = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _sets(d, a, width), SETS)
+    sets = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _sets(d, a, width, shards), SETS)
     sets = staged(sets, "sets")
 
     stored = sets.filter(F.col("tokens").isNotNull()).select("class", "n", "tokens", "counts")
