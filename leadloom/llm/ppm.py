@@ -285,8 +285,8 @@ def score(docs: DataFrame, train: Column, order: int = 5, suffix: int = 2, id: s
 
     pairs = (asked.filter(F.col("kind") == GRAM).select("keys", "values")
              .mapInArrow(lowest, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0"))
-    counts = np.array(pairs.collect(), np.int64).reshape(-1, 2)  # at most 256**suffix rows
-    shared = spark.sparkContext.broadcast((counts[:, 0].copy().view(np.uint64), counts[:, 1].copy()))
+    pairs = pairs.toArrow()  # at most 256**suffix rows
+    shared = spark.sparkContext.broadcast((pairs.column("key").to_numpy().astype(np.uint64), pairs.column("n").to_numpy()))
     answers = asked.groupBy("kind", "shard").applyInArrow(lambda t: _answers(t, order, low_levels(*shared.value, suffix)), PART)
     answers = staged(answers, "answers")
     sums = answers.filter(F.col("kind") == TOTAL).select("values").collect()  # one row per shard

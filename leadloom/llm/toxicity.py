@@ -155,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, n_features: i
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
     toxic = staged(_frequencies(rows.filter("label = 1"), None).filter(F.col("n") >= least), "toxic-grams")
     sieve = np.zeros(1 << 24, bool)
-    top = [r[0] for r in toxic.select(F.expr("cast(shiftrightunsigned(code, 40) as int) as top")).distinct().collect()]
-    sieve[top] = True
+    top = toxic.select(F.expr("cast(shiftrightunsigned(code, 40) as int) as top")).distinct().toArrow()  # 2**24 numbers at most
+    sieve[top.column("top").to_numpy()] = True
     clean = _frequencies(rows.filter("label = 0"), sieve)
     seen = toxic.withColumnRenamed("n", "a").join(clean, "code", "left").withColumn("t", F.col("a") + F.coalesce("n", F.lit(0)))
     gap = (F.col("a") * n - F.col("t") * n1).cast("double")
@@ -177,10 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, n_features: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
 
     kind = StructType([StructField("label", IntegerType()), StructField("found", ArrayType(IntegerType()))])
-    data = rows.select("label", "text").mapInArrow(features, kind).orderBy("label", "found").collect()  # bounded by the sample
-    flat = np.array([f for r in data for f in r[1]], np.int64)
-    owner = np.repeat(np.arange(len(data)), [len(r[1]) for r in data])
-    w = _logistic(owner, flat, ratio, np.array([r[0] for r in data], float), len(best), ridge)
+    data = rows.select("label", "text").mapInArrow(features, kind).orderBy("label", "found").toArrow().combine_chunks()  # bounded by the sample
+    found = data.column("found").combine_chunks()
+    owner = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
+    w = _logistic(owner, found.flatten().to_numpy().astype(np.int64), ratio, data.column("label").to_numpy().astype(float), len(best), ridge)
     return Model(model.codes, w[:-1] * ratio, float(w[-1]))
 
 
