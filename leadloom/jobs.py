@@ -15,7 +15,6 @@ from leadloom.operators import cluster as C
 from leadloom.operators import enrich as E
 from leadloom.operators import resolve as R
 from leadloom.operators import score as S
-from leadloom.session import staged
 from leadloom.sources import contact_files as CF
 from leadloom.sources import sinks as SK
 
@@ -27,54 +26,87 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def identities(spark: SparkSession, path: str) -> DataFrame:
+    """uid, name and phone of identity files, last value per uid and file, as contact rows."""
+    lines = CF.read_lines(spark, path, quoted=True)
+    rows = CF.read_identities(lines).withColumn("file_name", F.col("file")).withColumn("pos", F.col("at"))
+    kept = R.reconcile(rows).filter("status = 'mapped'")
+    place = rows.groupBy("file", "uid").agg(F.max("at").alias("at"), F.max("modified").alias("modified"))
+    return (kept.join(place, (F.col("file_name") == F.col("file")) & (kept["uid"] == place["uid"]))
+            .select("file", "at", "modified", kept["uid"].alias("raw_uid"), F.col("name").alias("raw_name"), F.col("phone").alias("raw_phone")))
+
+
 def raw_contacts(spark: SparkSession, inbox: str) -> DataFrame:
-    """Rows of the csv and text files of an inbox (folders ``csv`` and ``txt``) in canonical columns."""
-    parts = [CF.read_contact_csv(spark, f"{inbox}/csv")]
-    lines = staged(CF.read_lines(spark, f"{inbox}/txt"), "lines")
+    """Rows of an inbox in canonical columns: folders ``csv`` and ``txt``, and where present ``documents`` and ``identities``.
+
+    ``file_date`` is the day a file was last changed.
+    """
+    lines = CF.read_lines(spark, f"{inbox}/txt")
     social = CF.social_rows(lines).select(
-        "file", "at", *[F.col(a).alias(b) for a, b in (("name", "raw_name"), ("phone", "raw_phone"), ("email", "raw_email"),
-                                                      ("uid", "raw_uid"), ("link", "raw_link"))])
-    parts += [social, CF.plain_phone_files(lines)]
+        "file", "at", "modified", *[F.col(a).alias(b) for a, b in (("name", "raw_name"), ("phone", "raw_phone"), ("email", "raw_email"),
+                                                                  ("uid", "raw_uid"), ("link", "raw_link"))])
+    parts = [CF.read_contact_csv(spark, f"{inbox}/csv"), social, CF.plain_phone_files(lines)]
+    if _exists(spark, f"{inbox}/documents"):
+        parts.append(CF.read_documents(spark, f"{inbox}/documents"))
+    if _exists(spark, f"{inbox}/identities"):
+        parts.append(identities(spark, f"{inbox}/identities"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     name = F.element_at(F.split("file", "/"), -1)
-    return out.select(name.alias("file_name"), F.struct("file", "at").alias("pos"), *RAW_COLUMNS,
-                      F.lit(None).cast("date").alias("file_date"))
+    return out.select(name.alias("file_name"), F.struct("file", "at").alias("pos"), *RAW_COLUMNS, F.col("modified").alias("file_date"))
 
 
 def ingest(spark: SparkSession, inbox: str, data: str, run_ts: str) -> dict[str, DataFrame]:
-    """Clean, de-duplicate against stored contacts, merge, and report."""
+    """Clean, de-duplicate against stored contacts, merge, and report.
+
+    A run reads only versions of earlier runs and replaces its own tables, so
+    that it can be repeated.  Its own contacts are kept beside the merged version;
+    a late run for an earlier day is merged where it belongs, and the versions
+    after it are merged again.
+    """
     raw = _write(raw_contacts(spark, inbox), f"{data}/raw_contacts/run={run_ts}")
     keyed = _write(R.lead_keys(R.clean(raw)), f"{data}/clean_rows/run={run_ts}")
-    contacts_path = f"{data}/contacts"
-    stored = _stored(spark, contacts_path)
+    store = f"{data}/contacts"
+    runs = sorted({*_runs(spark, store), run_ts})
+    at = runs.index(run_ts)
+    stored = _version(spark, store, runs[at - 1]) if at else None
     marked = _write(R.mark_status(keyed, None if stored is None else R.history_keys(stored[0])), f"{data}/marked/run={run_ts}")
     SK.rejects_export(R.rejects(marked).drop("pos"), f"{data}/rejects", run_ts)
-    contacts, files = R.golden(keyed), R.golden_files(keyed)
-    if stored is not None:
-        contacts = R.upsert(stored[0], stored[1], contacts, files)
-        files = stored[1].unionByName(files).distinct()
-    version = f"{contacts_path}/run={run_ts}"
-    files.write.mode("overwrite").parquet(f"{version}/files")
-    contacts.write.mode("overwrite").parquet(f"{version}/golden")
-    return {"contacts": spark.read.parquet(f"{version}/golden"), "stats": R.ingest_stats(marked)}
-
-
-def _runs(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+    own = f"{data}/own_contacts/run={run_ts}"
+    names = marked.select("file_name").distinct()
+    _write(R.golden_files(keyed), f"{own}/files")
+    _write(R.golden(keyed, names), f"{own}/golden")
+    for run in runs[at:]:
+        contacts, files = (spark.read.parquet(f"{data}/own_contacts/run={run}/{part}") for part in ("golden", "files"))
+        if stored is not None:
+            contacts, files = R.upsert(stored[0], stored[1], contacts, files), stored[1].unionByName(files).distinct()
+        _write(files, f"{store}/run={run}/files")
+        _write(contacts, f"{store}/run={run}/golden")  # its success marker publishes the version
+        stored = _version(spark, store, run)
+    return {"contacts": spark.read.parquet(f"{store}/run={run_ts}/golden"), "stats": R.ingest_stats(marked)}
+
+
+def _runs(spark: SparkSession, store: str) -> list[str]:
+    """Runs with a complete version of the contacts, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    return sorted(s.getPath().toString() for s in fs.listStatus(root)
-                  if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "golden/_SUCCESS")))
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n.removeprefix("run=") for n in names if _exists(spark, f"{store}/{n}/golden/_SUCCESS"))
+
+
+def _version(spark: SparkSession, store: str, run: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{store}/run={run}/golden"), spark.read.parquet(f"{store}/run={run}/files")
 
 
-def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+def _stored(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """Newest complete version of the contacts and their files."""
-    runs = _runs(spark, path)
-    return (spark.read.parquet(f"{runs[-1]}/golden"), spark.read.parquet(f"{runs[-1]}/files")) if runs else None
+    return _version(spark, store, _runs(spark, store)[-1])
 
 
 def enrich(spark: SparkSession, data: str, interactions: DataFrame, listings: DataFrame, as_of: str) -> dict[str, DataFrame]:
@@ -88,9 +120,11 @@ def enrich(spark: SparkSession, data: str, interactions: DataFrame, listings: Da
 
 
 def score(spark: SparkSession, data: str, as_of: str) -> DataFrame:
-    """Unified scores, three clusters and the lead score of every profile: the call list."""
+    """Unified scores and personas of the contacts, three clusters and the lead score of every profile: the call list."""
     contacts, _ = _stored(spark, f"{data}/contacts")
     scored = _write(S.rescore(contacts, as_of), f"{data}/scored_contacts")
+    table = C.scaled_table(C.features_v3(scored, "province"), C.FEATURES_V3)
+    _write(C.with_persona(C.fit_best(table).transform(table)).select("lead_key", F.col("cluster_raw").alias("cluster"), "persona"), f"{data}/personas")
     profiles, hot = spark.read.parquet(f"{data}/profiles"), spark.read.parquet(f"{data}/hot_leads")
     full = _write(E.with_contact_analytics(E.with_hot(profiles, hot), scored), f"{data}/profile_features")
     scaled = C.scaled_table(E.features(full), C.FEATURES)

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import dictionaries as D
 from leadloom.functions import text as T
-from leadloom.operators.common import join_dimension
-from leadloom.session import staged
+from leadloom.operators.common import computed_once, join_dimension
 
 CANONICAL = [*D.HEADER_WORDS, "first_name", "last_name"]
 
@@ -26,20 +25,42 @@ def file_listing(spark: SparkSession, path: str, extensions: list[str] | None =
             .withColumn("file_name", F.element_at(F.split("path", "/"), -1)).orderBy("path"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, at (place in the file) and text of every line; latin-1 files are decoded.
+#: A record of delimited text: cells in quotes may hold commas and line breaks.
+RECORD = r'((?:(?:"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^",\r\n][^,\r\n]*+)?+,?+)++)'
+CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 
-    ``at`` orders the lines of a file across its splits.
+
+def read_lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
+    """file, at (place in the file), modified (date) and text of every line.
+
+    Lines are read by splittable scans; files that are not valid UTF-8 are
+    latin-1.  Files in UTF-16, and with ``quoted`` those with line breaks inside
+    quoted cells, are read as a whole and cut into records; which files these
+    are is one small job.  ``at`` orders the lines of a file across its splits.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
-        "value")
-    checked = raw.withColumn("_utf8", F.try_validate_utf8("value"))
+        F.col("_metadata.file_modification_time").cast("date").alias("modified"), "value")
+    odd = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
+    if quoted:
+        odd = odd | ((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+    whole = [r[0] for r in raw.filter(odd).select("file").distinct().collect()]  # names of the odd files only
+    lines = raw.filter(~F.col("file").isin(whole)) if whole else raw
+    checked = lines.withColumn("_utf8", F.try_validate_utf8("value"))
     foreign = checked.filter(F.col("_utf8").isNull()).select("file").distinct().withColumn("_latin", F.lit(True))
-    return join_dimension(checked, foreign, "file", ["at"]).select(
-        "file", "at", F.regexp_replace(F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-                                       .otherwise(F.col("_utf8")), "^﻿|\r$", "").alias("text"))
+    out = join_dimension(checked, foreign, "file", ["at"]).select(
+        "file", "at", "modified", F.regexp_replace(F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+                                                   .otherwise(F.col("_utf8")), "^\ufeff|\r$", "").alias("text"))
+    if whole:
+        files = spark.read.format("binaryFile").load(whole).select(
+            F.col("_metadata.file_path").alias("file"), F.col("modificationTime").cast("date").alias("modified"),
+            F.regexp_replace(decode_content(F.col("content")), "^\ufeff", "").alias("_all"))
+        records = F.regexp_extract_all("_all", F.lit(RECORD if quoted else r"([^\r\n]++)"), F.lit(1))
+        parts = files.select("file", "modified", F.posexplode(records).alias("_pos", "text"))
+        out = out.unionByName(parts.select("file", F.struct(F.lit(0).cast("bigint").alias("block"), F.col("_pos").cast("bigint").alias("row")).alias("at"),
+                                           "modified", "text"))
+    return out
 
 
 def head_lines(lines: DataFrame, n: int = 10) -> DataFrame:
@@ -57,6 +78,14 @@ def decode_content(content: Column) -> Column:
             .otherwise(F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))))
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Phones of documents that are no tables, one row each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("modificationTime").cast("date").alias("modified")).alias("f"), "content")
+    return phones_in_content(files, "f").select(
+        "f.file", F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("row")).alias("at"), "f.modified", F.col("phone").alias("raw_phone"))
+
+
 def phones_in_content(files: DataFrame, key: str) -> DataFrame:
     """Phone-like texts in the raw bytes of documents that are no tables."""
     text = F.make_valid_utf8(F.col("content").cast("string"))
@@ -64,10 +93,11 @@ def phones_in_content(files: DataFrame, key: str) -> DataFrame:
 
 
 # --- delimited files -------------------------------------------------------
-def _cells(line: Column, width: int) -> Column:
-    schema = ", ".join(f"c{i} STRING" for i in range(width))
-    parsed = F.from_csv(line, F.lit(schema), {"mode": "PERMISSIVE"})
-    return F.array(*[parsed[f"c{i}"] for i in range(width)])
+def _cells(record: Column) -> Column:
+    """All cells of a record, parsed once; an empty cell without quotes is null."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(CELL), F.lit(1))
+    inside = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), inside(x)).otherwise(F.nullif(x, F.lit(""))))
 
 
 def header_hits(line: Column) -> Column:
@@ -76,11 +106,11 @@ def header_hits(line: Column) -> Column:
     return sum((low.rlike("|".join(words)).cast("int") for words in D.HEADER_WORDS.values()), F.lit(0))
 
 
-def detect_headers(lines: DataFrame, width: int = 32) -> DataFrame:
+def detect_headers(lines: DataFrame) -> DataFrame:
     """Per file the line with most keyword families (the first of the best), its place and cells."""
     scored = head_lines(lines.filter("trim(text) <> ''")).withColumn("_hits", header_hits(F.col("text")))
     best = scored.groupBy("file").agg(F.max_by(F.struct("at", "text"), F.struct("_hits", (-F.col("line_no")).alias("n"))).alias("h"))
-    return best.select("file", F.col("h.at").alias("header_at"), _cells(F.col("h.text"), width).alias("cells"))
+    return best.select("file", F.col("h.at").alias("header_at"), _cells(F.col("h.text")).alias("cells"))
 
 
 def _first_index(cells: Column, used: Column, pattern: str) -> Column:
@@ -106,21 +136,18 @@ def map_columns(headers: DataFrame, words: dict[str, list[str]] | None = None) -
     }).drop("_low", "_used")
 
 
-def read_contact_csv(spark: SparkSession, path: str, width: int = 32) -> DataFrame:
-    """Rows of delimited contact files in canonical raw columns.
-
-    The lines are written once: places in a file are comparable only within one scan.
-    """
-    lines = staged(read_lines(spark, path), "lines")
-    mapping = map_columns(detect_headers(lines, width)).drop("cells")
+def read_contact_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of delimited contact files in canonical raw columns, for any number of columns."""
+    lines = read_lines(spark, path, quoted=True)
+    mapping = map_columns(detect_headers(lines)).drop("cells")
     data = join_dimension(lines, mapping, "file", ["at"], "inner").filter((F.col("at") > F.col("header_at")) & (F.trim("text") != ""))
-    data = data.withColumn("_c", _cells(F.col("text"), width))
+    data = computed_once(data, {"_c": _cells(F.col("text"))})
 
     def cell(name):
         return F.get("_c", F.col(f"i_{name}"))
 
     return data.select(
-        "file", "at", T.name_compose(cell("name"), cell("first_name"), cell("last_name")).alias("raw_name"),
+        "file", "at", "modified", T.name_compose(cell("name"), cell("first_name"), cell("last_name")).alias("raw_name"),
         *[cell(src).alias(dst) for src, dst in (
             ("phone", "raw_phone"), ("email", "raw_email"), ("address", "raw_address"), ("source", "raw_source"),
             ("campaign", "raw_campaign"), ("date", "raw_date"), ("note", "raw_note"), ("fb_uid", "raw_uid"), ("fb_link", "raw_link"))])
@@ -135,9 +162,18 @@ def identity_columns(headers: DataFrame) -> DataFrame:
             ("uid", D.IDENTITY_UID_WORDS), ("name", D.IDENTITY_NAME_WORDS), ("phone", D.IDENTITY_PHONE_WORDS))}).drop("_low")
 
 
+def read_identities(lines: DataFrame) -> DataFrame:
+    """uid, name and phone of the rows of identity files, by their own header words."""
+    heads = identity_columns(detect_headers(lines)).drop("cells")
+    data = join_dimension(lines, heads, "file", ["at"], "inner").filter((F.col("at") > F.col("header_at")) & (F.trim("text") != ""))
+    data = computed_once(data, {"_c": _cells(F.col("text"))})
+    cell = lambda name: T.blank_to_null(F.get("_c", F.col(f"i_{name}")))
+    return data.select("file", "at", "modified", *[cell(n).alias(n) for n in ("uid", "name", "phone")])
+
+
 # --- text files ------------------------------------------------------------
 def read_phone_list(spark: SparkSession, path: str) -> DataFrame:
-    return read_lines(spark, path).select("file", "at", F.trim("text").alias("raw_phone")).filter("raw_phone <> ''")
+    return read_lines(spark, path).select("file", "at", "modified", F.trim("text").alias("raw_phone")).filter("raw_phone <> ''")
 
 
 def social_files(lines: DataFrame) -> DataFrame:
@@ -170,7 +206,7 @@ def parse_social(lines: DataFrame) -> DataFrame:
 
 
 def read_social_txt(spark: SparkSession, path: str) -> DataFrame:
-    return social_rows(staged(read_lines(spark, path), "lines"))
+    return social_rows(read_lines(spark, path))
 
 
 def social_rows(lines: DataFrame) -> DataFrame:
@@ -182,5 +218,5 @@ def social_rows(lines: DataFrame) -> DataFrame:
 def plain_phone_files(lines: DataFrame) -> DataFrame:
     """Lines of the text files that are not social exports, one phone each."""
     flagged = join_dimension(lines, social_files(lines), "file", ["at"])
-    return (flagged.filter(~F.coalesce("is_social", F.lit(False))).select("file", "at", F.trim("text").alias("raw_phone"))
+    return (flagged.filter(~F.coalesce("is_social", F.lit(False))).select("file", "at", "modified", F.trim("text").alias("raw_phone"))
             .filter("raw_phone <> ''"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.operators.common import join_dimension
+
 from leadloom import dictionaries as D
 
 INSIGHT_SCHEMA = ("campaign_id STRING, adset_id STRING, adset_name STRING, ad_id STRING, date_start STRING, impressions BIGINT, "
@@ -76,13 +78,16 @@ def read_search_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge_profile_payloads(profiles: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The latest payload of each uid merged into the profile's JSON note."""
+    """The latest payload of each uid merged into the profile's JSON note; profiles without uid are left alone."""
     latest = payloads.groupBy("fb_uid").agg(F.max_by(F.struct("profile_data", "messages"), "synced_at").alias("p"))
     kept = F.coalesce(F.from_json("note", "map<string,string>"), F.create_map().cast("map<string,string>"))
     kept = F.map_filter(kept, lambda k, _: ~k.isin("extension_profile", "extension_messages"))
     merged = F.to_json(F.map_concat(kept, F.create_map(
         F.lit("extension_profile"), F.to_json("p.profile_data"), F.lit("extension_messages"), F.to_json("p.messages"))))
-    return (profiles.join(latest, profiles["uid"] == latest["fb_uid"], "left")
+    known = profiles.withColumn("_uid", F.nullif("uid", F.lit("")))
+    latest = latest.filter("fb_uid <> ''").withColumnRenamed("fb_uid", "_uid")
+    row = [c for c in ("profile_key", "phone", "name", "note") if c in profiles.columns]
+    return (join_dimension(known, latest, "_uid", row)
             .withColumn("synced", F.col("p").isNotNull())
             .withColumn("name", F.coalesce("p.profile_data.name", "name"))
-            .withColumn("note", F.when(F.col("synced"), merged).otherwise(F.col("note"))).drop("p", "fb_uid"))
+            .withColumn("note", F.when(F.col("synced"), merged).otherwise(F.col("note"))).drop("p", "_uid"))

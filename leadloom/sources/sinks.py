@@ -23,8 +23,9 @@ def lead_export(leads: DataFrame, path: str, columns: list[str] | None = None) -
 
 
 def rejects_export(rejected: DataFrame, path: str, run_ts: str) -> None:
-    """Appends the rejects of one run."""
-    rejected.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").parquet(path)
+    """The rejects of one run; a repeated run replaces its own."""
+    (rejected.withColumn("run_ts", F.lit(run_ts)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_ts").parquet(path))
 
 
 def identity_export(reconciled: DataFrame, path: str) -> None:

@@ -23,3 +23,31 @@ def test_three_phases(spark, tmp_path):
     calls = jobs.score(spark, data, "2024-01-31")
     assert calls.count() == hot["profiles"].count()
     assert calls.filter(F.col("cluster").isNull() | (F.col("lead_score") > 10)).count() == 0
+
+
+def contacts_of(spark, data, run):
+    return sorted(map(str, spark.read.parquet(f"{data}/contacts/run={run}/golden").collect()))
+
+
+def test_runs_can_be_repeated_and_come_late(spark, tmp_path):
+    boxes = {}
+    for day, names in (("2024-01-01", "abc"), ("2024-01-02", "cd"), ("2024-01-03", "ae")):
+        boxes[day] = tmp_path / day
+        for folder in ("csv", "txt", "documents", "identities"):
+            (boxes[day] / folder).mkdir(parents=True)
+        (boxes[day] / "csv" / f"{day}.csv").write_text("Full Name,Phone,Email\n" + "\n".join(f"{n} {day},091234567{ord(n) % 10},{n}@x.vn" for n in names) + "\nBad,12,\n")
+        (boxes[day] / "txt" / f"{day}.txt").write_text("0987654321\n")
+        (boxes[day] / "documents" / f"{day}.doc").write_bytes(b"\xff call 0977000111 now")
+        (boxes[day] / "identities" / f"{day}.csv").write_text("uid,Full Name,phone\n100012345678901,Old,\n100012345678901,Linh,0966000222\n")
+    first, second = str(tmp_path / "in-order"), str(tmp_path / "late")
+    for day in boxes:
+        jobs.ingest(spark, str(boxes[day]), first, day)
+    for day in ("2024-01-01", "2024-01-03", "2024-01-02", "2024-01-02"):
+        jobs.ingest(spark, str(boxes[day]), second, day)
+    for day in boxes:
+        assert contacts_of(spark, first, day) == contacts_of(spark, second, day)
+    rejects = spark.read.parquet(f"{second}/rejects").groupBy("run_ts", "reason").count().collect()
+    assert {r["count"] for r in rejects if "12" in r["reason"]} == {1} and len({r["run_ts"] for r in rejects}) == 3
+    last = {r["phone"]: r for r in spark.read.parquet(f"{first}/contacts/run=2024-01-03/golden").collect()}
+    assert {"0987654321", "0977000111", "0966000222"} <= last.keys() and last["0966000222"]["name"] == "Linh"
+    assert last["0966000222"]["uid"] == "100012345678901" and all(r["latest_file_date"] is not None for r in last.values())

@@ -37,6 +37,27 @@ def test_contact_csv(spark, tmp_path, split):
         assert by_file[f"f{i}.csv"] == want, HEADERS[i]
 
 
+@pytest.mark.parametrize("columns", [34, 48])
+def test_wide_files_quoted_breaks_and_encodings(spark, tmp_path, columns):
+    """Contact columns far to the right, line breaks in quoted cells, UTF-16 and latin-1 files."""
+    header = [f"Field {i}" for i in range(columns)]
+    header[0], header[columns - 2], header[columns - 1] = "Full Name", "Mobile Phone", "Email"
+    rows = [["Le \"Anh\"\nVan, A", *[""] * (columns - 3), f"091234567{n}", f"u{n}@x.vn"] for n in range(3)]
+    quote = lambda x: '"' + x.replace('"', '""') + '"' if x else ""
+    text = "\r\n".join([",".join(header), *[",".join(map(quote, r)) for r in rows]]) + "\r\n"
+    flat = text.replace("\n\"\"", "").replace("\"\"\nVan", "\"\" Van")
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    (tmp_path / "b.csv").write_bytes(flat.encode("utf-16"))
+    (tmp_path / "c.csv").write_bytes(flat.replace("Van", "Vân").encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes(f"Full Name,Phone\n5\" pipe,0912345678\nNext,0912345679\n".encode())
+    got = {}
+    for r in CF.read_contact_csv(spark, str(tmp_path)).collect():
+        got.setdefault(r["file"][-5:], set()).add((r["raw_name"], r["raw_phone"], r["raw_email"]))
+    want = lambda name: {(name, f"091234567{n}", f"u{n}@x.vn") for n in range(3)}
+    assert got["a.csv"] == want('Le "Anh"\nVan, A') and got["b.csv"] == want('Le "Anh" Van, A') and got["c.csv"] == want('Le "Anh" Vân, A')
+    assert got["d.csv"] == {('5" pipe', "0912345678", None), ("Next", "0912345679", None)}
+
+
 def test_first_and_last_name_columns(spark):
     headers = spark.createDataFrame([("a", ["first name", "last name", "phone number", "mobile phone"])], "file STRING, cells ARRAY<STRING>")
     row = CF.map_columns(headers).first()
