@@ -99,8 +99,9 @@ def html_body(html: Column) -> Column:
     return F.regexp_replace(body, r"(?is)<(script|style|nav|footer)\b[^>]*>.*?</\1>", " ")
 
 
-def phones_in_body(body: Column, keep: int = 10) -> Column:
-    """Numbers of ``tel:`` links, then of the visible text; at most ``keep`` per page."""
+def phones_in_body(body: Column, keep: int | None = None) -> Column:
+    """Numbers of ``tel:`` links, then of the visible text; the first ``keep`` when given."""
     hrefs = F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*?href\s*=\s*[\"']tel:([^\"']*)[\"']"), F.lit(1))
     visible = F.regexp_replace(body, r"(?s)<[^>]*>", " ")
-    return F.slice(F.array_union(F.array_compact(F.transform(hrefs, lambda p: phone_e164(p))), phones_in_text(visible)), 1, keep)
+    found = F.array_union(F.array_compact(F.transform(hrefs, lambda p: phone_e164(p))), phones_in_text(visible))
+    return found if keep is None else F.slice(found, 1, keep)

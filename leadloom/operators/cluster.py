@@ -56,14 +56,20 @@ def scaled_table(features: DataFrame, cols: list[str]) -> DataFrame:
     return staged(impute_scale(staged(features, "features"), cols), "scaled")
 
 
-def kmeans(scaled: DataFrame, k: int, starts: int = 10, seed: int = 42):
-    """Model with the lowest cost of several starts; the input should be a written table."""
-    models = [KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster_raw").fit(scaled)
+def kmeans(scaled: DataFrame, k: int, starts: int = 1, seed: int = 42):
+    """One fit over all rows; its k-means|| start already draws many candidates.
+
+    More ``starts`` keep the model of the lowest cost; each reads the table, which should be a written one.
+    """
+    models = [KMeans(k=k, seed=seed + i, initSteps=5, featuresCol="scaled", predictionCol="cluster_raw").fit(scaled)
               for i in range(starts)]
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def silhouette(labelled: DataFrame) -> float:
+    """Mean silhouette; -1 when all rows fell into one cluster."""
+    if labelled.agg(F.min("cluster_raw") == F.max("cluster_raw")).first()[0]:
+        return -1.0
     return ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster_raw").evaluate(labelled)
 
 
@@ -76,15 +82,18 @@ def ranked_clusters(labelled: DataFrame, by: str = "unified_score") -> DataFrame
             .withColumn("cluster_label", cluster_label(F.col("cluster"))))
 
 
-def choose_k(scaled: DataFrame, ks=(3, 4, 5, 6), rows: int = 15000, starts: int = 3, seed: int = 42) -> DataFrame:
-    """Silhouette per k on a bounded sample (the sample is the method, not a shortcut)."""
-    total = scaled.count()
-    share = min(1.0, 1.2 * rows / max(total, 1))
-    sample = staged((scaled if share >= 1.0 else scaled.sample(share, seed)).limit(rows), "sample")
-    scores = [(k, silhouette(kmeans(sample, k, starts, seed).transform(sample))) for k in ks]
+def choose_k(scaled: DataFrame, ks=(3, 4, 5, 6), starts: int = 1, seed: int = 42) -> DataFrame:
+    """Silhouette per k over all rows; it needs one pass, as distances come from the clusters' sums."""
+    scores = [(k, silhouette(kmeans(scaled, k, starts, seed).transform(scaled))) for k in ks]
     return scaled.sparkSession.createDataFrame(scores, "k INT, silhouette DOUBLE")
 
 
+def fit_best(scaled: DataFrame, ks=(3, 4, 5, 6), starts: int = 1, seed: int = 42):
+    """The model of the k with the best silhouette, the smallest of equals."""
+    models = [(k, kmeans(scaled, k, starts, seed)) for k in ks]
+    return max(models, key=lambda m: (silhouette(m[1].transform(scaled)), -m[0]))[1]
+
+
 def with_persona(labelled: DataFrame) -> DataFrame:
     """Persona of each cluster from the unscaled mean of its rows (its centre)."""
     centres = labelled.groupBy("cluster_raw").agg(*[F.avg(c).alias(f"_{c}") for c in

@@ -25,42 +25,20 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores, key or df.columns[0])
 
 
-BROADCAST_ROWS = 200_000  # a checked bound, some tens of MB at most
+def join_dimension(big: DataFrame, small: DataFrame, on: str, row: list[str], how: str = "left") -> DataFrame:
+    """Join with a table of one row per key; nothing runs while the plan is built.
 
-
-def join_dimension(big: DataFrame, small: DataFrame, on: str, spread_by: list[str], how: str = "left",
-                   stats: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a table with one row per key; the big side is not shuffled when that table is small.
-
-    The small side is written first, so that its size is known: up to
-    ``max_rows`` it is broadcast, beyond that hot keys are split (``skew_join``).
-    """
-    table = staged(small, "dimension")
-    if table.count() <= max_rows:
-        return big.join(F.broadcast(table), on, how)
-    return skew_join(big, table, on, spread_by, how, stats)
-
-
-def skew_join(big: DataFrame, small: DataFrame, on: str, spread_by: list[str], how: str = "left",
-              stats: DataFrame | None = None, parts: int = 64, share: int = 1000) -> DataFrame:
-    """Equi-join with one row per key on the small side and any key distribution on the big one.
-
-    Keys that hold more than 1/``share`` of the big side (so fewer than
-    ``share`` keys, which is why they may be broadcast) are split into ``parts``
-    by a hash of ``spread_by``, columns that identify a row; the small side
-    repeats only those keys.  Null keys match nothing and are spread as well.
-    ``stats`` may name a cheaper frame with the same keys to count them from.
+    How to join is left to adaptive execution: it sees the real sizes,
+    broadcasts a small side and splits skewed keys.  Rows without a key match
+    nothing; ``row``, columns that identify a row, gives each a key of its own,
+    so that they do not meet in one task.
     """
-    keys = (big if stats is None else stats).select(on)
-    limit = keys.count() / share
-    hot = (keys.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
-           .filter(F.col("_n") > limit).select(on, F.lit(True).alias("_hot")))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")
-    left = (big.join(F.broadcast(hot), on, "left")
-            .withColumn("_salt", F.when(F.col("_hot") | F.col(on).isNull(), salt).otherwise(0)).drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    if how == "inner":
+        return big.join(small, on, how)
+    apart = F.concat(F.lit("\0"), F.xxhash64(*row).cast("string"))
+    keyed = big.withColumn("_key", F.coalesce(F.col(on).cast("string"), apart))
+    side = small.filter(F.col(on).isNotNull()).withColumn("_key", F.col(on).cast("string")).drop(on)
+    return keyed.join(side, "_key", how).drop("_key")
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from leadloom.functions import text as T
 from leadloom.functions.numbers import half_up
 from leadloom.operators import score as S
 from leadloom.operators.common import join_dimension
-from leadloom.session import staged
 
 BASE_LISTING_SCORE, LISTING_STEP, LISTING_CAP = 3.0, 0.5, 8.0  # fixed values
 RECENT_FACTOR, STALE_BELOW = 1.5, 0.3  # fixed values
@@ -41,10 +40,27 @@ def social_hot_leads(interactions: DataFrame, as_of: str) -> DataFrame:
                     "hot_score", F.col("ts").alias("seen_at")))
 
 
+def social_hot_uids(interactions: DataFrame, as_of: str) -> DataFrame:
+    """The same reduced to one row per uid, which is all that profiles need: its score and its first behaviour."""
+    known = interactions.filter("uid <> ''")
+    named = F.when(F.col("behavior") != "", F.struct("event_id"))
+    firsts = known.groupBy("uid").agg(
+        F.min("event_id").alias("_any"), F.min_by(F.struct("event_id", "behavior", "keyword", "source_url", "ts"), named).alias("_first"))
+    return (interaction_scores(known, as_of).join(firsts, "uid").filter(F.col("hot_score") >= STALE_BELOW)
+            .select(F.lit("facebook").alias("source"), F.coalesce("_first.event_id", "_any").alias("seq"), "uid",
+                    F.lit(None).cast("string").alias("phone"), "_first.keyword", F.coalesce("_first.behavior", F.lit("")).alias("behavior"),
+                    "_first.source_url", "hot_score", F.col("_first.ts").alias("seen_at")))
+
+
+def valid_listings(listings: DataFrame) -> DataFrame:
+    """Listings with a mobile number; landlines and broken numbers are no leads."""
+    return listings.filter(P.phone_e164(F.col("phone")).isNotNull())
+
+
 def listing_scores(listings: DataFrame) -> DataFrame:
-    """One row per phone: frequency score, and the first listing's keyword, url and time."""
+    """One row per valid phone: frequency score, and the first listing's keyword, url and time."""
     scored = F.lit(BASE_LISTING_SCORE) + (F.count("*") - 1) * F.lit(LISTING_STEP)
-    return listings.groupBy("phone").agg(
+    return valid_listings(listings).groupBy("phone").agg(
         half_up(F.least(scored, F.lit(LISTING_CAP)), 2).alias("hot_score"),
         F.count("*").alias("listings"),
         F.min_by(F.struct("id", "keyword", "source_url", "scraped_at"), "id").alias("first"),
@@ -59,21 +75,21 @@ def listing_hot_leads(listings: DataFrame) -> DataFrame:
 
 
 def listing_dedup(listings: DataFrame) -> DataFrame:
-    """The row with the smallest id of each phone."""
+    """The row with the smallest id of each valid phone."""
     cols = [c for c in listings.columns if c != "phone"]
-    return (listings.groupBy("phone").agg(F.min_by(F.struct(*cols), "id").alias("first"))
+    return (valid_listings(listings).groupBy("phone").agg(F.min_by(F.struct(*cols), "id").alias("first"))
             .select("phone", "first.*"))
 
 
 def match_hot_leads(hot: DataFrame, profiles: DataFrame) -> DataFrame:
     """Adds the profile of each hot lead: by uid, else by phone."""
-    keys = staged(profiles.select("profile_key", "uid"), "profile-keys")
+    keys = profiles.select("profile_key", "uid")
     by_uid = keys.filter("uid <> ''").groupBy("uid").agg(F.max("profile_key").alias("_by_uid"))
     by_phone = keys.select(F.col("profile_key").alias("_phone_key"),
                                F.col("profile_key").alias("_by_phone")).distinct()
     keyed = hot.withColumn("_phone_key", P.phone_join_key(F.col("phone")))
     row = ["source", "seq"]
-    matched = join_dimension(join_dimension(keyed, by_uid, "uid", row), by_phone, "_phone_key", row, stats=keyed)
+    matched = join_dimension(join_dimension(keyed, by_uid, "uid", row), by_phone, "_phone_key", row)
     return (
         matched.withColumn("profile_key", F.coalesce("_by_uid", "_by_phone"))
         .withColumn("is_existing_customer", F.col("profile_key").isNotNull())

@@ -210,19 +210,21 @@ def chat_chunks(messages: DataFrame, key: str = "conv_id", block: int = 200) ->
     return chunks.join(two.select(key, "block", F.concat_ws(" ", "_p2.tail", "_p1.tail").alias("before")), [key, "block"])
 
 
-def stored_text(chunks: DataFrame, key: str, chars: int) -> DataFrame:
-    """The first ``chars`` characters of the joined text.
+def stored_text(chunks: DataFrame, key: str, chars: int | None) -> DataFrame:
+    """The joined text, or its first ``chars`` characters.
 
     Every chunk adds at least the joining blank, so ``chars`` + 1 chunks are enough.
     """
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("block", "chunk"))), lambda x: x["chunk"])
+    if chars is None:
+        return chunks.groupBy(key).agg(F.array_join(texts, " ").alias("full_text"))
     head = top_per_key(chunks.select(key, "block", F.substring("chunk", 1, chars).alias("chunk")), key, ["block"], chars + 1, F.col("block"))
     before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = head.withColumn("_start", F.coalesce(F.sum(F.length("chunk") + 1).over(before), F.lit(0))).filter(F.col("_start") <= chars)
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("block", "chunk"))), lambda x: x["chunk"])
     return placed.groupBy(key).agg(F.substring(F.array_join(texts, " "), 1, chars).alias("full_text"))
 
 
-def chat_leads(messages: DataFrame, key: str = "conv_id", stored_chars: int = 2000) -> DataFrame:
+def chat_leads(messages: DataFrame, key: str = "conv_id", stored_chars: int | None = None) -> DataFrame:
     """Phone, e-mail, intent, message count, first sender and stored text per conversation."""
     chunks = chat_chunks(messages, key)
     text = F.concat_ws(" ", F.nullif("before", F.lit("")), "chunk")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions import text as T
-from leadloom.operators.common import computed_once, join_dimension, skew_join
+from leadloom.operators.common import computed_once, join_dimension
 
 STATUSES = ("valid", "duplicate", "missing_contact", "invalid_phone")
 
@@ -48,17 +48,13 @@ def history_keys(contacts: DataFrame) -> DataFrame:
             .filter(F.coalesce(F.col("lead_key"), F.lit("")) != "").distinct())
 
 
-def _flag_seen(keyed: DataFrame, history: DataFrame, spread_by: list[str]) -> DataFrame:
-    return skew_join(keyed, history.select("lead_key", F.lit(True).alias("_seen")), "lead_key", spread_by)
-
-
-def unseen(keyed: DataFrame, history: DataFrame, spread_by: list[str]) -> DataFrame:
+def unseen(keyed: DataFrame, history: DataFrame, row: list[str]) -> DataFrame:
     """Rows whose key is not in the history (distinct keys)."""
-    return _flag_seen(keyed, history, spread_by).filter("_seen IS NULL").drop("_seen")
+    return join_dimension(keyed, history.select("lead_key"), "lead_key", row, "left_anti")
 
 
-def already_seen(keyed: DataFrame, history: DataFrame, spread_by: list[str]) -> DataFrame:
-    return _flag_seen(keyed, history, spread_by).filter("_seen").drop("_seen")
+def already_seen(keyed: DataFrame, history: DataFrame) -> DataFrame:
+    return keyed.join(history.select("lead_key"), "lead_key", "left_semi")
 
 
 def mark_status(keyed: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -171,17 +167,15 @@ def golden_files(keyed: DataFrame) -> DataFrame:
             .select("lead_key", "file_name").distinct())
 
 
-def joined_list(members: DataFrame, value: str, alias: str, limit: int = 1000) -> DataFrame:
-    """', '-joined sorted list per contact for display.
+def joined_list(members: DataFrame, value: str, alias: str) -> DataFrame:
+    """', '-joined sorted list per contact for display, with its first value and its length.
 
-    Contacts with more than ``limit`` values get a null text and their count;
-    the member table keeps all of them.
+    The members of a contact are distinct files or names; the text holds all of
+    them, first value and count do not depend on it.
     """
-    counted = members.groupBy("lead_key").agg(F.count("*").alias("n"))
-    small = members.join(counted.filter(F.col("n") <= limit), "lead_key", "left_semi")
-    lists = small.groupBy("lead_key").agg(
-        F.array_join(F.sort_array(F.collect_list(value)), ", ").alias(alias))
-    return counted.join(lists, "lead_key", "left").withColumnRenamed("n", f"{alias}_count")
+    return members.groupBy("lead_key").agg(
+        F.array_join(F.sort_array(F.collect_list(value)), ", ").alias(alias),
+        F.min(value).alias(f"{alias}_first"), F.count("*").alias(f"{alias}_count"))
 
 
 def merge_duplicates(duplicates: DataFrame, contacts: DataFrame, stored_files: DataFrame) -> DataFrame:

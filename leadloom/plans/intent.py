@@ -222,7 +222,7 @@ def win7_last_messages(spark, sf):
 cte("o_joined", "SELECT conv_id, lower(string_agg(text, ' ' ORDER BY idx)) AS t, count(*) AS message_count, arg_min(sender, idx) FILTER (WHERE sender <> 'agent') AS first_sender FROM {v_messages} GROUP BY conv_id")
 cte("o_chat_lead", f"""
 SELECT conv_id, nullif(regexp_extract(t, '0[3-9][0-9]{{8}}', 0), '') AS phone, nullif(regexp_extract(t, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_]+', 0), '') AS email,
-       message_count, first_sender, {_intent('t')} AS intent_score, substr(t, 1, 2000) AS full_text FROM {{o_joined}}""")
+       message_count, first_sender, {_intent('t')} AS intent_score, t AS full_text FROM {{o_joined}}""")
 
 
 @query("agg41_chat_lead", "SELECT * FROM {o_chat_lead}")
@@ -268,7 +268,7 @@ FROM {{o_leads}} LEFT JOIN {{o_top_hot}} h USING (profile_key) LEFT JOIN {{o_cha
 
 
 def _p360(spark, sf):
-    leads, matched = RP.scored_profiles(spark, sf)
+    leads, matched = RP.scored_profiles(spark, sf, events=True)
     return PR.profile_360(leads, matched, load(spark, sf, "v_chat_leads"), social(spark, sf))
 
 

@@ -25,6 +25,12 @@ def hot(spark, sf):
         E.listing_hot_leads(load(spark, sf, "v_listings")))
 
 
+def hot_people(spark, sf):
+    """Hot leads reduced to one row per uid and per phone."""
+    return E.social_hot_uids(load(spark, sf, "v_interactions"), AS_OF).unionByName(
+        E.listing_hot_leads(load(spark, sf, "v_listings")))
+
+
 def profiles(spark, sf, base=None):
     """Profiles and matched hot leads; the matched leads feed both."""
     known = E.profiles_of(contacts(spark, sf) if base is None else base)
@@ -32,19 +38,22 @@ def profiles(spark, sf, base=None):
     return known.unionByName(E.new_profiles(matched)), matched
 
 
-def scored_profiles(spark, sf):
+def scored_profiles(spark, sf, events=False):
     """Profiles with cluster (a fixed rule here), scores and analytics, and the matched leads.
 
-    Scored contacts and matched leads are tables of the stored model, each read several times.
+    Scored contacts are a table of the stored model, read several times.  Scores
+    need one matched row per uid and phone only; with ``events`` the matched leads
+    are all interactions.
     """
     base = staged(scored(spark, sf).select(
         "name", "phone", "uid", "email", "address", "source", "note", "source_count", "unified_score",
         "source_tier", "source_weight"), "scored")
     known = E.profiles_of(base)
-    matched = staged(E.match_hot_leads(hot(spark, sf), known), "matched")
+    matched = E.match_hot_leads(hot_people(spark, sf), known)
     people = known.unionByName(E.new_profiles(matched))
     full = E.with_contact_analytics(E.with_hot(people, matched), base)
-    return E.with_lead_score(full.withColumn("cluster", (c("source_count") % 3).cast("int"))), matched
+    leads = E.with_lead_score(full.withColumn("cluster", (c("source_count") % 3).cast("int")))
+    return leads, E.match_hot_leads(hot(spark, sf), known) if events else matched
 
 
 def leads(spark, sf):
@@ -59,7 +68,7 @@ FROM {{v_interactions}} WHERE uid <> '' GROUP BY uid""")
 cte("o_listing", f"""
 SELECT phone, {O.rnd('least(8e0, 3e0 + (count(*) - 1) * 0.5e0)', 2)} AS hot_score, count(*) AS listings,
        min(id) AS id, arg_min(keyword, id) AS keyword, arg_min(source_url, id) AS source_url, arg_min(scraped_at, id) AS scraped_at
-FROM {{v_listings}} GROUP BY phone""")
+FROM {{v_valid_listings}} GROUP BY phone""")
 cte("o_hot", """
 SELECT 'facebook' AS source, event_id AS seq, uid, CAST(NULL AS VARCHAR) AS phone, keyword, behavior, source_url, hot_score
 FROM {v_interactions} JOIN {o_uid_score} USING (uid) WHERE hot_score >= 0.3
@@ -140,7 +149,7 @@ def agg4_listing_frequency(spark, sf):
 
 
 @query("agg5_listing_dedup", """
-SELECT l.phone, l.id, l.keyword, l.source_url FROM {v_listings} l JOIN (SELECT min(id) AS id FROM {v_listings} GROUP BY phone) m ON l.id = m.id""")
+SELECT l.phone, l.id, l.keyword, l.source_url FROM {v_valid_listings} l JOIN (SELECT min(id) AS id FROM {v_valid_listings} GROUP BY phone) m ON l.id = m.id""")
 def agg5_listing_dedup(spark, sf):
     return E.listing_dedup(load(spark, sf, "v_listings")).drop("scraped_at")
 
@@ -214,7 +223,7 @@ def txt9_phones_from_text(spark, sf):
 
 @query("txt10_phones_from_html", f"""
 SELECT page_id, phone, CAST(pos AS INTEGER) AS pos FROM (
-  SELECT page_id, phone, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM {_first_of('list_concat(l_phones, t_phones)')} t) u WHERE pos < 10""")
+  SELECT page_id, phone, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM {_first_of('list_concat(l_phones, t_phones)')} t) u""")
 def txt10_phones_from_html(spark, sf):
     rows = load(spark, sf, "v_search_results").select("page_id", P.html_body(c("html")).alias("body"))
     return rows.select("page_id", F.posexplode(P.phones_in_body(c("body"))).alias("pos", "phone"))
@@ -232,7 +241,7 @@ def flt9_trusted_domain(spark, sf):
 
 
 cte("o_page_phones", f"""
-SELECT page_id, list(phone ORDER BY i)[1:10] AS phones FROM {_first_of('list_concat(l_phones, t_phones)')} t GROUP BY page_id""")
+SELECT page_id, list(phone ORDER BY i) AS phones FROM {_first_of('list_concat(l_phones, t_phones)')} t GROUP BY page_id""")
 cte("o_union_phones", f"""
 SELECT link, phone, min(i) AS i FROM (
   SELECT link, unnest(both_lists) AS phone, generate_subscripts(both_lists, 1) AS i
@@ -263,7 +272,7 @@ def agg7_province_counts(spark, sf):
 @query("agg8_system_counts", """
 SELECT 'raw_contacts' AS metric, count(*) AS value FROM {v_raw_contacts} UNION ALL SELECT 'clean_contacts', count(*) FROM {o_golden}
 UNION ALL SELECT 'customer_profiles', count(*) FROM {o_leads} UNION ALL SELECT 'hot_leads', count(*) FROM {o_hot} WHERE hot_score > 0
-UNION ALL SELECT 'google_leads', count(*) FROM {v_listings} UNION ALL SELECT 'vip_customers', count(*) FROM {o_leads} WHERE lead_score >= 8
+UNION ALL SELECT 'google_leads', count(*) FROM {v_valid_listings} UNION ALL SELECT 'vip_customers', count(*) FROM {o_leads} WHERE lead_score >= 8
 UNION ALL SELECT 'warm_leads', count(*) FROM {o_leads} WHERE lead_score >= 5 AND lead_score < 8
 UNION ALL SELECT 'with_uid', count(*) FROM {o_leads} WHERE uid <> ''""")
 def agg8_system_counts(spark, sf):
@@ -271,7 +280,7 @@ def agg8_system_counts(spark, sf):
     return R.count_rows({
         "raw_contacts": (load(spark, sf, "v_raw_contacts"), None), "clean_contacts": (contacts(spark, sf), None),
         "customer_profiles": (people, None), "hot_leads": (hot(spark, sf), c("hot_score") > 0),
-        "google_leads": (load(spark, sf, "v_listings"), None), "vip_customers": (people, score >= 8),
+        "google_leads": (E.valid_listings(load(spark, sf, "v_listings")), None), "vip_customers": (people, score >= 8),
         "warm_leads": (people, (score >= 5) & (score < 8)), "with_uid": (people, c("uid") != "")})
 
 

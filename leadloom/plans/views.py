@@ -30,18 +30,17 @@ def _phone(key: str) -> str:
 
 
 FILE_NAMES = [
-    "DSKH NGAN HANG HSBC TIET KIEM.csv", "KH VPBank Priority Banking 2024.csv",
-    "100 Villa Sai Gon Pearl Vinhomes.csv", "Chung Cu Masteri The Tresor.csv",
-    "DS CEO GIAM DOC HCM 2000 KH.csv", "BMW Mercedes Lexus Owner List.csv",
-    "CHUNG KHOAN SSI Top NHA DAU TU.csv", "King Fitness InBody 500 KH.csv",
-    "Vietnamwork DS Ung Vien Senior.csv", "viettel-tphcm-tra-sau-2023.csv",
-    "mobifone_MOBI_HCM.csv", "random file khong ro nguon.csv", "50 khach hang chuyen nghiep.csv",
+    "Techcombank gui tiet kiem quy 3.csv", "Sacombank Priority hoi vien.csv",
+    "Biet thu Ecopark cu dan.csv", "Can ho Sunrise City dot 2.csv",
+    "CEO giam doc Binh Duong.csv", "Audi Lexus chu xe.csv",
+    "Nha dau tu VNDirect chung khoan.csv", "Yoga Fitness hoi vien.csv",
+    "TopCV ung vien ke toan.csv", "vinaphone tra truoc HN.csv",
+    "mobifone dot 3.csv", "danh sach chua phan loai.csv", "khach cu nhieu nguon.csv",
 ]
 ADDRESSES = ["12 Lê Lợi, Quận 1, TP HCM", "Số 5 Tràng Tiền, Hà Nội", "Nha Trang", "", "  ",
              "Biên Hòa, Đồng Nai", "Quận Hải Châu, Đà Nẵng", "Vinh, Nghệ An", "Thủ Dầu Một, Bình Dương",
              "TP Vũng Tàu", "nan", "Huế"]
-KEYWORDS = ["Bảng giá dự án", "Cọc thiện chí", "Biệt thự nghỉ dưỡng", "Đất nền quy hoạch",
-            "Căn hộ tiện ích", ""]
+KEYWORDS = ["Lịch mở bán đợt hai", "Giữ chỗ căn góc", "Nhà phố ven sông", "Đất vườn giá tốt", "Chung cư gần ga", ""]
 PHRASES = [
     "Tôi muốn đặt cọc căn này", "Giá căn 2 phòng bao nhiêu?",
     "Cuối tuần này đến xem dự án được không", "Ngân sách tầm 4 - 5 tỷ",
@@ -102,8 +101,9 @@ SELECT event_id AS id,
            || '/tin/' || CAST(event_id % 400 AS STRING) AS source_url,
        {_pick('event_id % 6', KEYWORDS)} AS keyword,
        CAST(ts AS TIMESTAMP) AS scraped_at
-FROM {{events}}
-WHERE user_id % 6 <> 4""",
+FROM {{events}}""",
+
+    "v_valid_listings": "SELECT * FROM {v_listings} WHERE substr(phone, 4, 1) <> '2'",
 
     "v_messages": f"""
 SELECT conv_id, turn AS idx,

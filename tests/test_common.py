@@ -15,21 +15,23 @@ def skewed(spark, n=3000):
     return spark.range(n).withColumn("k", key)
 
 
-def test_skew_join_equals_plain_join(spark):
+def test_join_dimension_equals_plain_join(spark):
     big = skewed(spark)
-    small = big.groupBy("k").agg(F.max("id").alias("m")).filter("k IS NOT NULL AND k <> 'k7'")
+    small = big.groupBy("k").agg(F.max("id").alias("m")).filter("k <> 'k7'")
     for how in ("left", "inner"):
-        got = C.skew_join(big, small, "k", ["id"], how, parts=8, share=10).select("id", "k", "m")
-        assert rows_of(got) == rows_of(big.join(small, "k", how).select("id", "k", "m"))
+        assert rows_of(C.join_dimension(big, small, "k", ["id"], how).select("id", "k", "m")) == rows_of(big.join(small, "k", how).select("id", "k", "m"))
+    assert rows_of(C.join_dimension(big, small.select("k"), "k", ["id"], "left_anti")) == rows_of(big.join(small, "k", "left_anti").select("id", "k"))
+    numbers = big.select("id", (F.col("id") % 5).alias("k"))
+    assert C.join_dimension(numbers, numbers.groupBy("k").agg(F.count("*").alias("m")), "k", ["id"]).filter("m = 600").count() == 3000
 
 
-def test_skew_join_spreads_the_hot_key(spark):
-    big = skewed(spark)
-    small = big.filter("k IS NOT NULL").groupBy("k").agg(F.max("id").alias("m"))
+def test_rows_without_key_are_spread(spark):
+    big = spark.range(3000).select("id", F.lit(None).cast("string").alias("k"))
+    small = spark.createDataFrame([("a", 1)], "k STRING, m INT")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = C.skew_join(big, small, "k", ["id"], parts=64, share=10)
+        joined = C.join_dimension(big, small, "k", ["id"])
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
@@ -37,12 +39,20 @@ def test_skew_join_spreads_the_hot_key(spark):
     assert sum(sizes) == 3000 and max(sizes) < 1000
 
 
-def test_join_dimension_both_ways(spark):
-    big = skewed(spark)
-    small = big.filter("k IS NOT NULL").groupBy("k").agg(F.max("id").alias("m"))
-    want = rows_of(big.join(small, "k", "left").select("id", "k", "m"))
-    for bound in (10, 100000):
-        assert rows_of(C.join_dimension(big, small, "k", ["id"], max_rows=bound).select("id", "k", "m")) == want
+def test_joins_are_lazy(spark):
+    from leadloom.operators import enrich as E
+    from leadloom.plans.views import load
+
+    sf, tracker = "/root/testdata/sf0.001", spark.sparkContext.statusTracker()
+    interactions, listings = load(spark, sf, "v_interactions"), load(spark, sf, "v_listings")
+    people = spark.createDataFrame([("+84912345678", "1")], "profile_key STRING, uid STRING")
+    spark.sparkContext.setJobGroup("lazy", "plan building")
+    try:
+        hot = E.social_hot_leads(interactions, "2024-01-31").unionByName(E.listing_hot_leads(listings))
+        E.hot_by_profile(E.match_hot_leads(hot, people))
+        assert not tracker.getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_blocked_windows_equal_plain_windows(spark):
