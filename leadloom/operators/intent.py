@@ -197,10 +197,13 @@ def last_messages(messages: DataFrame, n: int = 3, key: str = "conv_id") -> Data
 def chat_chunks(messages: DataFrame, key: str = "conv_id", block: int = 200) -> DataFrame:
     """Joined lower-case text of up to ``block`` messages, with the tail of what came before.
 
+    Messages are counted first, so ``idx`` may have gaps (a time, for example).
+
     The tail keeps a phrase that runs over the border of two chunks visible.
     Only tails are ordered per conversation, and those in blocks.
     """
-    rows = messages.withColumn("block", F.floor(F.col("idx") / block))
+    counted = blocked_row_number(messages, key, "idx", "_n")
+    rows = counted.withColumn("block", F.floor((F.col("_n") - 1) / block))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text")))),
                                       lambda m: m["text"]), " ")
     chunks = staged(rows.groupBy(key, "block").agg(F.lower(joined).alias("chunk")), "chunks")

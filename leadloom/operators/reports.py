@@ -110,10 +110,11 @@ def audit(files: DataFrame) -> DataFrame:
         half_up(F.col("size_bytes") / F.lit(1024.0), 2).alias("size_kb"))
 
 
-def lookup(contacts: DataFrame, queries: list[str]) -> DataFrame:
-    """Contacts that match any of the search texts, one row per match.
+def lookup(contacts: DataFrame, queries: list[str], written: DataFrame | None = None) -> DataFrame:
+    """Contacts that match any of the search texts by phone, e-mail or part of the name, one row per match.
 
-    Every contact is tested against the list, an argument, in one scan; nothing is joined.
+    Every contact is tested against the list, an argument, in one scan.
+    ``written`` (lead_key, raw_phone) adds the contacts with a phone that was written as the text.
     """
     texts = F.transform(F.array(*[F.lit(q) for q in queries]), lambda q: F.struct(
         q.alias("query"), P.lookup_text(q).alias("q")))
@@ -123,8 +124,14 @@ def lookup(contacts: DataFrame, queries: list[str]) -> DataFrame:
         return F.coalesce((F.col("phone") == q) | (F.col("email") == F.lower(q))
                           | F.lower("name").contains(F.lower(q)), F.lit(False))
 
-    return contacts.select(F.explode(F.filter(texts, hit)).alias("hit"), "lead_key", "phone", "email", "name").select(
+    found = contacts.select(F.explode(F.filter(texts, hit)).alias("hit"), "lead_key", "phone", "email", "name").select(
         F.col("hit.query").alias("query"), "lead_key", "phone", "email", "name")
+    if written is None:
+        return found
+    asked = [q.strip() for q in queries if q.strip()]
+    hits = written.filter(F.col("raw_phone").isin(asked)).select("lead_key", F.col("raw_phone").alias("query"))
+    more = contacts.join(hits, "lead_key").select("query", "lead_key", "phone", "email", "name")
+    return found.unionByName(more).distinct()
 
 
 def lookup_keys(contacts: DataFrame, queries: DataFrame) -> DataFrame:

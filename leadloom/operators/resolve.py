@@ -167,6 +167,12 @@ def golden_files(keyed: DataFrame) -> DataFrame:
             .select("lead_key", "file_name").distinct())
 
 
+def golden_phones(keyed: DataFrame) -> DataFrame:
+    """Every distinct phone text of a contact as it was written, one row each."""
+    return (keyed.filter("phone IS NOT NULL AND reject IS NULL")
+            .select("lead_key", F.trim("raw_phone").alias("raw_phone")).distinct())
+
+
 def joined_list(members: DataFrame, value: str, alias: str) -> DataFrame:
     """', '-joined sorted list per contact for display, with its first value and its length.
 

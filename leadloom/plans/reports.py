@@ -9,9 +9,10 @@ from leadloom.functions import dates as DT
 from leadloom.operators import cluster as C
 from leadloom.operators import enrich as E
 from leadloom.operators import reports as R
+from leadloom.operators import resolve as RS
 from leadloom.operators.common import numbered, top_per_key
 from leadloom.plans import duck as O
-from leadloom.plans.contacts import contacts, scored
+from leadloom.plans.contacts import contacts, keyed, scored
 from leadloom.plans.registry import cte, query
 from leadloom.plans.views import load
 from leadloom.session import staged
@@ -396,15 +397,21 @@ def flt1_leads_filter(spark, sf):
     return leads(spark, sf).filter((c("lead_score") >= 5) & (c("cluster") == 2)).select("profile_key", "lead_score")
 
 
-_LOOKUPS = ["091.0000000", "+84320007919", "user7@mail.example.com", "Customer#00000012", "10023757"]
-_Q = O.values([[q, n] for q, n in zip(_LOOKUPS, ["0910000000", "0320007919", "user7@mailexamplecom", "Customer#00000012", "10023757"])])
+# Phones as typed, an e-mail, parts of names, phones as some files write them, and 500 numbers.
+_PHONES = [f"0{910000000 + 7919 * n:09d}" for n in range(500)]
+_WRITTEN = ["10 0023757", "032 0007919", "32-0015838"]
+_LOOKUPS = ["091.0000000", "+84320007919", "user7@mail.example.com", "Customer#00000012", "10023757", *_WRITTEN, *_PHONES]
+_Q = O.values([[q, n] for q, n in zip(_LOOKUPS, ["0910000000", "0320007919", "user7@mailexamplecom", "Customer#00000012", "10023757",
+                                                 "0100023757", "0320007919", "32-0015838", *_PHONES], strict=True)])
 
 
 @query("flt2_contact_lookup", f"""
 SELECT query, lead_key, phone, email, name FROM {{o_golden}}, {_Q} v(query, q)
-WHERE phone = q OR email = lower(q) OR contains(lower(name), lower(q))""")
+WHERE phone = q OR email = lower(q) OR contains(lower(name), lower(q))
+UNION SELECT DISTINCT k.raw_phone, g.lead_key, g.phone, g.email, g.name FROM {{o_golden}} g JOIN {{o_keyed}} k USING (lead_key)
+WHERE g.phone IS NOT NULL AND k.reject IS NULL AND trim(k.raw_phone) IN ({', '.join(O.lit(x) for x in _LOOKUPS)})""")
 def flt2_contact_lookup(spark, sf):
-    return R.lookup(contacts(spark, sf), _LOOKUPS)
+    return R.lookup(contacts(spark, sf), _LOOKUPS, RS.golden_phones(keyed(spark, sf)))
 
 
 @query("flt2_lookup_keys", """

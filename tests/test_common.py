@@ -91,7 +91,8 @@ def test_chat_text_in_chunks_equals_joined_text(spark):
         joined = " ".join(t[3] for t in texts if t[0] == c)
         row = spark.createDataFrame([(joined,)], "t STRING").select(I.T.chat_intent(F.col("t")).alias("s")).first()
         want[c] = (joined[:100], row["s"])
-    for block in (3, 1000):
+    sparse = rows.withColumn("idx", F.col("idx") * 100_003)
+    for block, rows in ((3, rows), (1000, rows), (3, sparse)):
         chunks = I.chat_chunks
         I.chat_chunks = lambda m, k, b=block: chunks(m, k, b)
         try:
