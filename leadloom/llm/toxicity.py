@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from leadloom.llm.batches import add_columns, column, ship
+from leadloom.llm.batches import add_columns, column, ship, slices
 from leadloom.llm.common import staged
 from leadloom.llm.labels import sample
 
@@ -16,9 +16,31 @@ ORDERS = (4, 6, 8)
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes of all character n-grams of the lower-cased texts, each text between two spaces, and the text each is from."""
-    joined = "\0".join(f" {t.lower()} " for t in texts)
+PIECE = 1 << 18
+
+
+def pieces(texts: list[str]):
+    """The lower-cased texts between two spaces, in lists of about ``PIECE`` characters with the number of the text of each.
+
+    A longer text is cut; the cuts overlap, so that every n-gram lies in one of its pieces.
+    """
+    parts, owners, size = [], [], 0
+    for k, text in enumerate(texts):
+        whole = f" {text.lower()} "
+        for start in range(0, len(whole), PIECE):
+            parts.append(whole[start:start + PIECE + max(ORDERS) - 1])
+            owners.append(k)
+            size += len(parts[-1])
+            if size >= PIECE:
+                yield parts, np.array(owners)
+                parts, owners, size = [], [], 0
+    if parts:
+        yield parts, np.array(owners)
+
+
+def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of all character n-grams of the strings, and the string each is from."""
+    joined = "\0".join(parts)
     chars = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     gaps = np.cumsum(chars == 0)
     codes, owners = [], []
@@ -44,9 +66,7 @@ def strings(texts: pa.Array) -> list[str]:
     return [(t or "").replace("\0", " ") for t in texts.to_pylist()]
 
 
-def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (code, text) pairs."""
-    codes, owners = grams(texts)
+def _distinct(codes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((codes, owners))
     codes, owners = codes[order], owners[order]
     new = np.ones(len(codes), bool)
@@ -54,6 +74,15 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[new], owners[new]
 
 
+def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (code, text) pairs."""
+    found = []
+    for parts, owners in pieces(texts):
+        codes, part = grams(parts)
+        found.append(_distinct(codes, owners[part]))
+    return _distinct(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 @dataclass
 class Model:
     """Codes in sorted order with their weights (log-count ratio times learnt weight), and an intercept."""
@@ -64,17 +93,20 @@ class Model:
 
     def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (feature, text) pairs of the model's n-grams in the texts."""
-        codes, owners = grams(texts)
-        if not len(self.codes) or not len(codes):
+        if not len(self.codes):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         if not hasattr(self, "sieve"):  # most n-grams fall through, at one look-up each
             self.sieve = np.zeros(1 << 20, bool)
             self.sieve[self.codes >> np.uint64(44)] = True
-        near = self.sieve[codes >> np.uint64(44)]
-        codes, owners = codes[near], owners[near]
-        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        hit = self.codes[place] == codes
-        pairs = np.unique(owners[hit] * len(self.codes) + place[hit])
+        found = [np.empty(0, np.int64)]
+        for parts, owners in pieces(texts):
+            codes, part = grams(parts)
+            near = self.sieve[codes >> np.uint64(44)]
+            codes, part = codes[near], part[near]
+            place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            hit = self.codes[place] == codes
+            found.append(owners[part[hit]] * len(self.codes) + place[hit])
+        pairs = np.unique(np.concatenate(found))
         return pairs % len(self.codes), pairs // len(self.codes)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -125,9 +157,8 @@ def _frequencies(rows: DataFrame, sieve: np.ndarray | None) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            texts = strings(batch.column(0))
-            for start in range(0, len(texts), 256):
-                codes, _ = presence(texts[start:start + 256])
+            for part in slices(batch, 0, 1 << 20):
+                codes, _ = presence(strings(part.column(0)))
                 if sieve is not None:
                     codes = codes[sieve[codes >> np.uint64(40)]]
                 found, n = np.unique(codes, return_counts=True)
@@ -168,13 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, n_features: i
     model = Model(best[:, 0].copy().view(np.uint64), ratio, 0.0)
 
     def features(batches):
-        for batch in batches:
-            texts = strings(batch.column(1))
+        for part in (part for batch in batches for part in slices(batch, 1, 1 << 20)):
+            texts = strings(part.column(1))
             found = [[] for _ in texts]
-            for start in range(0, len(texts), 256):
-                for f, o in zip(*(x.tolist() for x in model.find(texts[start:start + 256])), strict=True):
-                    found[start + o].append(f)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
+            for f, o in zip(*(x.tolist() for x in model.find(texts)), strict=True):
+                found[o].append(f)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
 
     kind = StructType([StructField("label", IntegerType()), StructField("found", ArrayType(IntegerType()))])
     data = rows.select("label", "text").mapInArrow(features, kind).orderBy("label", "found").toArrow().combine_chunks()  # bounded by the sample

@@ -71,9 +71,13 @@ def test_sample_is_bounded_and_repeatable(spark):
     assert {r["label"] for r in sample(frame, "doc_id", "quality", 10, 1).collect()} == {1}
 
 
-def test_ngrams_do_not_cross_texts():
+def test_ngrams_do_not_cross_texts_and_long_texts_are_whole(monkeypatch):
     alone = [set(toxicity.presence([t])[0].tolist()) for t in ("abcd ef", "", "ghi", "日本語テスト")]
     codes, owners = toxicity.presence(["abcd ef", "", "ghi", "日本語テスト"])
     assert [set(codes[owners == k].tolist()) for k in range(4)] == alone
+    long = "".join(chr(97 + i * i % 23) for i in range(3000))
+    whole = set(toxicity.presence([long])[0].tolist())
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    assert set(toxicity.presence(["x", long])[0].tolist()) - set(toxicity.presence(["x"])[0].tolist()) <= whole == set(toxicity.presence([long])[0].tolist())
     text = " abcd ef "
     assert len(alone[0]) == sum(len({text[i:i + n] for i in range(len(text) - n + 1)}) for n in toxicity.ORDERS)
