@@ -19,6 +19,23 @@ PART = StructType([StructField("kind", IntegerType()), StructField("shard", Inte
                    StructField("keys", BinaryType()), StructField("values", BinaryType())])
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Rising numbers as compressed differences."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u8"), dtype=np.uint64)
+
+
+def numbers(n) -> bytes:
+    return zlib.compress(np.asarray(n, "<i8").tobytes(), 1)
+
+
+def read_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8")
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words of the A-Z lower-cased text; its end is one more token."""
     return text.lower().split()
@@ -141,12 +158,13 @@ def _requests(batches, order: int, suffix: int, shards: int):
         rows, cuts = [], np.searchsorted(shard[by], np.arange(shards + 1))
         for s in np.unique(shard).tolist():
             part = by[cuts[s]:cuts[s + 1]]
-            rows.append((GRAM, s, block, found[part].astype("<u8").tobytes(), n[part].astype("<i8").tobytes()))
+            rows.append((GRAM, s, block, packed(found[part]), numbers(n[part])))
         bins: dict[int, list] = {}
         for w, c in words.items():
             bins.setdefault(zlib.crc32(w) % shards, []).append((w, c))
         for s, part in bins.items():
-            rows.append((WORD, s, block, b"\n".join(w for w, _ in part), np.array([c for _, c in part], "<i8").tobytes()))
+            part.sort()
+            rows.append((WORD, s, block, zlib.compress(b"\n".join(w for w, _ in part), 1), numbers([c for _, c in part])))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (
             pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=PART.names)
 
@@ -186,10 +204,10 @@ def _answers(table: pa.Table, order: int, low: list[Level]) -> pa.Table:
     """For one shard: log-probabilities of the grams, or counts of the words, for every block that asked."""
     kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
     blocks, keys, values = (table.column(c).to_pylist() for c in ("block", "keys", "values"))
-    counts = [np.frombuffer(v, "<i8") for v in values]
+    counts = [read_numbers(v) for v in values]
     rows = []
     if kind == GRAM:
-        asked = [np.frombuffer(k, "<u8") for k in keys]
+        asked = [unpacked(k) for k in keys]
         found, back = np.unique(np.concatenate(asked), return_inverse=True)
         logs = log_probabilities(found, np.bincount(back, np.concatenate(counts), minlength=len(found)), order, low).astype("<f4")
         at = 0
@@ -198,14 +216,14 @@ def _answers(table: pa.Table, order: int, low: list[Level]) -> pa.Table:
             at += len(a)
     else:
         total: Counter = Counter()
-        lists = [k.split(b"\n") for k in keys]
+        lists = [zlib.decompress(k).split(b"\n") for k in keys]
         for words, n in zip(lists, counts, strict=True):
             for w, c in zip(words, n.tolist(), strict=True):
                 total[w] += c
         for b, k, words in zip(blocks, keys, lists, strict=True):
-            rows.append((WORD, shard, b, k, np.array([total[w] for w in words], "<i8").tobytes()))
+            rows.append((WORD, shard, b, k, numbers([total[w] for w in words])))
         seen = [c for c in total.values() if c]
-        rows.append((TOTAL, shard, None, b"", np.array([sum(seen), len(seen)], "<i8").tobytes()))
+        rows.append((TOTAL, shard, None, b"", numbers([sum(seen), len(seen)])))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (
         pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=PART.names)
 
@@ -215,10 +233,10 @@ def _score(docs: pa.Table, answers: pa.Table, order: int, ends: int, names: list
     grams, logs, weight = [], [], {}
     for kind, keys, values in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
         if kind == GRAM:
-            grams.append(np.frombuffer(keys, "<u8"))
+            grams.append(unpacked(keys))
             logs.append(np.frombuffer(values, "<f4"))
         elif kind == WORD:
-            weight.update(zip(keys.split(b"\n"), np.log10(np.frombuffer(values, "<i8") + 0.1).tolist(), strict=True))
+            weight.update(zip(zlib.decompress(keys).split(b"\n"), np.log10(read_numbers(values) + 0.1).tolist(), strict=True))
     if not docs.num_rows:
         return pa.table([pa.array([], f.type) for f in docs.schema][1:2] + [pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())] * 2, names=names)
     grams, logs = np.concatenate(grams), np.concatenate(logs).astype(float)
@@ -280,8 +298,8 @@ def score(docs: DataFrame, train: Column, order: int = 5, suffix: int = 2, id: s
     def lowest(batches):
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, back = np.unique(np.frombuffer(k, "<u8") & np.uint64((1 << 8 * suffix) - 1), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(back, np.frombuffer(v, "<i8")).astype(np.int64))], names=["key", "n"])
+                keys, back = np.unique(unpacked(k) & np.uint64((1 << 8 * suffix) - 1), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(back, read_numbers(v)).astype(np.int64))], names=["key", "n"])
 
     pairs = (asked.filter(F.col("kind") == GRAM).select("keys", "values")
              .mapInArrow(lowest, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0"))
@@ -290,7 +308,7 @@ def score(docs: DataFrame, train: Column, order: int = 5, suffix: int = 2, id: s
     answers = asked.groupBy("kind", "shard").applyInArrow(lambda t: _answers(t, order, low_levels(*shared.value, suffix)), PART)
     answers = staged(answers, "answers")
     sums = answers.filter(F.col("kind") == TOTAL).select("values").collect()  # one row per shard
-    total = sum((np.frombuffer(r[0], "<i8") for r in sums), np.zeros(2, np.int64))
+    total = sum((read_numbers(r[0]) for r in sums), np.zeros(2, np.int64))
     train_tokens, distinct = int(total[0]) + ends, int(total[1]) + (ends > 0)
 
     names = ["i", "n_tokens", "n_known", "logs", "score"]
