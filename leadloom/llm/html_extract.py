@@ -149,32 +149,57 @@ class Page:
         return out
 
     def candidates(self, content: list[int]) -> list[int]:
-        """Elements that may be part of a site's template: blocks with anything in them, not around the main text, no prose inside it."""
-        around = {0}
-        for node in content:
-            while node:
-                around.add(node)
-                node = self.parents[node]
+        """Elements that may be part of a site's template: blocks with anything in them, article and main too, but no prose inside those."""
         within, mains, out = [False], set(content), []
         for node in range(1, len(self.tags)):
             within.append(within[self.parents[node]] or node in mains)
             tag = self.tags[node]
-            if node not in around and self.inside[node] and tag not in INLINE and tag not in ("html", "head", "body") \
-                    and tag not in RAW and not (within[node] and tag in PROSE):
+            if self.inside[node] and tag not in INLINE and tag not in ("html", "head", "body") and tag not in RAW and not (within[node] and tag in PROSE):
                 out.append(node)
         return out
 
+    def around(self, content: list[int]) -> set[int]:
+        """The content elements and all that they stand in."""
+        out = {0}
+        for node in content:
+            while node not in out:
+                out.add(node)
+                node = self.parents[node]
+        return out
+
+    def below(self, drop: list[bool], more: set[int]) -> list[bool]:
+        """``drop`` with the subtrees of ``more``."""
+        out = [False]
+        for node in range(1, len(self.tags)):
+            out.append(drop[node] or out[self.parents[node]] or node in more)
+        return out
+
+    def weight(self, drop: list[bool], keep: list[bool] | None = None) -> int:
+        """Words of the text outside ``drop`` (and in ``keep``); six characters at least are a word in scripts without spaces."""
+        texts = (" ".join(value.split()) for node, value in self.flow if value and not drop[node] and (keep is None or keep[node]))
+        return sum(max(t.count(" ") + 1, len(t) // 6) for t in texts if t)
+
     def text(self, template: frozenset[int] | set[int]) -> str:
-        """Blocks of the main text in page order, one per line, without furniture and without the subtrees in ``template``."""
-        drop = self.furniture()
-        content = self.content(drop)
+        """Blocks of the main text in page order, one per line, without furniture and without the subtrees in ``template``.
+
+        A page of which nothing would be left is a copy of others, and what
+        stands around its text is no box: its article stays.  Of what is left,
+        the article and main elements are the text if they hold half of it.
+        """
+        drop = furniture = self.furniture()
+        content = self.content(furniture)
         if template:
-            hashes, may = self.hashes(), set(self.candidates(content))
-            for node in range(1, len(self.tags)):
-                drop[node] = drop[node] or drop[self.parents[node]] or (node in may and hashes[node] in template)
-        keep, mains = [not content], set(content)
+            hashes = self.hashes()
+            found = {n for n in self.candidates(content) if hashes[n] in template}
+            drop = self.below(furniture, found)
+            if content and not self.weight(drop):
+                drop = self.below(furniture, found - self.around(content))
+        mains = set(self.content(drop))
+        keep = [False]
         for node in range(1, len(self.tags)):
             keep.append(keep[self.parents[node]] or node in mains)
+        if not mains or 2 * self.weight(drop, keep) < self.weight(drop):
+            keep = [True] * len(self.tags)
         blocks, run = [], []
         for node, value in self.flow:
             if value is None:
@@ -218,11 +243,13 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", source: str
             salts: int = 64, **options) -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
-    The main text is what stands in the article or main elements, or else in
-    the body, without page furniture (menus, headers, footers, sidebars, notices,
-    adverts, forms, comments, scripts, by element, class, id or role) and without
-    site templates: subtrees that recur on many pages of the host.  Running text
-    inside an article is never a template, so copies of an article stay whole.
+    First page furniture goes (menus, headers, footers, sidebars, notices,
+    adverts, forms, comments, scripts, by element, class, id or role), and site
+    templates: subtrees that recur on many pages of the host, articles among them.
+    The main text is what then stands in the article or main elements if they hold
+    half of the words left, or else in the body.  Running text inside an article
+    is never a template by itself, and an article that is all the text of its page
+    is no box, so copies of an article stay whole.
     Character references are decoded, white space in a block becomes one space,
     blocks are joined by a line feed.  Null and empty html give empty text; null
     urls share the host ''; repeated pages are kept, and count as pages of the

@@ -65,3 +65,18 @@ def test_odd_pages(spark):
     got = html_extract.extract(frame(spark, rows)).collect()
     assert len(got) == 4 and sorted(r["n_chars"] for r in got) == [0, 0, 0, 99_999]
     assert html_extract.extract(frame(spark, [])).collect() == []
+
+
+def test_cards_are_not_the_text_and_recurring_articles_are_templates(spark):
+    body = "the long running text of the page in a plain box with number"
+    promo, rows = "<article><h2>Our club</h2><p>join us today for a year</p></article>", []
+    for k in range(40):
+        rows.append((k, f"http://a.com/{k}", f"<div id=content>{body} {k}</div><article>card {k}</article><article>card {k + 1}</article>"))
+        rows.append((100 + k, f"http://b.com/{k}", f"<div>{promo}</div><article><h1>Title</h1><p>story {k}</p></article>"))
+        rows.append((200 + k, f"http://c.com/{k}", f"<div><div class=x>story {k}</div></div>{promo}"))
+        rows.append((300 + k, f"http://d.com/{k}", f"<nav>menu</nav><div>{promo}</div>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame(spark, rows)).collect()}
+    for k in range(40):
+        assert got[k] == f"{body} {k}\ncard {k}\ncard {k + 1}"
+        assert got[100 + k] == f"Title\nstory {k}" and got[200 + k] == f"story {k}"
+        assert got[300 + k] == "Our club\njoin us today for a year"
