@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 import xxhash
@@ -179,21 +180,22 @@ class Page:
         texts = (" ".join(value.split()) for node, value in self.flow if value and not drop[node] and (keep is None or keep[node]))
         return sum(max(t.count(" ") + 1, len(t) // 6) for t in texts if t)
 
-    def text(self, template: frozenset[int] | set[int]) -> str:
-        """Blocks of the main text in page order, one per line, without furniture and without the subtrees in ``template``.
+    def text(self, template: frozenset[int] | set[int], more: frozenset[int] = frozenset()) -> str:
+        """Blocks of the main text in page order, one per line, without furniture and without the subtrees in ``template`` or ``more``.
 
         A page of which nothing would be left is a copy of others, and what
-        stands around its text is no box: its article stays.  Of what is left,
-        the article and main elements are the text if they hold half of it.
+        stands around its text is no box: its article stays, or all of it where
+        it has none.  Of what is left, the article and main elements are the
+        text if they hold half of it.
         """
         drop = furniture = self.furniture()
         content = self.content(furniture)
-        if template:
+        if template or more:
             hashes = self.hashes()
-            found = {n for n in self.candidates(content) if hashes[n] in template}
+            found = {n for n in self.candidates(content) if hashes[n] in template or hashes[n] in more}
             drop = self.below(furniture, found)
-            if content and not self.weight(drop):
-                drop = self.below(furniture, found - self.around(content))
+            if not self.weight(drop):
+                drop = self.below(furniture, found - self.around(content)) if content else furniture
         mains = set(self.content(drop))
         keep = [False]
         for node in range(1, len(self.tags)):
@@ -217,30 +219,48 @@ def subtree_hashes(source: str) -> list[int]:
     return sorted({hashes[n] for n in page.candidates(page.content(page.furniture()))})
 
 
-def templates(pages: DataFrame, url: str = "url", source: str = "html", least: int = 10, share: float = 0.1) -> DataFrame:
-    """(host, hash, n): subtrees that occur on at least ``least`` pages and a ``share`` of the pages of their host.
-
-    Counting is an aggregation with map-side combine, each page counted once
-    per subtree; a host with most of the pages is many keys, not one.
-    """
-    host, _ = host_and_path(url)
-    rows = ship(pages).select(host.alias("host"), column(source).cast("string").alias("html"))
+def hashed(rows: DataFrame, without: Callable[[], dict] = dict) -> DataFrame:
+    """(host, key, hashes) of rows (host, key, html): the hashes of a page's subtrees, less those that ``without`` has for its host."""
 
     def run(batches):
+        known = without()
         for batch in batches:
-            for part in slices(batch, 1):
-                found = [subtree_hashes(h or "") for h in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
+            for part in slices(batch, 2):
+                found = [[x for x in subtree_hashes(h or "") if x not in known.get(host, ())]
+                         for host, h in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "key", "hashes"])
+
+    return rows.mapInArrow(run, StructType([StructField("host", StringType()), StructField("key", LongType()), StructField("hashes", ArrayType(LongType()))]))
+
 
-    kind = StructType([StructField("host", StringType()), StructField("hashes", ArrayType(LongType()))])
-    counts = (rows.mapInArrow(run, kind).select("host", F.explode("hashes").alias("hash"))
+def templates(pages: DataFrame, url: str = "url", source: str = "html", least: int = 10, share: float = 0.0) -> DataFrame:
+    """(host, hash, n): subtrees that occur on at least ``least`` pages, and a ``share`` of the pages, of their host.
+
+    By default the bound is a number of pages, whatever the size of the host: a
+    box that rotates over a hundredth of a large host is a template.  Counting is
+    an aggregation with map-side combine, each page counted once per subtree; a
+    host with most of the pages is many keys, not one.
+    """
+    host, _ = host_and_path(url)
+    rows = ship(pages).select(host.alias("host"), F.lit(0).cast("long").alias("key"), column(source).cast("string").alias("html"))
+    counts = (hashed(rows).select("host", F.explode("hashes").alias("hash"))
               .groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
+    if not share:
+        return counts
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
     return counts.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash", "n")
 
 
-def extract(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html", broadcast_rows: int = 200_000,
-            salts: int = 64, **options) -> DataFrame:
+def by_host(found: DataFrame) -> dict[str, frozenset[int]]:
+    """The hashes of a bounded table of templates, by host."""
+    out: dict[str, set[int]] = {}
+    for batch in found.select("host", "hash").toArrow().to_batches():
+        for host, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out.setdefault(host, set()).add(value)
+    return {host: frozenset(values) for host, values in out.items()}
+
+
+def extract(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html", broadcast_rows: int = 200_000, **options) -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
     First page furniture goes (menus, headers, footers, sidebars, notices,
@@ -248,34 +268,41 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", source: str
     templates: subtrees that recur on many pages of the host, articles among them.
     The main text is what then stands in the article or main elements if they hold
     half of the words left, or else in the body.  Running text inside an article
-    is never a template by itself, and an article that is all the text of its page
-    is no box, so copies of an article stay whole.
+    is never a template by itself, and what is all the text of its page is no box,
+    so copies of an article or a page stay whole.
     Character references are decoded, white space in a block becomes one space,
     blocks are joined by a line feed.  Null and empty html give empty text; null
     urls share the host ''; repeated pages are kept, and count as pages of the
     host each; broken markup is read as a browser would.  Empty tables are fine.
 
-    The table of templates is written first: with at most ``broadcast_rows`` rows of
-    a fixed size it is broadcast; beyond, it is joined by host and a salt, so that
-    a host with most of the pages is spread over ``salts`` parts.  A host's list is
-    short: a hash in it needs a ``share`` of the host's pages.
+    The table of templates is written first.  The ``broadcast_rows`` of them with
+    most pages go to every task; a page's other subtrees, each on few pages, are
+    joined by host and hash, and only what was found comes back to the page.  So
+    no task gets the list of a host, and no key has more pages than the last of
+    the templates that were sent.
     """
     found = staged(templates(pages, url, source, **options), "templates")
-    lists = found.groupBy("host").agg(F.collect_list("hash").alias("template"))
     host, _ = host_and_path(url)
     rows = ship(pages).select(column(id).alias("i"), column(url).alias("u"), host.alias("host"), column(source).cast("string").alias("h"))
-    if found.count() <= broadcast_rows:
-        rows = rows.join(F.broadcast(lists), "host", "left")
+    more = found.count() > broadcast_rows
+    sent = by_host(found.orderBy(F.desc("n"), "host", "hash").limit(broadcast_rows) if more else found)
+    known = pages.sparkSession.sparkContext.broadcast(sent)
+    if more:
+        rows = rows.withColumn("key", F.xxhash64("i", "u", "h"))  # of equal keys one list serves, as their pages are equal
+        asked = hashed(rows.select("host", "key", "h"), lambda: known.value).select("host", "key", F.explode("hashes").alias("hash"))
+        lists = asked.join(found, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template"))
+        rows = rows.join(lists, "key", "left")
     else:
-        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("i", "u"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    rows = rows.select("i", "u", "h", "template")
+        rows = rows.withColumn("template", F.lit(None).cast("array<bigint>"))
+    rows = rows.select("i", "u", "host", "h", "template")
     schema = StructType([StructField("i", pages.schema[id].dataType), StructField("u", pages.schema[url].dataType), StructField("t", StringType())])
 
     def run(batches):
+        shared = known.value
         for batch in batches:
-            for part in slices(batch, 2):
-                texts = [Page(h or "").text(frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            for part in slices(batch, 3):
+                _, _, hosts, sources, own = (c.to_pylist() for c in part.columns)
+                texts = [Page(h or "").text(shared.get(host, frozenset()), frozenset(t or ())) for host, h, t in zip(hosts, sources, own, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["i", "u", "t"])
 
     out = rows.mapInArrow(run, schema)

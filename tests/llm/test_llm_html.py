@@ -80,3 +80,15 @@ def test_cards_are_not_the_text_and_recurring_articles_are_templates(spark):
         assert got[k] == f"{body} {k}\ncard {k}\ncard {k + 1}"
         assert got[100 + k] == f"Title\nstory {k}" and got[200 + k] == f"story {k}"
         assert got[300 + k] == "Our club\njoin us today for a year"
+
+
+def test_rotating_boxes_of_a_large_host_are_templates(spark):
+    """Boxes on a hundredth and a thirtieth of a host's pages, without telling names, go; so do they inside articles."""
+    rows = [(k, "http://hot.com/", f"<div><p>offer <b>{k % 100}</b></p></div><article><div>see {k % 30}</div><p>often {k % 2}</p><p>page {k}</p></article>")
+            for k in range(1200)]
+    rows += [(9000 + k, "http://c.com/", "<div><p>a page</p><p>without article</p></div>") for k in range(20)]
+    rows += [(5000 + k, "http://b.com/", f"<div>rare {k // 9}</div><p>page {k}</p>") for k in range(90)]
+    for most in (200_000, 20, 0):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(frame(spark, rows), broadcast_rows=most).collect()}
+        assert [got.pop(9000 + k) for k in range(20)] == ["a page\nwithout article"] * 20
+        assert got == {k: f"often {k % 2}\npage {k}" for k in range(1200)} | {5000 + k: f"rare {k // 9}\npage {k}" for k in range(90)}
