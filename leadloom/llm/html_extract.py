@@ -14,8 +14,9 @@ from leadloom.llm.batches import column, ship, slices
 from leadloom.llm.common import staged
 from leadloom.llm.url_reputation import host_and_path
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,9999}+"|'[^']{0,9999}+')*+)>"""
-                 r"""|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^<>]*+\Z""", re.S)
+#: A quote opens a value only after '=', and only if it is closed somewhere; a tag without '>' outside values ends at the first one.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>"""
+                 r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^<>]*+\Z""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -62,7 +63,7 @@ class Page:
             if m[1] or m[4]:
                 self._end(stack, name)
                 continue
-            self._start(stack, name, m[3] or "")
+            self._start(stack, name, m[3] or m[6] or "")
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = close.end() if close else len(source)

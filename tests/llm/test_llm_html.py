@@ -92,3 +92,21 @@ def test_rotating_boxes_of_a_large_host_are_templates(spark):
         got = {r["page_id"]: r["text"] for r in html_extract.extract(frame(spark, rows), broadcast_rows=most).collect()}
         assert [got.pop(9000 + k) for k in range(20)] == ["a page\nwithout article"] * 20
         assert got == {k: f"often {k % 2}\npage {k}" for k in range(1200)} | {5000 + k: f"rare {k // 9}\npage {k}" for k in range(90)}
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<p>x</p><div class='ad' data-x=\"" + "y" * 12_000 + "a>b\">buy</div>z", "x\nz"),
+    ("<div data-x='" + "y" * 2_000_000 + "a>b' class=ad>buy</div>z", "z"),
+    ("<div class=ad title=\"open>buy</div>z", "z"), ("<p title=it's>don't</p>", "don't"),
+    ("<p>x</p><div class=ad t=\"a>buy</div>z \"no end", "x\nz \"no end")])
+def test_attribute_values_of_any_length(source, want):
+    assert Page(source).text(frozenset()) == want
+
+
+def test_many_open_quotes_take_linear_time():
+    import time
+
+    start = time.time()
+    for piece in ("<a b=\">x", "<a b='>x", "<a b=c'd>x", "<a b=\"'>x"):
+        Page(piece * 40_000)
+    assert time.time() - start < 30
