@@ -81,3 +81,15 @@ def test_ngrams_do_not_cross_texts_and_long_texts_are_whole(monkeypatch):
     assert set(toxicity.presence(["x", long])[0].tolist()) - set(toxicity.presence(["x"])[0].tolist()) <= whole == set(toxicity.presence([long])[0].tolist())
     text = " abcd ef "
     assert len(alone[0]) == sum(len({text[i:i + n] for i in range(len(text) - n + 1)}) for n in toxicity.ORDERS)
+
+
+def test_quality_with_a_heavily_repeated_id(spark, docs):
+    """Copies of one labelled document, or many texts under its id, do not crowd out the other class."""
+    good, bad = "some plain text about the idle weather of the day", "you you !!! %%% $$$ &&& you you"
+    known = labels(spark, [(1, 1, 0), (2, 0, 0)])
+    want = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(docs([(1, good), (2, bad)]), known, max_labelled=2).collect()}
+    assert want[1][1] == 1 and want[2][1] == 0
+    got = quality.score(docs([(1, good)] + [(2, bad)] * 100), known, max_labelled=2).collect()
+    assert len(got) == 101 and {(r["doc_id"], r["score"], r["predicted"]) for r in got} == {(i, *w) for i, w in want.items()}
+    got = quality.score(docs([(1, good)] + [(2, f"{bad} {'!' * n}") for n in range(100)]), known, max_labelled=2).collect()
+    assert {(1, 1), (2, 0)} <= {(r["doc_id"], r["predicted"]) for r in got}
