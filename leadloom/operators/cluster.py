@@ -56,11 +56,8 @@ def scaled_table(features: DataFrame, cols: list[str]) -> DataFrame:
     return staged(impute_scale(staged(features, "features"), cols), "scaled")
 
 
-def kmeans(scaled: DataFrame, k: int, starts: int = 1, seed: int = 42):
-    """One fit over all rows; its k-means|| start already draws many candidates.
-
-    More ``starts`` keep the model of the lowest cost; each reads the table, which should be a written one.
-    """
+def kmeans(scaled: DataFrame, k: int, starts: int = 10, seed: int = 42):
+    """The model of the lowest cost of several starts, each over all rows of the table, which should be a written one."""
     models = [KMeans(k=k, seed=seed + i, initSteps=5, featuresCol="scaled", predictionCol="cluster_raw").fit(scaled)
               for i in range(starts)]
     return min(models, key=lambda m: m.summary.trainingCost)
@@ -82,16 +79,17 @@ def ranked_clusters(labelled: DataFrame, by: str = "unified_score") -> DataFrame
             .withColumn("cluster_label", cluster_label(F.col("cluster"))))
 
 
-def choose_k(scaled: DataFrame, ks=(3, 4, 5, 6), starts: int = 1, seed: int = 42) -> DataFrame:
+def choose_k(scaled: DataFrame, ks=(3, 4, 5, 6), starts: int = 3, seed: int = 42) -> DataFrame:
     """Silhouette per k over all rows; it needs one pass, as distances come from the clusters' sums."""
     scores = [(k, silhouette(kmeans(scaled, k, starts, seed).transform(scaled))) for k in ks]
     return scaled.sparkSession.createDataFrame(scores, "k INT, silhouette DOUBLE")
 
 
-def fit_best(scaled: DataFrame, ks=(3, 4, 5, 6), starts: int = 1, seed: int = 42):
-    """The model of the k with the best silhouette, the smallest of equals."""
-    models = [(k, kmeans(scaled, k, starts, seed)) for k in ks]
-    return max(models, key=lambda m: (silhouette(m[1].transform(scaled)), -m[0]))[1]
+def fit_best(scaled: DataFrame, ks=(3, 4, 5, 6), starts: int = 3, seed: int = 42, final: int = 10):
+    """The model, of ``final`` starts at least, for the k with the best silhouette, the smallest of equals."""
+    scores = choose_k(scaled, ks, starts, seed).collect()
+    k = max(scores, key=lambda r: (r["silhouette"], -r["k"]))["k"]
+    return kmeans(scaled, k, max(starts, final), seed)
 
 
 def with_persona(labelled: DataFrame) -> DataFrame:
