@@ -31,7 +31,7 @@ def drop_contaminated(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Token sequences of power-of-two lengths."""
-    return packing.pack(docs)
+    return packing.pack(docs, special=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies),

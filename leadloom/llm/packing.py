@@ -2,6 +2,7 @@
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@functools.lru_cache(2)
-def encoder(path: str):
+@functools.lru_cache(4)
+def encoder(path: str, special: bool = False):
     """Function from a list of texts to their ids, for a byte-level BPE file of ``tokenizers``.
 
     The file's vocabulary is handed to a faster engine with the same merges;
     a probe text is encoded by both, and a difference is an error.  Strings of
-    special tokens are ordinary text.
+    added tokens are ordinary text, or with ``special`` their own ids, as
+    ``tokenizers`` encodes by default.
     """
     import public_tokenizers
     import tiktoken
@@ -36,14 +38,27 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    letters, special = byte_letters(), {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    letters, added = byte_letters(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    if special and any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path} has added tokens that take in what stands around them")
     fast = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    if fast.encode_ordinary(PROBE) != exact.encode(PROBE, add_special_tokens=False).ids:
+    exact.encode_special_tokens = not special
+    cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if special and added else None
+
+    def encode(text: str) -> list[int]:
+        if cut is None or not cut.search(text):
+            return fast.encode_ordinary(text)
+        ids = []
+        for part in cut.split(text):
+            ids.extend([added[part]] if part in added else fast.encode_ordinary(part))
+        return ids
+
+    probe = PROBE + "".join(f"a {t}{t} b" for t in added)
+    if encode(probe) != exact.encode(probe, add_special_tokens=False).ids:
         raise ValueError(f"{path} is not a byte-level BPE that can be encoded by rank")
-    return lambda texts: [fast.encode_ordinary(t) for t in texts]
+    return lambda texts: [encode(t) for t in texts]
 
 
 def piece_lengths(n: int, size: int) -> list[int]:
@@ -53,7 +68,7 @@ def piece_lengths(n: int, size: int) -> list[int]:
 
 
 def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end: int = 1, id: str = "doc_id",
-         text: str = "text") -> DataFrame:
+         text: str = "text", special: bool = False) -> DataFrame:
     """One row per sequence: id, start, length, bucket, ids, doc_tokens, sequence_id, offset.
 
     A document's token ids and ``end`` are cut into pieces of ``size`` and then
@@ -63,6 +78,9 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end: i
     together, for example by ``write.partitionBy("bucket")``.  ``ids`` are
     little-endian unsigned 32-bit numbers.
 
+    With ``special``, strings of the file's added tokens in a text are their ids, as
+    ``tokenizers`` encodes by default; else they are ordinary text.
+
     Null and empty texts are the end token alone, one sequence of length 1.
     Repeated rows are packed once each.  An empty table gives no rows.  Other
     columns are ignored.  ``sequence_id`` is unique, not dense: numbering needs no
@@ -79,7 +97,7 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end: i
                          StructField("ids", BinaryType()), StructField("doc_tokens", LongType())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, special)
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 rows, lengths, starts, ids, totals = [], [], [], [], []

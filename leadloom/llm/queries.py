@@ -43,7 +43,7 @@ def op2(spark, sf_dir):
 
 @query("op3_binary_packing")
 def op3(spark, sf_dir):
-    out = packing.pack(table(spark, sf_dir, "documents"))
+    out = packing.pack(table(spark, sf_dir, "documents"), special=True)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

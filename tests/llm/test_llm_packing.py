@@ -45,3 +45,16 @@ def test_piece_lengths_and_empty_table(docs):
     assert packing.pack(docs([])).collect() == []
     with pytest.raises(ValueError):
         packing.pack(docs([]), size=1000)
+
+
+def test_added_tokens_are_their_ids_as_by_default(spark, docs, tmp_path):
+    from leadloom.llm import queries
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext", "  <|endoftext|>\n\n it's", "", "none"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encoder(path, True)(texts) == want != packing.encoder(path)(texts)
+    docs(list(enumerate(texts))).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op3_binary_packing"](spark, str(tmp_path)).select("doc_id", "doc_tokens").distinct().collect()
+    assert {tuple(r) for r in got} == {(i, len(ids) + 1) for i, ids in enumerate(want)}
