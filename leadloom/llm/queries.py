@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, ppm, quality, sharding, toxicity, url_reputation
+from leadloom.llm import (alignment, decontaminate, exact_dedup, html_extract, jaccard_join, licenses, packing, ppm, quality, sharding,
+                          toxicity, url_reputation, variants)
 from leadloom.llm.labels import remainder
 
 QUERIES, ORACLES = {}, {}
@@ -161,3 +162,87 @@ def op10(spark, sf_dir):
     out = sharding.interleave(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _rows(rows):
+    """A list of tuples as the rows of SQL's VALUES."""
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+PERCENT, SLACK = 90, 25
+_SHAPES = [(k, label, *licenses.shape(notice, PERCENT, SLACK)) for k, (label, notice) in enumerate(licenses.TEMPLATES)]
+_PHRASES = [(k, label, phrase, len(phrase.split())) for k, (label, phrase) in enumerate(licenses.PHRASES)]
+
+
+@query("op11_license_scan", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     phrase(pid, label, phrase, n) AS (VALUES {_rows(_PHRASES)}),
+     base AS (SELECT doc_id, label, p - 1 AS place FROM
+                (SELECT doc_id, w, pid, label, phrase, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, phrase)
+              WHERE w[p:p + n - 1] = string_split(phrase, ' ')),
+     bases AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM base GROUP BY doc_id),
+     notice(tid, label, m, need, width) AS (VALUES {_rows([(k, label, len(t), need, width) for k, label, t, need, width in _SHAPES])}),
+     token(tid, word) AS (VALUES {_rows([(k, w.decode()) for k, _, t, _, _ in _SHAPES for w in t])}),
+     member AS (SELECT doc_id, tid, p, word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d) JOIN token USING (word)),
+     many AS (SELECT doc_id, tid FROM member JOIN notice USING (tid) GROUP BY doc_id, tid, need HAVING count(DISTINCT word) >= need),
+     able AS (SELECT member.* FROM member JOIN many USING (doc_id, tid)),
+     held AS (SELECT a.doc_id, a.tid, a.p, count(DISTINCT b.word) AS k FROM able a JOIN notice USING (tid)
+              JOIN able b ON b.doc_id = a.doc_id AND b.tid = a.tid AND b.p >= a.p AND b.p < a.p + width GROUP BY ALL),
+     block AS (SELECT doc_id, label, k / m::double AS share FROM held JOIN notice USING (tid) WHERE k >= need),
+     scores AS (SELECT doc_id, max(share) AS score FROM block GROUP BY doc_id),
+     base_list AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id),
+     list AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM
+                (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM block) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::double ELSE coalesce(score, 0)::double END AS score
+FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN scores USING (doc_id) LEFT JOIN base_list USING (doc_id) LEFT JOIN list USING (doc_id)
+""")
+def op11(spark, sf_dir):
+    out = licenses.scan(table(spark, sf_dir, "documents"), percent=PERCENT, slack=SLACK, carry=["doc_id"])
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    out = alignment.link_scores(table(spark, sf_dir, "documents"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _crc_table():
+    """The 256 remainders of the checksum's polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+#: crc32 of the UTF-8 text ``s`` in SQL, byte by byte.
+CRC32 = f"""
+xor(4294967295::bigint, list_reduce(
+    list_transform(range(0, strlen(s)), lambda i: 16 * (instr('0123456789ABCDEF', hex(s)[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hex(s)[2 * i + 2]) - 1),
+    lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b::bigint) & 255) + 1]::bigint), 4294967295::bigint))"""
+
+
+@query("op13_spelling_variants", rf"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS n FROM
+                       (SELECT doc_id, unnest(regexp_extract_all({FOLDED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+     sums AS (SELECT run, n, {CRC32} AS h FROM (SELECT run, n, coalesce(doc_id::varchar, '') || ':' || run AS s FROM r)),
+     cut AS (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums),
+     v AS (SELECT word, sum(n)::bigint AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+     less AS (SELECT word, n, p, left(word, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS p FROM v)),
+     pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b USING (p, rest) WHERE a.word <> b.word
+               UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON b.word = a.rest
+               UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON b.word = a.rest),
+     near AS (SELECT word, count(*) AS n_near, max(m) AS most FROM pairs GROUP BY word),
+     best AS (SELECT word, n_near, most, min(other) AS other FROM pairs JOIN near USING (word) WHERE m = most GROUP BY ALL),
+     formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN other END AS form,
+                       CASE WHEN most >= 2 * v.n THEN most END AS form_n FROM v LEFT JOIN best USING (word)),
+     walk AS (SELECT word, word AS at FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL),
+     ends AS (SELECT w.word, w.at AS root FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+""")
+def op13(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
