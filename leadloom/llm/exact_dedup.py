@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.llm.batches import column
 from leadloom.llm.common import power_of_two, staged, text_or_empty
 
 KEY = ["_digest", "_length", "_check"]
@@ -14,8 +15,9 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", runs: int |
     Texts are equal when they agree after deleting ASCII white space.  The row
     with the most code points stays, then the smallest id (nulls last); of rows
     that are equal in both, exactly one is ``kept``.  Null text counts as empty,
-    and all empty texts form one group.  An empty table gives an empty result;
-    other columns of ``docs`` are ignored, whatever their names.
+    and all empty texts form one group.  Texts of any length are read whole.  An
+    empty table gives an empty result; other columns of ``docs`` are ignored,
+    whatever their names.
 
     Method: a row becomes a digest entry (sha-256 of the normalised text,
     verified by its length and a second hash) in one of ``runs`` runs, chosen by
@@ -26,6 +28,11 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", runs: int |
     first level: the winner is joined to at most one entry per run and digest,
     and from there to rows of the same run.  Only digests move, texts never do.
     """
+    return _judged(docs, id, text, runs, fan_in_bits).drop("n_chars")
+
+
+def _judged(docs: DataFrame, id: str, text: str, runs: int | None = None, fan_in_bits: int = 3) -> DataFrame:
+    """``groups`` and the code points of every row's text as n_chars."""
     spark = docs.sparkSession
     runs = runs or power_of_two(spark)
     bits = max(1, runs.bit_length() - 1)
@@ -53,17 +60,21 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", runs: int |
     return out.select(
         F.col("_id").alias(id), F.col("_winner.id").alias("keep_id"), F.col("_total").alias("group_size"),
         ((F.col("_place") == 1) & F.col("_id").eqNullSafe(F.col("_winner.id")) & (F.col("_chars") == -F.col("_winner.chars"))).alias("kept"),
-        F.lower(F.hex("_digest")).alias("text_sha256"))
+        F.lower(F.hex("_digest")).alias("text_sha256"), F.col("_chars").alias("n_chars"))
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged.
+    """The rows of ``docs`` that stay, all columns unchanged, whatever their names.
 
-    Rows are matched by id and digest: of rows that repeat both one stays, and
-    rows that share an id but not their text are judged one by one.
+    Of equal texts the row with the most code points stays, then the smallest
+    id; of rows that share id and code points too, one stays.  Rows without id are
+    judged like others.  Null text counts as empty; texts of any length and empty
+    tables are fine.  The rows move once, to the short key of what stays: id,
+    digest, code points.
     """
-    keep = groups(docs, id, text).filter("kept").select(F.col(id).alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest"))
-    digest = F.unhex(F.sha2(F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", ""), 256))
-    rows = docs.withColumn("_digest", digest).join(
-        keep, F.col(id).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")
-    return rows.dropDuplicates([id, "_digest"]).drop("_digest")
+    key = ["i", "no_id", "d", "n"]
+    value, digest = text_or_empty(text), F.unhex(F.sha2(F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", ""), 256))
+    named = [F.coalesce(column(id).cast("string"), F.lit("")).alias("i"), column(id).isNull().alias("no_id")]
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), *named, digest.alias("d"), F.char_length(value).alias("n"))
+    keep = _judged(docs, id, text).filter("kept").select(*named, F.unhex("text_sha256").alias("d"), F.col("n_chars").alias("n"))
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")

@@ -37,3 +37,12 @@ def test_deduplicate_keeps_one_row_of_each_group(docs, odd_rows):
 
 def test_empty_table(docs):
     assert exact_dedup.groups(docs([])).collect() == [] and exact_dedup.deduplicate(docs([])).collect() == []
+
+
+def test_of_one_id_the_longest_spelling_stays(spark):
+    """Rows that share an id are judged by their text; names of extra columns change nothing."""
+    clash = "doc_id long, text string, _keep_id string, _digest int, d string, n long, i int, row string, no_id boolean, kept string"
+    rows = [(1, t, "k", 1, "d", 2, 3, "r", True, "x") for t in ("a b c", "a  b   c", "abc", "a  b   c")] + [(2, "ab c", "k", 1, "d", 2, 3, "r", True, "x")]
+    df = spark.createDataFrame(rows, clash)
+    kept = exact_dedup.deduplicate(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [rows[1]]
