@@ -170,7 +170,7 @@ def _frequencies(rows: DataFrame, sieve: np.ndarray | None) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, n_features: int = 2048, least: int = 3, ridge: float = 1e-4,
         id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic") -> Model:
-    """Fit on at most ``per_class`` labelled ids of each class, in hash order.
+    """Fit on at most ``per_class`` labelled ids of each class, in hash order, with one text each.
 
     Document frequencies of n-grams per class give the log-count ratios r; of the
     n-grams in at least ``least`` toxic texts, the ``n_features`` with the largest
@@ -179,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, n_features: i
     holds the sample's features, ``n_features`` numbers and a sieve of 2**24 bits.
     """
     chosen = sample(labels, label_id, label, per_class, 0).unionByName(sample(labels, label_id, label, per_class, 1))
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
-    rows = staged(ship(rows), "labelled")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")  # of an id on many rows one text counts
+    rows = staged(ship(rows.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("id", "label").agg(one).select("label", "text")), "labelled")
     n1, n = (int(x or 0) for x in rows.agg(F.sum("label"), F.count("*")).first())
     if not 0 < n1 < n:
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
@@ -220,8 +221,9 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "tex
 
     ``labels`` are the rows that may be learnt from.  Null and empty texts have
     no n-gram and take the intercept's score; whole texts of any length are
-    read.  Repeated rows are scored alike, and count in the fit once for each
-    document and label row.  Labels without document, null labels and null ids
+    read.  Repeated rows are scored alike; of an id on several rows the fit takes
+    one text, and a label that is repeated counts once.  An empty table gives no
+    rows; of columns whose names clash with added ones, the added one wins.  Labels without document, null labels and null ids
     are ignored; with one class only, every text gets that class's rate.
     """
     spark = docs.sparkSession
@@ -238,5 +240,8 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "tex
 
 def drop(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
     """The documents that score below ``cut``, their columns unchanged; no shuffle of texts."""
-    out = score(docs, labels, cut, text, id, carry=docs.columns, name="_toxicity", decide=False, **options)
-    return out.filter(F.col("_toxicity") < cut).select(*[column(c) for c in docs.columns])
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    out = score(docs, labels, cut, text, id, carry=docs.columns, name=name, decide=False, **options)
+    return out.filter(F.col(name) < cut).select(*[column(c) for c in docs.columns])

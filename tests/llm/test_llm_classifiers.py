@@ -93,3 +93,17 @@ def test_quality_with_a_heavily_repeated_id(spark, docs):
     assert len(got) == 101 and {(r["doc_id"], r["score"], r["predicted"]) for r in got} == {(i, *w) for i, w in want.items()}
     got = quality.score(docs([(1, good)] + [(2, f"{bad} {'!' * n}") for n in range(100)]), known, max_labelled=2).collect()
     assert {(1, 1), (2, 0)} <= {(r["doc_id"], r["predicted"]) for r in got}
+
+
+def test_a_labelled_id_on_many_rows_counts_once(spark):
+    """What the driver collects is bounded by ``per_class``, and copies of a document do not shift the classes."""
+    from leadloom.llm import toxicity
+
+    few = [(1, "you awful nasty fool " * 3), (2, "a calm and friendly day " * 3)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id long, toxic int")
+    many = spark.range(20_000).selectExpr("2L AS doc_id", "repeat('a calm and friendly day ', 3) AS text", "'x' AS _toxicity")
+    once = toxicity.fit(spark.createDataFrame(few, "doc_id long, text string"), labels, per_class=1, least=1)
+    often = toxicity.fit(spark.createDataFrame([few[0]], "doc_id long, text string").unionByName(many.drop("_toxicity")), labels, per_class=1, least=1)
+    assert once.bias == often.bias and once.weights.tolist() == often.weights.tolist()
+    left = toxicity.drop(many.limit(5), labels, per_class=1, least=1)
+    assert left.columns == many.columns and {r["_toxicity"] for r in left.collect()} <= {"x"}
