@@ -38,6 +38,7 @@ FURNITURE_NAMES = frozenset("""ad ads adv advert advertisement advertising adsen
     gdpr notice notification popup modal overlay newsletter subscribe subscription paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs
     footer masthead comment comments disqus reply replies share sharing social related recommended widget copyright login signup search pagination
     pager toolbar skip alert contentinfo complementary dialog""".split())
+COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
 CONTENT = frozenset(("article", "main"))
 #: Blocks of running text: inside an article they are never a template.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table thead tbody tfoot tr td th caption dl dt dd li ol ul hr".split())
@@ -118,15 +119,43 @@ class Page:
             if name in INLINE and tag not in INLINE:
                 return
 
+    def words(self) -> list[int]:
+        """Words below every element, without those that are furniture by tag; six characters at least are a word in scripts without spaces."""
+        out = [0] * len(self.tags)
+        for node in range(len(self.tags) - 1, -1, -1):
+            if self.tags[node] in FURNITURE and self.tags[node] != "form":
+                out[node] = 0
+                continue
+            out[node] += sum(max(t.count(" ") + 1, len(t) // 6) for t in self.inside[node] if isinstance(t, str))
+            if node:
+                out[self.parents[node]] += out[node]
+        return out
+
+    def _beside(self, node: int, other: int) -> bool:
+        """Whether neither of two elements stands in the other; a parent's number is below its children's."""
+        low, high = min(node, other), max(node, other)
+        while high > low:
+            high = self.parents[high]
+        return high != low
+
     def furniture(self) -> list[bool]:
-        """Which elements are page furniture by name, attribute or ancestor."""
-        out, article = [False], [False]
+        """Which elements are page furniture by tag, attribute or ancestor.
+
+        Class, id and role names, and being a form, do not speak against an
+        element that holds more than half of the page's words where no article
+        or main element stands beside it: a page's text is no box.  Names of
+        reader comments do, unless no word would be left.
+        """
+        out, article, words = [False], [False], self.words()
+        mains = [n for n in range(1, len(self.tags)) if self.tags[n] in CONTENT]
         for node in range(1, len(self.tags)):
             tag, up = self.tags[node], self.parents[node]
-            own = out[up] or tag in FURNITURE or (tag == "header" and not article[up])
+            most = 2 * words[node] > words[0] and not any(self._beside(node, n) for n in mains)
+            own = out[up] or (tag in FURNITURE and not (most and tag == "form")) or (tag == "header" and not article[up])
             if not own and self.attributes[node] and tag not in ("html", "body", "main"):
                 names = {x for m in NAMED.finditer(self.attributes[node]) for x in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())}
-                own = bool(names & FURNITURE_NAMES) or bool(HIDDEN.search(self.attributes[node]))
+                own = bool(HIDDEN.search(self.attributes[node])) or bool(names & FURNITURE_NAMES) and (
+                    not most or bool(names & COMMENT_NAMES) and words[node] < words[0])
             out.append(own)
             article.append(article[up] or tag in CONTENT)
         return out
@@ -161,13 +190,17 @@ class Page:
         return out
 
     def around(self, content: list[int]) -> set[int]:
-        """The content elements and all that they stand in."""
+        """The content elements, all that they stand in and all that stands in them."""
         out = {0}
         for node in content:
             while node not in out:
                 out.add(node)
                 node = self.parents[node]
-        return out
+        within = set(content)
+        for node in range(1, len(self.tags)):
+            if self.parents[node] in within:
+                within.add(node)
+        return out | within
 
     def below(self, drop: list[bool], more: set[int]) -> list[bool]:
         """``drop`` with the subtrees of ``more``."""
@@ -197,6 +230,7 @@ class Page:
             drop = self.below(furniture, found)
             if not self.weight(drop):
                 drop = self.below(furniture, found - self.around(content)) if content else furniture
+                drop = drop if self.weight(drop) else furniture
         mains = set(self.content(drop))
         keep = [False]
         for node in range(1, len(self.tags)):
@@ -238,17 +272,20 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html", least: i
     """(host, hash, n): subtrees that occur on at least ``least`` pages, and a ``share`` of the pages, of their host.
 
     By default the bound is a number of pages, whatever the size of the host: a
-    box that rotates over a hundredth of a large host is a template.  Counting is
-    an aggregation with map-side combine, each page counted once per subtree; a
-    host with most of the pages is many keys, not one.
+    box that rotates over a hundredth of a large host is a template.  Pages of
+    equal html count as one, however often they are stored.  Counting is an
+    aggregation with map-side combine, each page counted once per subtree; a host
+    with most of the pages is many keys, not one.
     """
     host, _ = host_and_path(url)
-    rows = ship(pages).select(host.alias("host"), F.lit(0).cast("long").alias("key"), column(source).cast("string").alias("html"))
-    counts = (hashed(rows).select("host", F.explode("hashes").alias("hash"))
+    html = column(source).cast("string")
+    rows = ship(pages).select(host.alias("host"), F.xxhash64(html).alias("key"), html.alias("html"))
+    once = hashed(rows).groupBy("host", "key").agg(F.first("hashes").alias("hashes"))
+    counts = (once.select("host", F.explode("hashes").alias("hash"))
               .groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
     if not share:
         return counts
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = rows.groupBy("host").agg(F.count_distinct("key").alias("pages"))
     return counts.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash", "n")
 
 
@@ -273,8 +310,9 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", source: str
     so copies of an article or a page stay whole.
     Character references are decoded, white space in a block becomes one space,
     blocks are joined by a line feed.  Null and empty html give empty text; null
-    urls share the host ''; repeated pages are kept, and count as pages of the
-    host each; broken markup is read as a browser would.  Empty tables are fine.
+    urls share the host ''; repeated pages are kept, and count as one page of the
+    host; very long pages are read whole; broken markup is read as a browser would.
+    Empty tables are fine; other columns are ignored, whatever their names.
 
     The table of templates is written first.  The ``broadcast_rows`` of them with
     most pages go to every task; a page's other subtrees, each on few pages, are

@@ -41,7 +41,7 @@ def test_templates_of_a_host_are_deleted(spark):
 
 
 def test_templates_equal_brute_force(spark):
-    rows = [(k, f"http://h{k % 3}.com/", f"<div><i>{k % 2}</i></div><div>{k % 3}<p>{k % 7}</p></div>") for k in range(120)]
+    rows = [(k, f"http://h{k % 3}.com/", f"<!-- {k} --><div><i>{k % 2}</i></div><div>{k % 3}<p>{k % 7}</p></div>") for k in range(120)]
     counts = {}
     for k, url, source in rows:
         for h in set(html_extract.subtree_hashes(source)):
@@ -110,3 +110,28 @@ def test_many_open_quotes_take_linear_time():
     for piece in ("<a b=\">x", "<a b='>x", "<a b=c'd>x", "<a b=\"'>x"):
         Page(piece * 40_000)
     assert time.time() - start < 30
+
+
+def test_names_never_remove_the_text_of_a_page():
+    """An element with most of the words stays whatever it is called; a box of that name beside an article goes."""
+    text = "<p>one two three four</p><p>five six</p>"
+    for box in ("<article class='post social'>{}</article>", "<div class='content has-sidebar'>{}</div>", "<div class='post login-required'>{}</div>",
+                "<form>{}</form>", "<main><div id='notice'>{}</div></main>", "<div class='comments'>{}</div>"):
+        assert Page("<body>" + box.format(text) + "</body>").text(frozenset()) == "one two three four\nfive six"
+        assert Page("<body><nav>a b c d e f g h i j</nav>" + box.format(text) + "</body>").text(frozenset()) == "one two three four\nfive six"
+    long = "<p>" + "word " * 50 + "</p>"
+    assert Page(f"<article>{text}</article><div class='comments'>{long}</div>").text(frozenset()) == "one two three four\nfive six"
+    assert Page(f"<main><div>{text}</div><section class='comments'>{long}</section></main>").text(frozenset()) == "one two three four\nfive six"
+    assert Page(f"<article>{text}</article><div class='sidebar'>{long}</div>").text(frozenset()) == "one two three four\nfive six"
+
+
+def test_a_page_stored_often_keeps_its_text(spark):
+    """Copies of a page are one page of their host; where all blocks recur, the article stays whole, boxes inside it too."""
+    whole = "<article><h1>T</h1><p>one two three</p><div><p>four five</p></div></article>"
+    boxed = "<body><article><div><p>one two</p><section>three</section></div></article></body>"
+    rows = [(k, "http://a.com/x", whole) for k in range(12)] + [(100 + k, "http://b.com/x", boxed) for k in range(12)]
+    rows += [(200 + k, "http://c.com/x", f"<body data-n={k}>{boxed[6:]}") for k in range(12)]
+    for most in (200_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(frame(spark, rows), broadcast_rows=most).collect()}
+        assert got == ({k: "T\none two three\nfour five" for k in range(12)} | {100 + k: "one two\nthree" for k in range(12)}
+                       | {200 + k: "one two\nthree" for k in range(12)})
