@@ -166,8 +166,8 @@ def items(matches: str = "matches"):
     return F.array_sort(F.array_distinct(F.filter(F.transform(matches, lambda m: m["item_id"]), lambda x: x.isNotNull())))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any match, their columns unchanged."""
-    found = search(docs.withColumnsRenamed({"n_words": "_own_n_words", "matches": "_own_matches"}), benchmark, **options)
-    clean = found.filter(F.size("matches") == 0).drop("n_words", "matches")
-    return clean.withColumnsRenamed({"_own_n_words": "n_words", "_own_matches": "matches"})
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without any match, their columns unchanged, whatever their names."""
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(text).cast("string").alias("t"))
+    found = search(rows, benchmark, text="t", carry=["row"], **options)
+    return found.filter(F.size("matches") == 0).select("row.*")

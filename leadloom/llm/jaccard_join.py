@@ -382,5 +382,8 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", **optio
     Ids tell rows apart: a row goes when its id is that of a document with a
     smaller linked id.  Rows without id are never dropped.
     """
-    gone = join(docs, id=id, text=text, **options).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(gone, column(id) == F.col("_gone"), "left_anti")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = join(docs, id=id, text=text, **options).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias(name)).distinct()
+    return docs.join(gone, column(id) == F.col(name), "left_anti")

@@ -84,3 +84,16 @@ def test_empty_tables(spark, docs, odd_rows):
     d, none = docs(odd_rows), spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.decontaminate(d, none).count() == len(odd_rows)
     assert decontaminate.search(docs([]), none).collect() == []
+
+
+def test_names_of_extra_columns_change_nothing(spark):
+    from leadloom.llm import jaccard_join
+
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text, "a", "b", 3, "m", "g", 1), (2, "clean words only", "a", "b", 3, "m", "g", 1), (3, None, "a", "b", 3, "m", "g", 1)],
+                                 "doc_id long, text string, _own_n_words string, _more string, n_words int, matches string, gone string, t int")
+    item = spark.createDataFrame([("x", text)], "item_id string, text string")
+    left = decontaminate.decontaminate(docs, item)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+    left = jaccard_join.deduplicate(docs)
+    assert left.columns == docs.columns and left.count() == 3
