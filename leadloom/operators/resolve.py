@@ -173,15 +173,17 @@ def golden_phones(keyed: DataFrame) -> DataFrame:
             .select("lead_key", F.trim("raw_phone").alias("raw_phone")).distinct())
 
 
-def joined_list(members: DataFrame, value: str, alias: str) -> DataFrame:
-    """', '-joined sorted list per contact for display, with its first value and its length.
+def joined_list(members: DataFrame, value: str, alias: str, limit: int | None = None) -> DataFrame:
+    """First value and number of the distinct members of every contact, and their ', '-joined sorted text for display.
 
-    The members of a contact are distinct files or names; the text holds all of
-    them, first value and count do not depend on it.
+    With a ``limit`` only contacts of at most that many members get the text,
+    the others null, and no list is longer: members are counted before any is
+    gathered.  First value and count cover all members in either case.
     """
-    return members.groupBy("lead_key").agg(
-        F.array_join(F.sort_array(F.collect_list(value)), ", ").alias(alias),
-        F.min(value).alias(f"{alias}_first"), F.count("*").alias(f"{alias}_count"))
+    sizes = members.groupBy("lead_key").agg(F.min(value).alias(f"{alias}_first"), F.count("*").alias(f"{alias}_count"))
+    short = members if limit is None else members.join(sizes.filter(F.col(f"{alias}_count") <= limit).select("lead_key"), "lead_key", "left_semi")
+    texts = short.groupBy("lead_key").agg(F.array_join(F.sort_array(F.collect_list(value)), ", ").alias(alias))
+    return sizes.join(texts, "lead_key", "left").select("lead_key", alias, f"{alias}_first", f"{alias}_count")
 
 
 def merge_duplicates(duplicates: DataFrame, contacts: DataFrame, stored_files: DataFrame) -> DataFrame:
