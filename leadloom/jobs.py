@@ -17,6 +17,7 @@ from leadloom.operators import resolve as R
 from leadloom.operators import score as S
 from leadloom.sources import contact_files as CF
 from leadloom.sources import sinks as SK
+from leadloom.store import ContactStore
 
 RAW_COLUMNS = ["raw_name", "raw_phone", "raw_email", "raw_address", "raw_source", "raw_campaign", "raw_note", "raw_uid", "raw_link"]
 
@@ -62,21 +63,22 @@ def raw_contacts(spark: SparkSession, inbox: str) -> DataFrame:
     return out.select(name.alias("file_name"), F.struct("file", "at").alias("pos"), *RAW_COLUMNS, F.col("modified").alias("file_date"))
 
 
-def ingest(spark: SparkSession, inbox: str, data: str, run_ts: str) -> dict[str, DataFrame]:
+def ingest(spark: SparkSession, inbox: str, data: str, run_ts: str, buckets: int = 256) -> dict[str, DataFrame]:
     """Clean, de-duplicate against stored contacts, merge, and report.
 
     A run reads only versions of earlier runs and replaces its own tables, so
     that it can be repeated.  Its own contacts are kept beside the merged version;
     a late run for an earlier day is merged where it belongs, and the versions
-    after it are merged again.
+    after it are merged again.  Reading and rewriting are confined to the
+    ``buckets`` of the store that the run's keys fall into.
     """
     raw = _write(raw_contacts(spark, inbox), f"{data}/raw_contacts/run={run_ts}")
     keyed = _write(R.lead_keys(R.clean(raw)), f"{data}/clean_rows/run={run_ts}")
-    store = f"{data}/contacts"
-    runs = sorted({*_runs(spark, store), run_ts})
+    store = ContactStore(spark, f"{data}/contacts", buckets)
+    runs = sorted({*store.versions(), run_ts})
     at = runs.index(run_ts)
-    stored = _version(spark, store, runs[at - 1]) if at else None
-    marked = _write(R.mark_status(keyed, None if stored is None else R.history_keys(stored[0])), f"{data}/marked/run={run_ts}")
+    base = runs[at - 1] if at else None
+    marked = _write(R.mark_status(keyed, store.known_keys(keyed, base)), f"{data}/marked/run={run_ts}")
     SK.rejects_export(R.rejects(marked).drop("pos"), f"{data}/rejects", run_ts)
     own = f"{data}/own_contacts/run={run_ts}"
     names = marked.select("file_name").distinct()
@@ -84,34 +86,14 @@ def ingest(spark: SparkSession, inbox: str, data: str, run_ts: str) -> dict[str,
     _write(R.golden(keyed, names), f"{own}/golden")
     for run in runs[at:]:
         contacts, files = (spark.read.parquet(f"{data}/own_contacts/run={run}/{part}") for part in ("golden", "files"))
-        if stored is not None:
-            contacts, files = R.upsert(stored[0], stored[1], contacts, files), stored[1].unionByName(files).distinct()
-        _write(files, f"{store}/run={run}/files")
-        _write(contacts, f"{store}/run={run}/golden")  # its success marker publishes the version
-        stored = _version(spark, store, run)
-    return {"contacts": spark.read.parquet(f"{store}/run={run_ts}/golden"), "stats": R.ingest_stats(marked)}
-
-
-def _runs(spark: SparkSession, store: str) -> list[str]:
-    """Runs with a complete version of the contacts, in order."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    return sorted(n.removeprefix("run=") for n in names if _exists(spark, f"{store}/{n}/golden/_SUCCESS"))
-
-
-def _version(spark: SparkSession, store: str, run: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{store}/run={run}/golden"), spark.read.parquet(f"{store}/run={run}/files")
-
-
-def _stored(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
-    """Newest complete version of the contacts and their files."""
-    return _version(spark, store, _runs(spark, store)[-1])
+        store.merge(contacts, files, run, base)
+        base = run
+    return {"contacts": store.contacts(run_ts), "stats": R.ingest_stats(marked)}
 
 
 def enrich(spark: SparkSession, data: str, interactions: DataFrame, listings: DataFrame, as_of: str) -> dict[str, DataFrame]:
     """Hot leads matched to profiles; unmatched listings become profiles."""
-    contacts, _ = _stored(spark, f"{data}/contacts")
+    contacts = ContactStore(spark, f"{data}/contacts").contacts()
     known = E.profiles_of(contacts)
     hot = E.social_hot_leads(interactions, as_of).unionByName(E.listing_hot_leads(listings))
     matched = _write(E.match_hot_leads(hot, known), f"{data}/hot_leads")
@@ -121,7 +103,7 @@ def enrich(spark: SparkSession, data: str, interactions: DataFrame, listings: Da
 
 def score(spark: SparkSession, data: str, as_of: str) -> DataFrame:
     """Unified scores and personas of the contacts, three clusters and the lead score of every profile: the call list."""
-    contacts, _ = _stored(spark, f"{data}/contacts")
+    contacts = ContactStore(spark, f"{data}/contacts").contacts()
     scored = _write(S.rescore(contacts, as_of), f"{data}/scored_contacts")
     table = C.scaled_table(C.features_v3(scored, "province"), C.FEATURES_V3)
     _write(C.with_persona(C.fit_best(table).transform(table)).select("lead_key", F.col("cluster_raw").alias("cluster"), "persona"), f"{data}/personas")

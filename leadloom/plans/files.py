@@ -15,10 +15,11 @@ from leadloom.plans import duck as O
 from leadloom.plans import reports as RP
 from leadloom.plans.registry import cte, query
 from leadloom.plans.views import load
-from leadloom.session import new_dir
+from leadloom.session import new_dir, staged
 from leadloom.sources import contact_files as CF
 from leadloom.sources import feeds as FD
 from leadloom.sources import sinks as SK
+from leadloom.store import ContactStore
 
 c = F.col
 ROWS_PER_FILE = 2000
@@ -309,14 +310,13 @@ def snk7_priority_sheets(spark, sf):
 @query("snk8_contact_upsert", """
 SELECT lead_key, phone, email, name, uid, source_tier, source_weight, CAST(source_count AS BIGINT) AS source_count, latest_file_date FROM {o_golden}""")
 def snk8_contact_upsert(spark, sf):
-    """Two halves by file order, the second merged into the stored first: the same as all at once."""
-    rows = PC.keyed(spark, sf)
-    path = new_dir(spark, "golden")
-    old, new = rows.filter("file_name < 'K'"), rows.filter("file_name >= 'K'")
-    RS.golden(old).write.parquet(f"{path}/contacts")
-    RS.golden_files(old).write.parquet(f"{path}/files")
-    merged = RS.upsert(spark.read.parquet(f"{path}/contacts"), spark.read.parquet(f"{path}/files"), RS.golden(new), RS.golden_files(new))
-    return merged.select("lead_key", "phone", "email", "name", "uid", "source_tier", "source_weight", "source_count", "latest_file_date")
+    """Two halves by file order, the second merged into the buckets of the stored first that it touches: the same as all at once."""
+    rows = staged(PC.keyed(spark, sf), "keyed")
+    store, base = ContactStore(spark, new_dir(spark, "contacts"), 32), None
+    for version, part in (("1", rows.filter("file_name < 'K'")), ("2", rows.filter("file_name >= 'K'"))):
+        store.merge(staged(RS.golden(part), "golden"), staged(RS.golden_files(part), "files"), version, base)
+        base = version
+    return store.contacts().select("lead_key", "phone", "email", "name", "uid", "source_tier", "source_weight", "source_count", "latest_file_date")
 
 
 @query("snk9_cluster_writeback", "SELECT lead_key, CAST(CASE WHEN unified_score >= 40 THEN source_count % 4 ELSE 0 END AS BIGINT) AS cluster, CASE WHEN unified_score >= 40 THEN 'new' ELSE 'old' END AS persona FROM {o_scored}")

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.numbers import exact_sum, half_up
-from leadloom.operators import resolve as R
 from leadloom.operators.enrich import behavior_weight
+from leadloom.store import ContactStore, merge_batch
 
 
 def read_stream(spark: SparkSession, path: str, schema, archive: str | None = None) -> DataFrame:
@@ -43,38 +43,15 @@ def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 # --- incremental ingest ----------------------------------------------------
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    """Numbers of the complete versions of a contact store."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [n for n in names if n.startswith("v") and all(
-        fs.exists(jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/{part}/_SUCCESS")) for part in ("contacts", "files"))]
-    return sorted(int(n[1:]) for n in done)
-
-
-def ingest_batch(store: str) -> Callable[[DataFrame, int], None]:
-    """Merge a batch of raw contact rows into the next version of the store."""
+def ingest_batch(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Merge a batch of raw contact rows into the next version of the store at ``path``: only touched buckets are rewritten."""
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = R.lead_keys(R.clean(batch))
-        contacts, files = R.golden(rows), R.golden_files(rows)
-        before = [v for v in _versions(spark, store) if v < number]
-        if before:
-            last = f"{store}/v{before[-1]}"
-            old, old_files = spark.read.parquet(f"{last}/contacts"), spark.read.parquet(f"{last}/files")
-            contacts = R.upsert(old, old_files, contacts, files)
-            files = old_files.unionByName(files).distinct()
-        files.write.mode("overwrite").parquet(f"{store}/v{number}/files")
-        contacts.write.mode("overwrite").parquet(f"{store}/v{number}/contacts")
+        merge_batch(ContactStore(batch.sparkSession, path, buckets), batch, f"{number:012d}")
     return merge
 
 
-def stored_contacts(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/v{_versions(spark, store)[-1]}/contacts")
+def stored_contacts(spark: SparkSession, path: str) -> DataFrame:
+    return ContactStore(spark, path).contacts()
 
 
 # --- windows ---------------------------------------------------------------

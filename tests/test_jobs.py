@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from leadloom import jobs
 from leadloom.plans.views import load
+from leadloom.store import ContactStore
 
 
 def test_three_phases(spark, tmp_path):
@@ -26,7 +27,7 @@ def test_three_phases(spark, tmp_path):
 
 
 def contacts_of(spark, data, run):
-    return sorted(map(str, spark.read.parquet(f"{data}/contacts/run={run}/golden").collect()))
+    return sorted(map(str, ContactStore(spark, f"{data}/contacts").contacts(run).collect()))
 
 
 def test_runs_can_be_repeated_and_come_late(spark, tmp_path):
@@ -48,6 +49,6 @@ def test_runs_can_be_repeated_and_come_late(spark, tmp_path):
         assert contacts_of(spark, first, day) == contacts_of(spark, second, day)
     rejects = spark.read.parquet(f"{second}/rejects").groupBy("run_ts", "reason").count().collect()
     assert {r["count"] for r in rejects if "12" in r["reason"]} == {1} and len({r["run_ts"] for r in rejects}) == 3
-    last = {r["phone"]: r for r in spark.read.parquet(f"{first}/contacts/run=2024-01-03/golden").collect()}
+    last = {r["phone"]: r for r in ContactStore(spark, f"{first}/contacts").contacts("2024-01-03").collect()}
     assert {"0987654321", "0977000111", "0966000222"} <= last.keys() and last["0966000222"]["name"] == "Linh"
     assert last["0966000222"]["uid"] == "100012345678901" and all(r["latest_file_date"] is not None for r in last.values())
