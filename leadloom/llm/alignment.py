@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -16,43 +17,53 @@ from leadloom.llm.packing import byte_letters, encoder
 SLICE_BYTES = 1 << 20
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Places in ``a`` and in ``b`` of the ends that both have; both rise strictly and close with the same number.
+def align(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and in ``b`` of the tokens that end together.
 
-    Along a diagonal (a constant index shift) stretches of equal ends are
-    probed with doubling lengths and jumped over; where a probe fails, its length
-    is halved until the stretch is known.  What follows is an irregular group: the
-    side that is behind moves on until both ends meet, which sets the next shift.
+    Both are the tokens' lengths, of the same sum: the distances between their
+    ends, which are compared from the last common end on.  Along a diagonal (a
+    constant index shift) stretches of equal ends are probed with doubling lengths
+    and jumped over; where a probe fails, its length is halved until the stretch
+    is known.  What follows is an irregular group: the side that is behind moves on
+    until both ends meet, which sets the next shift.
     """
-    left, right, i, j, n, m = [], [], 0, 0, len(a), len(b)
+    begins, shifts, counts, i, j, n = [], [], [], 0, 0, len(a)
+    begin = 0
     while i < n:
         step = 1
-        begin, shift = i, j - i
-        while i + step <= n and a[i:i + step] == b[i + shift:i + shift + step]:
+        while a[i:i + step] == b[j:j + step] and i + step <= n:
             i += step
+            j += step
             step += step
         while step > 1:
             step >>= 1
-            if i + step <= n and a[i:i + step] == b[i + shift:i + shift + step]:
+            if i + step <= n and a[i:i + step] == b[j:j + step]:
                 i += step
-        left.extend(range(begin, i))
-        right.extend(range(begin + shift, i + shift))
-        j = i + shift
-        if i == n or j == m:
+                j += step
+        if i > begin:
+            begins.append(begin)
+            shifts.append(j - i)
+            counts.append(i - begin)
+        if i == n:
             break
         x, y = a[i], b[j]
         while x != y:
             if x < y:
                 i += 1
-                x = a[i]
+                x += a[i]
             else:
                 j += 1
-                y = b[j]
-        left.append(i)
-        right.append(j)
+                y += b[j]
+        begin = i  # the group's last tokens are the first of the next stretch
         i += 1
         j += 1
-    return left, right
+        if i == n:
+            begins.append(begin)
+            shifts.append(j - i)
+            counts.append(1)
+    counts = np.array(counts, np.int64)
+    left = np.repeat(np.array(begins, np.int64) - np.concatenate([[0], np.cumsum(counts)[:-1]])[:len(counts)], counts) + np.arange(counts.sum())
+    return left, left + np.repeat(np.array(shifts, np.int64), counts)
 
 
 class Pieces:
@@ -61,6 +72,8 @@ class Pieces:
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.lengths = np.array([len(t) for t in tokens], np.int64)
+        if self.lengths.max() > 255:
+            raise ValueError("a token of more than 255 bytes")
         self.pool = pa.array(tokens, pa.large_binary())
 
     def joined(self, ids: np.ndarray) -> memoryview:
@@ -142,40 +155,42 @@ def default_paths(a_path: str | None, b_path: str | None) -> tuple[str, str]:
     return a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
 
 
-def aligned_slice(texts: list[str], tools) -> list[tuple[int, int, int, str, np.ndarray]]:
-    """n_a, n_b, n_groups, groups_sha256 and the links (places in the possible pairs) of every text."""
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and where each list of them ends, after a 0."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def gives_back(pieces: Pieces, ids: np.ndarray, ends: np.ndarray, whole: list[bytes]) -> bool:
+    """Whether the tokens of every text are its bytes."""
+    sizes = np.concatenate([[0], np.cumsum(pieces.lengths[ids])])[ends]
+    return np.array_equal(np.diff(sizes), [len(w) for w in whole]) and pieces.joined(ids) == b"".join(whole)
+
+
+def aligned_slice(texts: list[str], tools) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """n_a, n_b, n_groups and groups_sha256 of every text, and the links (places in the possible pairs) of all, one after another."""
     encode_a, encode_b, a, b, pairs, written, ids = tools
-    got_a, got_b = encode_a(texts), encode_b(texts)
-    nothing, out, some = (0, 0, 0, "", np.empty(0, np.int32)), [], []
-    for k, (text, x, y) in enumerate(zip(texts, got_a, got_b, strict=True)):
-        out.append(nothing)
-        whole, x, y = (" " + text).encode(), np.array(x, np.int64), np.array(y, np.int64)
-        if text and a.joined(x) == whole and b.joined(y) == whole:
-            some.append((k, x, y))
-    if not some:
-        return out
-    all_a, all_b = np.concatenate([x for _, x, _ in some]), np.concatenate([y for _, _, y in some])
-    left, right = align(np.cumsum(a.lengths[all_a]).tolist(), np.cumsum(b.lengths[all_b]).tolist())
-    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    whole = [(" " + t).encode() if t else b"" for t in texts]
+    got_a, got_b = [x if t else [] for t, x in zip(texts, encode_a(texts), strict=True)], encode_b(texts)
+    (all_a, end_a), (all_b, end_b) = flat(got_a), flat(got_b)
+    if not (gives_back(a, all_a, end_a, whole) and gives_back(b, all_b, end_b, whole)):
+        for k, w in enumerate(whole):
+            if any(p.joined(np.array(x[k], np.int64)) != w for p, x in ((a, got_a), (b, got_b))):
+                got_a[k], got_b[k] = [], []
+        (all_a, end_a), (all_b, end_b) = flat(got_a), flat(got_b)
+    left, right = align(a.lengths[all_a].astype(np.uint8).tobytes(), b.lengths[all_b].astype(np.uint8).tobytes())
     links = np.searchsorted(pairs, all_a[left] * len(b.tokens) + all_b[right]).astype(np.int32)
     # a group's ids of A and then of B: an id stands behind its own side's and the other side's earlier ones
     last_a, last_b = np.zeros(len(all_a), np.int64), np.zeros(len(all_b), np.int64)
     last_a[left] = last_b[right] = 1
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-    behind_b = np.concatenate([[0], right + 1])
     codes = np.empty(len(all_a) + len(all_b), np.int64)
-    codes[np.arange(len(all_a)) + behind_b[group_a]] = all_a + ids * last_a
+    codes[np.arange(len(all_a)) + np.concatenate([[0], right + 1])[group_a]] = all_a + ids * last_a
     codes[np.arange(len(all_b)) + (left + 1)[group_b]] = all_b + 2 * ids * last_b
     text = written.take(pa.array(codes))
-    at_byte, data = offsets(text), raw(text)
-    at_a = at_b = at_group = 0
-    for k, x, y in some:
-        end_a, end_b = at_a + len(x), at_b + len(y)
-        end_group = int(np.searchsorted(left, end_a))
-        part = data[at_byte[at_a + at_b]:at_byte[end_a + end_b] - 1]  # without the last ;
-        out[k] = (len(x), len(y), end_group - at_group, hashlib.sha256(part).hexdigest(), links[at_group:end_group])
-        at_a, at_b, at_group = end_a, end_b, end_group
-    return out
+    at, data = offsets(text)[end_a + end_b].tolist(), raw(text)
+    hashes = [hashlib.sha256(data[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(at, at[1:])]  # without the last ;
+    return np.diff(end_a), np.diff(end_b), np.diff(np.searchsorted(left, end_a)), hashes, links
 
 
 def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,12 +209,11 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
         tools = tokenizers(*paths)
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
-                found = aligned_slice([t or "" for t in part.column(1).to_pylist()], tools)
-                n_a, n_b, n_groups, sha, links = zip(*found, strict=True)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in links])])
+                n_a, n_b, n_groups, sha, links = aligned_slice([t or "" for t in part.column(1).to_pylist()], tools)
+                ends = np.concatenate([[0], np.cumsum(n_groups)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *[pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)], pa.array(sha),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(links), pa.int32()))],
+                    [part.column(0), pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.array(sha, pa.string()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(links))],
                     names=["i", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
     source = ship(docs).select(column(id).alias("i"), column(text).cast("string").alias("t"))

@@ -82,12 +82,13 @@ def test_empty_table(docs):
 
 def test_runs_are_skipped_to_the_same_places():
     r = random.Random(3)
-    for length in (1, 2, 5, 40, 400):
+    for length in (1, 2, 5, 40, 200):
         for keep in (0.05, 0.5, 0.95, 1.0):
             for _ in range(20):
                 a = sorted({length, *(i for i in range(1, length) if r.random() < keep)})
                 b = sorted({length, *(i for i in range(1, length) if r.random() < keep or (keep > 0.9 and i in a))})
-                left, right = alignment.align(a, b)
+                sizes = [bytes(y - x for x, y in zip([0, *ends], ends)) for ends in (a, b)]
+                left, right = alignment.align(*sizes)
                 assert [a[i] for i in left] == [b[j] for j in right] == sorted(set(a) & set(b))
 
 
