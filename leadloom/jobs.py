@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import cluster as C
 from leadloom.operators import enrich as E
+from leadloom.operators import kmeans as K
 from leadloom.operators import resolve as R
 from leadloom.operators import score as S
 from leadloom.sources import contact_files as CF
 from leadloom.sources import sinks as SK
+from leadloom.session import staged
 from leadloom.store import ContactStore
 
+BATCHES = 8  # of a mini-batch pass over the contacts
 RAW_COLUMNS = ["raw_name", "raw_phone", "raw_email", "raw_address", "raw_source", "raw_campaign", "raw_note", "raw_uid", "raw_link"]
 
 
@@ -105,10 +108,14 @@ def score(spark: SparkSession, data: str, as_of: str) -> DataFrame:
     """Unified scores and personas of the contacts, three clusters and the lead score of every profile: the call list."""
     contacts = ContactStore(spark, f"{data}/contacts").contacts()
     scored = _write(S.rescore(contacts, as_of), f"{data}/scored_contacts")
-    table = C.scaled_table(C.features_v3(scored, "province"), C.FEATURES_V3)
-    _write(C.with_persona(C.fit_best(table).transform(table)).select("lead_key", F.col("cluster_raw").alias("cluster"), "persona"), f"{data}/personas")
+    table = staged(C.features_v3(scored, "province"), "features")
+    rows = K.points(C.impute_scale(table, C.FEATURES_V3), "lead_key", BATCHES)
+    named = K.with_persona(K.with_cluster(table, "lead_key", K.labelled(rows, K.fit_best(rows, batches=BATCHES)[0])))
+    _write(named.select("lead_key", F.col("cluster_raw").alias("cluster"), "persona"), f"{data}/personas")
     profiles, hot = spark.read.parquet(f"{data}/profiles"), spark.read.parquet(f"{data}/hot_leads")
     full = _write(E.with_contact_analytics(E.with_hot(profiles, hot), scored), f"{data}/profile_features")
-    scaled = C.scaled_table(E.features(full), C.FEATURES)
-    clusters = C.ranked_clusters(C.kmeans(scaled, 3).transform(scaled)).select("profile_key", "cluster", "cluster_label")
+    table = staged(E.features(full), "features")
+    rows = K.points(C.impute_scale(table, C.FEATURES), "profile_key")
+    labelled = K.with_cluster(table, "profile_key", K.labelled(rows, K.fit(rows, 3)))
+    clusters = C.ranked_clusters(labelled).select("profile_key", "cluster", "cluster_label")
     return _write(E.with_lead_score(full.join(clusters, "profile_key", "left")), f"{data}/call_list")

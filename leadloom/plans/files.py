@@ -436,87 +436,9 @@ def ml2_impute_scale(spark, sf):
         F.round(F.stddev_samp(v).cast("decimal(38,10)"), 6).cast("double").alias(f"std_{x}"))])
 
 
-def _three(spark, sf):
-    scaled = C.scaled_table(RP.E.features(RP.leads(spark, sf)), C.FEATURES)
-    return C.kmeans(scaled, 3).transform(scaled)
-
-
-# Cluster numbers differ between engines: queries with SQL return what must hold for any right fit, those without the results.
-@query("ml3_kmeans_3", "SELECT profile_key, true AS labelled FROM {o_leads}")
-def ml3_kmeans_3(spark, sf):
-    return _three(spark, sf).select("profile_key", c("cluster_raw").between(0, 2).alias("labelled"))
-
-
-@query("ml3_clusters")
-def ml3_clusters(spark, sf):
-    return _three(spark, sf).select("profile_key", "cluster_raw")
-
-
-@query("ml4_silhouette", "SELECT 3 AS k, true AS in_range")
-def ml4_silhouette(spark, sf):
-    return spark.createDataFrame([(3, -1 <= C.silhouette(_three(spark, sf)) <= 1)], "k INT, in_range BOOLEAN")
-
-
-@query("ml4_silhouette_value")
-def ml4_silhouette_value(spark, sf):
-    return spark.createDataFrame([(3, C.silhouette(_three(spark, sf)))], "k INT, silhouette DOUBLE")
-
-
-@query("ml5_rank_clusters", """
-SELECT 0 AS cluster, 'Standard' AS cluster_label, true AS above_the_last UNION ALL SELECT 1, 'Growth', true UNION ALL SELECT 2, 'VIP', true""")
-def ml5_rank_clusters(spark, sf):
-    ranked = C.ranked_clusters(_three(spark, sf)).groupBy("cluster", "cluster_label").agg(F.avg("unified_score").alias("mean"))
-    last = F.lag("mean", 1, -1.0).over(Window.partitionBy(F.lit(1)).orderBy("cluster"))  # three rows
-    return ranked.select("cluster", "cluster_label", (c("mean") >= last).alias("above_the_last"))
-
-
-@query("ml5_ranked_profiles")
-def ml5_ranked_profiles(spark, sf):
-    return C.ranked_clusters(_three(spark, sf)).select("profile_key", "cluster", "cluster_label", "unified_score")
-
-
 @query("ml6_feature_matrix_v3", """
 SELECT lead_key, unified_score, CAST(source_weight AS DOUBLE) AS tier_weight, CAST(source_count AS DOUBLE) AS source_count, source_weight,
        CAST(coalesce(k.code, (SELECT code FROM {o_prov_codes} WHERE cat = 'Other')) AS DOUBLE) AS province_code, CAST(uid <> '' AS DOUBLE) AS has_uid
 FROM {o_scored} s LEFT JOIN {o_prov_codes} k ON s.province = k.cat""")
 def ml6_feature_matrix_v3(spark, sf):
     return C.features_v3(PC.scored(spark, sf), "province")
-
-
-def _scaled_v3(spark, sf):
-    return C.scaled_table(C.features_v3(PC.scored(spark, sf), "province"), C.FEATURES_V3)
-
-
-@query("ml7_choose_k", "SELECT unnest([3, 4, 5, 6]) AS k, true AS in_range")
-def ml7_choose_k(spark, sf):
-    return C.choose_k(_scaled_v3(spark, sf)).select("k", c("silhouette").between(-1, 1).alias("in_range"))
-
-
-@query("ml7_silhouettes")
-def ml7_silhouettes(spark, sf):
-    return C.choose_k(_scaled_v3(spark, sf))
-
-
-def _best(spark, sf):
-    scaled = _scaled_v3(spark, sf)
-    return C.fit_best(scaled).transform(scaled)
-
-
-@query("ml8_final_fit", "SELECT lead_key, true AS labelled FROM {o_scored}")
-def ml8_final_fit(spark, sf):
-    return _best(spark, sf).select("lead_key", c("cluster_raw").between(0, 5).alias("labelled"))
-
-
-@query("ml8_clusters")
-def ml8_clusters(spark, sf):
-    return _best(spark, sf).select("lead_key", "cluster_raw")
-
-
-@query("ml9_persona_label", "SELECT lead_key, true AS named FROM {o_scored}")
-def ml9_persona_label(spark, sf):
-    return C.with_persona(_best(spark, sf)).select("lead_key", c("persona").isin(*D.PERSONAS.values()).alias("named"))
-
-
-@query("ml9_persona_counts")
-def ml9_persona_counts(spark, sf):
-    return R.counts_with_share(C.with_persona(_best(spark, sf)), c("persona"), "persona")
