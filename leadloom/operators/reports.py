@@ -134,6 +134,54 @@ def lookup(contacts: DataFrame, queries: list[str], written: DataFrame | None =
     return found.unionByName(more).distinct()
 
 
+def grams(text: Column, sizes: Column | list[int]) -> Column:
+    """All distinct stretches of a text with the given numbers of characters."""
+    sizes = F.array(*[F.lit(n) for n in sizes]) if isinstance(sizes, list) else sizes
+    every = F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))))
+    return F.array_distinct(every)
+
+
+def name_matches(contacts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(q, name) of all texts ``q`` that are part of a contact's name, both as written, letters compared in lower case.
+
+    An inverted index joins them: every distinct name lists its stretches of up
+    to three characters, of which only those that some text has are kept; a text
+    looks under the one of its own that the fewest names have, and the names found
+    there are verified.  So no text meets all names, however many there are of
+    both.  Blank texts are part of no name.
+    """
+    names = contacts.filter("name <> ''").select("name", F.lower("name").alias("lower")).distinct()
+    asked = texts.filter("trim(q) <> ''").select("q").distinct().withColumn("needle", F.lower("q"))
+    size = F.least(F.char_length("needle"), F.lit(3))
+    wanted = asked.select("q", "needle", F.explode(grams(F.col("needle"), F.array(size))).alias("gram"))
+    index = names.select("name", "lower", F.explode(grams(F.col("lower"), [1, 2, 3])).alias("gram")).join(
+        wanted.select("gram").distinct(), "gram", "left_semi")
+    listed = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = (wanted.join(listed, "gram", "left").groupBy("q", "needle")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")))
+    found = rarest.filter("least.n > 0").select("q", "needle", F.col("least.gram").alias("gram")).join(index, "gram")
+    return found.filter(F.col("lower").contains(F.col("needle"))).select("q", "name")
+
+
+def lookup_texts(contacts: DataFrame, queries: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """Matches of a table of search texts, of any size: by phone, e-mail, part of the name and phone as written, one row per match.
+
+    Four equi-joins and no comparison of all texts with all contacts.  A text
+    that finds a contact in several ways gives one row; blank texts match nothing.
+    ``written`` (lead_key, raw_phone) adds the contacts with a phone that was written as the text.
+    """
+    cols = ["query", "lead_key", "phone", "email", "name"]
+    q = queries.select("query", P.lookup_text(F.col("query")).alias("q"))
+    by_name = q.join(name_matches(contacts, q), "q").join(contacts, "name").select(*cols)
+    found = lookup_keys(contacts, queries).unionByName(by_name)
+    if written is not None:
+        asked = queries.select("query", F.trim("query").alias("raw_phone")).filter("raw_phone <> ''")
+        hits = asked.join(written, "raw_phone").select("lead_key", F.col("raw_phone").alias("query"))
+        found = found.unionByName(contacts.join(hits, "lead_key").select(*cols))
+    return found.distinct()
+
+
 def lookup_keys(contacts: DataFrame, queries: DataFrame) -> DataFrame:
     """Exact phone and e-mail matches of a table of search texts; blank ones match nothing."""
     q = queries.select("query", P.lookup_text(F.col("query")).alias("q")).filter("q <> ''")

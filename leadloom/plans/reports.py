@@ -411,7 +411,8 @@ WHERE phone = q OR email = lower(q) OR contains(lower(name), lower(q))
 UNION SELECT DISTINCT k.raw_phone, g.lead_key, g.phone, g.email, g.name FROM {{o_golden}} g JOIN {{o_keyed}} k USING (lead_key)
 WHERE g.phone IS NOT NULL AND k.reject IS NULL AND trim(k.raw_phone) IN ({', '.join(O.lit(x) for x in _LOOKUPS)})""")
 def flt2_contact_lookup(spark, sf):
-    return R.lookup(contacts(spark, sf), _LOOKUPS, RS.golden_phones(keyed(spark, sf)))
+    texts = spark.createDataFrame([(q,) for q in _LOOKUPS], "query STRING")
+    return R.lookup_texts(contacts(spark, sf), texts, RS.golden_phones(keyed(spark, sf)))
 
 
 @query("flt2_lookup_keys", """
