@@ -25,27 +25,29 @@ def file_listing(spark: SparkSession, path: str, extensions: list[str] | None =
             .withColumn("file_name", F.element_at(F.split("path", "/"), -1)).orderBy("path"))
 
 
-#: A record of delimited text: cells in quotes may hold commas and line breaks.
-RECORD = r'((?:(?:"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^",\r\n][^,\r\n]*+)?+,?+)++)'
+#: A cell of delimited text; in quotes it may hold commas and line breaks.
 CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
+_WHOLE = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+)?+'
+_INSIDE = r'[^"]*+(?:""[^"]*+)*+'
+#: A line that begins between records and ends inside a quoted cell, and a line inside a cell that closes it and ends inside another.
+OPENS = rf'^(?:{_WHOLE},)*+"{_INSIDE}\z'
+STAYS = rf'^{_INSIDE}(?:"[^,]*+,(?:{_WHOLE},)*+"{_INSIDE})?+\z'
 
 
 def read_lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
-    """file, at (place in the file), modified (date) and text of every line.
+    """file, at (place in the file), modified (date) and text of every line, or with ``quoted`` of every record.
 
     Lines are read by splittable scans; files that are not valid UTF-8 are
-    latin-1.  Files in UTF-16, and with ``quoted`` those with line breaks inside
-    quoted cells, are read as a whole and cut into records; which files these
-    are is one small job.  ``at`` orders the lines of a file across its splits.
+    latin-1.  Records may hold line breaks in quoted cells, across splits too
+    (``stitched``).  Files in UTF-16 are read as a whole; which files these are is
+    one small job.  ``at`` orders the lines of a file across its splits.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
         F.col("_metadata.file_modification_time").cast("date").alias("modified"), "value")
     odd = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
-    if quoted:
-        odd = odd | ((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
-    whole = [r[0] for r in raw.filter(odd).select("file").distinct().collect()]  # names of the odd files only
+    whole = [r[0] for r in raw.filter(odd).select("file").distinct().collect()]  # names of the UTF-16 files only
     lines = raw.filter(~F.col("file").isin(whole)) if whole else raw
     checked = lines.withColumn("_utf8", F.try_validate_utf8("value"))
     foreign = checked.filter(F.col("_utf8").isNull()).select("file").distinct().withColumn("_latin", F.lit(True))
@@ -56,11 +58,66 @@ def read_lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFram
         files = spark.read.format("binaryFile").load(whole).select(
             F.col("_metadata.file_path").alias("file"), F.col("modificationTime").cast("date").alias("modified"),
             F.regexp_replace(decode_content(F.col("content")), "^\ufeff", "").alias("_all"))
-        records = F.regexp_extract_all("_all", F.lit(RECORD if quoted else r"([^\r\n]++)"), F.lit(1))
-        parts = files.select("file", "modified", F.posexplode(records).alias("_pos", "text"))
+        parts = files.select("file", "modified", F.posexplode(F.regexp_extract_all("_all", F.lit(r"([^\r\n]++)"), F.lit(1))).alias("_pos", "text"))
         out = out.unionByName(parts.select("file", F.struct(F.lit(0).cast("bigint").alias("block"), F.col("_pos").cast("bigint").alias("row")).alias("at"),
                                            "modified", "text"))
-    return out
+    return stitched(out) if quoted else out
+
+
+def stitched(lines: DataFrame) -> DataFrame:
+    """Lines with those that belong to one record joined by line feeds, each record at the place of its first line.
+
+    Whether a line begins inside a quoted cell follows from all lines before it:
+    each line maps the state it begins in to the state it ends in, and these maps
+    are composed, first within every split, then over the splits of a file (one
+    row per split), so that a file of any size stays many tasks.  A record that
+    reaches over a split is carried to the split it began in.  Files without a line
+    that leaves a cell open are not touched.  A quote that is never closed
+    is an ordinary character: the lines after it are records of their own.
+    """
+    has = F.col("text").contains('"')
+    begun = F.when(has, F.col("text").rlike(OPENS)).otherwise(F.lit(False))
+    flagged = computed_once(lines, {"_0": begun})
+    files = flagged.filter("_0").select("file").distinct().withColumn("_open", F.lit(True))
+    flagged = join_dimension(flagged, files, "file", ["at"])
+    plain = flagged.filter(F.col("_open").isNull()).select("file", "at", "modified", "text")
+    odd = flagged.filter("_open").select("file", "at", "modified", "text", F.col("at.block").alias("_block"), "_0",
+                                         F.when(has, F.col("text").rlike(STAYS)).otherwise(F.lit(True)).alias("_1"))
+    split = Window.partitionBy("file", "_block").orderBy("at")
+    constant, swap = F.when(F.col("_0") == F.col("_1"), F.col("_0").cast("int")), (F.col("_0") & ~F.col("_1")).cast("int")
+    odd = odd.withColumn("_total", F.sum(swap).over(split.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    mark = F.when(constant.isNotNull(), F.struct(constant.alias("v"), F.col("_total").alias("t")))
+    odd = odd.withColumns({
+        "_past": F.last(mark, ignorenulls=True).over(split.rowsBetween(Window.unboundedPreceding, -1)),
+        "_now": F.last(mark, ignorenulls=True).over(split.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    flips = F.col("_total") - swap  # before the line
+    known = F.when(F.col("_past").isNotNull(), (F.col("_past.v") + flips - F.col("_past.t")) % 2)
+
+    ends = odd.groupBy("file", "_block").agg(F.max_by(F.struct("_total", "_now"), "at").alias("e"))
+    ends = ends.select("file", "_block", F.when(F.col("e._now").isNotNull(), (F.col("e._now.v") + F.col("e._total") - F.col("e._now.t")) % 2).alias("_end"),
+                       F.when(F.col("e._now").isNull(), F.col("e._total") % 2).otherwise(0).alias("_flip"))
+    order = Window.partitionBy("file").orderBy("_block")  # one row per split
+    ends = ends.withColumn("_sum", F.sum("_flip").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kept = F.when(F.col("_end").isNotNull(), F.struct(F.col("_end").alias("v"), F.col("_sum").alias("t")))
+    ends = ends.withColumn("_past", F.last(kept, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    before = F.col("_sum") - F.col("_flip")
+    ends = ends.select("file", "_block", "_end", "_flip", (F.when(F.col("_past").isNotNull(), F.col("_past.v") + before - F.col("_past.t")).otherwise(before) % 2).alias("_begin"))
+    left = ends.groupBy("file").agg(F.max_by(F.coalesce("_end", (F.col("_begin") + F.col("_flip")) % 2), "_block").alias("_left"))
+
+    rows = odd.withColumns({"_known": known, "_flips": flips}).join(ends.select("file", "_block", "_begin"), ["file", "_block"])
+    rows = rows.withColumn("_state", F.coalesce("_known", (F.col("_flips") + F.col("_begin")) % 2))
+    first = F.when(F.col("_state") == 0, F.col("at"))
+    rows = rows.withColumn("_start", F.last(first, ignorenulls=True).over(split.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    lasts = rows.groupBy("file", "_block").agg(F.max(first).alias("_last"))
+    carried = lasts.select("file", "_block", F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    open_ends = lasts.groupBy("file").agg(F.max("_last").alias("_final")).join(left.filter("_left = 1"), "file")
+    rows = rows.join(carried, ["file", "_block"]).withColumn("_start", F.coalesce("_start", "_carry")).join(open_ends, "file", "left")
+    ended = F.when(F.col("_state") == 0, F.col("_0")).otherwise(F.col("_1"))
+    alone = ((F.col("_state") == 0) & ~ended) | F.coalesce(F.col("_start") == F.col("_final"), F.lit(False))
+    parts = rows.filter(~alone).groupBy("file", "_start").agg(
+        F.min("modified").alias("modified"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
+    joined = parts.select("file", F.col("_start").alias("at"), "modified", F.array_join(F.col("t.text"), "\n").alias("text"))
+    return plain.unionByName(rows.filter(alone).select("file", "at", "modified", "text")).unionByName(joined)
 
 
 def head_lines(lines: DataFrame, n: int = 10) -> DataFrame:
