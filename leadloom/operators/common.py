@@ -49,17 +49,42 @@ def one_row(*parts: DataFrame) -> DataFrame:
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
+STEPS, COARSE = 512, 24  # cuts of a large key, and how many of them one comparison passes over
+
+
+def blocked(df: DataFrame, key: str, order: str, block: int) -> DataFrame:
+    """Adds ``_block``: consecutive rows of a key in blocks, numbered in order.
+
+    ``order`` is a whole number and may be anything from a dense count to a time
+    in microseconds with bursts.  A key of more than twice ``block`` rows is cut at
+    its own quantiles, from counts that are merged on the map side, into blocks of
+    about ``block`` rows or 1 / ``STEPS`` of its rows, whichever is more.  The cuts
+    of those keys are written, so that every use sees the same blocks.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * block)
+    hot = df.select(key, order).join(sizes, key)
+    every = F.greatest(F.lit(1), F.floor(F.lit(STEPS * block) / F.max("_n"))).cast("int")
+    cuts = hot.groupBy(key).agg(F.percentile_approx(order, [i / STEPS for i in range(1, STEPS)], 10 * STEPS).alias("_q"), every.alias("_every"))
+    kept = F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % F.col("_every") == 0))
+    cuts = staged(cuts.select(key, kept.alias("_cuts")), "cuts")
+    rows = df.join(cuts, key, "left")
+    # cuts below the row: first by every COARSE-th, then among those that follow
+    marks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("_cuts") / COARSE))).cast("array<int>"), lambda i: F.get("_cuts", i * COARSE - 1))
+    passed = F.size(F.filter(marks, lambda x: x < F.col(order))) * COARSE
+    rows = rows.withColumn("_passed", F.when(F.col("_cuts").isNotNull(), passed).otherwise(0))
+    more = F.size(F.filter(F.slice("_cuts", F.col("_passed") + 1, F.lit(COARSE)), lambda x: x < F.col(order)))
+    return rows.withColumn("_block", F.col("_passed") + F.coalesce(F.when(F.col("_cuts").isNotNull(), more), F.lit(0))).drop("_cuts", "_passed")
+
+
 def blocked_lag(df: DataFrame, key: str, order: str, value: Column, alias: str,
                 block: int = 10_000) -> DataFrame:
     """``lag`` of a struct per key without sorting a whole key in one task.
 
-    ``order`` is a whole number, unique per key.  Rows are cut into blocks of
-    ``block`` numbers; a block looks back inside itself, and its first row takes
-    the last value of the nearest earlier block from a small table with one row
-    per block.
+    ``order`` is a whole number, unique per key.  A block of rows (``blocked``)
+    looks back inside itself, and its first row takes the last value of the
+    nearest earlier block from a small table with one row per block.
     """
-    rows = (df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-            .withColumn("_value", value))
+    rows = blocked(df, key, order, block).withColumn("_value", value)
     inside = Window.partitionBy(key, "_block").orderBy(order)
     rows = rows.withColumn("_prev", F.lag("_value").over(inside))
     tails = rows.groupBy(key, "_block").agg(F.max_by("_value", order).alias("_tail"))
@@ -70,8 +95,8 @@ def blocked_lag(df: DataFrame, key: str, order: str, value: Column, alias: str,
 
 
 def blocked_row_number(df: DataFrame, key: str, order: str, alias: str, block: int = 10_000) -> DataFrame:
-    """1-based row number per key, computed per block plus the block's offset."""
-    rows = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    """1-based row number per key, computed per block (``blocked``) plus the block's offset."""
+    rows = blocked(df, key, order, block)
     counts = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),

@@ -42,17 +42,65 @@ def score_summary(leads: DataFrame, col: str = "lead_score") -> DataFrame:
                      F.count_if(s < 5).alias("cold"), exact_avg(s, 2).alias("avg_score"), F.max(s).alias("max_score"))
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], low: float, high: float, bins: int = 1024, few: int = 10_000) -> dict[int, float]:
+    """The values at 0-based ``ranks`` of the non-null values of a column, whose least and greatest are given.
+
+    Histogram refinement: each pass counts the rows of ``bins`` equal bins of the
+    range a rank lies in, with the least and greatest value of each bin, and goes on
+    in the bin that holds the rank, until its values are equal or ``few``; those
+    are read.  The state of a pass is one row per rank and bin, however many
+    distinct values there are.
+    """
+    x = F.col(col).cast("double")
+    done, ranges = {}, {r: (low, high, 0, None) for r in set(ranks)}  # rank: range, rows below it, rows in it
+    while ranges:
+        for r, (lo, hi, below, n) in list(ranges.items()):
+            if lo == hi:
+                done[r] = lo
+                del ranges[r]
+            elif n is not None and n <= few:
+                done[r] = sorted(v[0] for v in df.filter(x.between(lo, hi)).select(x).collect())[r - below]
+                del ranges[r]
+        if not ranges:
+            break
+        spans = list(dict.fromkeys((lo, hi) for lo, hi, _, _ in ranges.values()))
+        # a bin's number only has to rise with the value
+        options = [F.when(x.between(lo, hi), F.struct(F.lit(i).alias("span"), F.least(
+            F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1)).alias("bin"))) for i, (lo, hi) in enumerate(spans)]
+        found = (df.select(x.alias("x"), F.explode(F.array_compact(F.array(*options))).alias("o")).groupBy("o.span", "o.bin")
+                 .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())  # spans x bins rows
+        by_span = {i: sorted((f["bin"], f["n"], f["lo"], f["hi"]) for f in found if f["span"] == i) for i in range(len(spans))}
+        for r, (lo, hi, below, _) in ranges.items():
+            for _, n, first, last in by_span[spans.index((lo, hi))]:
+                if r < below + n:
+                    ranges[r] = (first, last, below, n)
+                    break
+                below += n
+    return done
+
+
+def quantiles(df: DataFrame, col: str, probabilities: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation, in state that does not depend on the number of distinct values."""
+    x = F.col(col).cast("double")
+    n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return [None] * len(probabilities)
+    places = [(n - 1) * p for p in probabilities]
+    values = order_statistics(df, col, [int(i) for p in places for i in (p // 1, -(-p // 1))], low, high)
+    return [values[int(p // 1)] if p == p // 1 else (-(-p // 1) - p) * values[int(p // 1)] + (p - p // 1) * values[int(-(-p // 1))] for p in places]
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max; scores have few distinct values."""
+    """count, mean, std, min, exact quartiles and max of a column, which should be one of a written table: several passes read it."""
     x = F.col(col).cast("decimal(18,4)")
     n, s, q = F.col("n").cast("double"), F.col("s").cast("double"), F.col("q").cast("double")
     agg = df.agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum((x * x).cast("decimal(28,8)")).alias("q"),
-                 F.min(col).alias("min"), F.max(col).alias("max"),
-                 F.percentile(col, [0.25, 0.5, 0.75]).alias("p"))
+                 F.min(col).alias("min"), F.max(col).alias("max"))
+    p25, p50, p75 = (F.lit(v).cast("double") for v in quantiles(df, col, [0.25, 0.5, 0.75]))
     return agg.select(
         F.col("n").alias("count"), half_up(s / n, 4).alias("mean"),
-        half_up(F.sqrt((q - s * s / n) / (n - 1)), 4).alias("std"), "min", half_up(F.col("p")[0], 4).alias("p25"),
-        half_up(F.col("p")[1], 4).alias("p50"), half_up(F.col("p")[2], 4).alias("p75"), "max")
+        half_up(F.sqrt((q - s * s / n) / (n - 1)), 4).alias("std"), "min", half_up(p25, 4).alias("p25"),
+        half_up(p50, 4).alias("p50"), half_up(p75, 4).alias("p75"), "max")
 
 
 def group_summary(df: DataFrame, label: Column, alias: str, score: str, places: int) -> DataFrame:

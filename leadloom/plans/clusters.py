@@ -13,7 +13,7 @@ from leadloom.plans.registry import cte, query
 from leadloom.session import staged
 
 c = F.col
-STARTS, ITERATIONS, BATCHES, EPOCHS, KS = 3, 20, 8, 3, (3, 4, 5, 6)
+STARTS, ITERATIONS, BATCHES, EPOCHS, KS = 3, 20, 4, 2, (3, 4, 5, 6)
 XS = [f"x{i}" for i in range(6)]
 
 

@@ -134,6 +134,21 @@ def src6_binary_phone_scan(spark, sf):
     return CF.phones_in_content(docs, "doc_id")
 
 
+@query("src6_document_files", """
+SELECT part, phone AS raw_phone, count(*) AS places FROM (SELECT doc_id % 16 AS part,
+  unnest(regexp_extract_all(text || ' 0' || lpad(CAST((doc_id * 7919) % 1000000000 AS VARCHAR), 9, '0') || 'x+84912345678', '((?:0|\\+84)[0-9]{8,10})', 1)) AS phone
+  FROM {documents}) t GROUP BY ALL""")
+def src6_document_files(spark, sf):
+    """The documents as files of many lines, written and scanned in splits."""
+    tail = F.concat(F.lit(" 0"), F.lpad(((c("doc_id") * 7919) % 1000000000).cast("string"), 9, "0"), F.lit("x+84912345678"))
+    path = new_dir(spark, "documents")
+    load(spark, sf, "documents").select((c("doc_id") % 16).alias("part"), F.concat("text", tail).alias("value")).filter(
+        "value IS NOT NULL").write.partitionBy("part").text(path)
+    found = CF.read_documents(spark, path)
+    part = F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long")
+    return found.groupBy(part.alias("part"), "raw_phone").agg(F.count("*").alias("places"))
+
+
 @query("src7_interaction_csv", """
 SELECT uid, source_url, behavior, keyword, count(*) AS rows FROM (SELECT uid, source_url, CASE WHEN behavior = 'like' AND event_id % 2 = 0 THEN 'like' ELSE behavior END AS behavior, keyword
 FROM {v_interactions} WHERE uid <> '') t GROUP BY ALL""")

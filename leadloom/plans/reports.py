@@ -299,7 +299,7 @@ FROM (SELECT count(*) AS n, CAST(sum(x) AS DOUBLE) AS s, CAST(sum(CAST(x * x AS
              quantile_cont(lead_score, 0.25) AS p25, quantile_cont(lead_score, 0.5) AS p50, quantile_cont(lead_score, 0.75) AS p75
       FROM (SELECT lead_score, CAST(lead_score AS DECIMAL(18,4)) AS x FROM {{o_leads}}) a) b""")
 def agg10_score_describe(spark, sf):
-    return R.describe(leads(spark, sf), "lead_score")
+    return R.describe(staged(leads(spark, sf).select("lead_score"), "scores"), "lead_score")
 
 
 _LABEL = "CASE cluster WHEN 0 THEN 'Standard' WHEN 1 THEN 'Growth' ELSE 'VIP' END"

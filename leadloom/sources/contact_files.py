@@ -136,11 +136,18 @@ def decode_content(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Phones of documents that are no tables, one row each."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("modificationTime").cast("date").alias("modified")).alias("f"), "content")
-    return phones_in_content(files, "f").select(
-        "f.file", F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("row")).alias("at"), "f.modified", F.col("phone").alias("raw_phone"))
+    """Phones of documents that are no tables, one row each.
+
+    A phone never holds a line break, so documents of any size and kind are
+    scanned in splits by their line breaks, as bytes; a match cannot lie on a seam.
+    """
+    chunks = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").cast("date").alias("modified"),
+                 F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("f"), F.col("value").alias("content"))
+    found = phones_in_content(chunks, "f")
+    lines = found.select("f.*", "pos", "phone")
+    # numbered anew where found, so that each phone has a place of its own
+    return lines.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at"), "modified", F.col("phone").alias("raw_phone"))
 
 
 def phones_in_content(files: DataFrame, key: str) -> DataFrame:
