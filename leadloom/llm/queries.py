@@ -157,7 +157,33 @@ def op9(spark, sf_dir):
                       "base_score", "score")
 
 
-@query("op10_interleaved_shards")
+def _crc_table():
+    """The 256 remainders of the checksum's polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+#: crc32 of UTF-8 text in SQL, byte by byte; ``x`` is the list of the hexadecimal digits of the text.
+CRC32 = f"""
+xor(4294967295::bigint, list_reduce(
+    list_transform(range(0, len(x) // 2), lambda i: 16 * instr('123456789ABCDEF', x[2 * i + 1]) + instr('123456789ABCDEF', x[2 * i + 2])),
+    lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b::bigint) & 255) + 1]::bigint), 4294967295::bigint))"""
+
+
+@query("op10_interleaved_shards", f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS source, strlen(coalesce(text, '')) + 1 AS size, string_split(hex(coalesce(text, '')), '') AS x,
+                  CAST('0x' || substr(md5('0|' || coalesce(doc_id::varchar, 'null')), 1, 15) AS bigint) AS hash FROM documents),
+     c AS (SELECT doc_id, source, size, hash, CASE WHEN size = 1 THEN 0 ELSE {CRC32} END AS crc,
+                  CAST('0x' || substr(md5('0|source|' || source), 1, 15) AS bigint)::double / 1152921504606846976::double AS shift FROM d),
+     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash, doc_id, crc, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS total FROM c),
+     p AS (SELECT *, row_number() OVER (ORDER BY (rank + shift) / total, source, hash, doc_id, crc, size) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size::bigint AS size, crc::bigint AS text_crc32, 'rows' AS law, (place * 8 // n)::integer AS shard,
+       (place - ((place * 8 // n) * n + 7) // 8)::bigint AS slot, NULL::integer AS grown_shard FROM p
+""")
 def op10(spark, sf_dir):
     out = sharding.interleave(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -209,27 +235,10 @@ def op12(spark, sf_dir):
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _crc_table():
-    """The 256 remainders of the checksum's polynomial."""
-    out = []
-    for value in range(256):
-        for _ in range(8):
-            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
-        out.append(value)
-    return out
-
-
-#: crc32 of the UTF-8 text ``s`` in SQL, byte by byte.
-CRC32 = f"""
-xor(4294967295::bigint, list_reduce(
-    list_transform(range(0, strlen(s)), lambda i: 16 * (instr('0123456789ABCDEF', hex(s)[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hex(s)[2 * i + 2]) - 1),
-    lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b::bigint) & 255) + 1]::bigint), 4294967295::bigint))"""
-
-
 @query("op13_spelling_variants", rf"""
 WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS n FROM
                        (SELECT doc_id, unnest(regexp_extract_all({FOLDED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
-     sums AS (SELECT run, n, {CRC32} AS h FROM (SELECT run, n, coalesce(doc_id::varchar, '') || ':' || run AS s FROM r)),
+     sums AS (SELECT run, n, {CRC32} AS h FROM (SELECT run, n, string_split(hex(coalesce(doc_id::varchar, '') || ':' || run), '') AS x FROM r)),
      cut AS (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums),
      v AS (SELECT word, sum(n)::bigint AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
      less AS (SELECT word, n, p, left(word, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS p FROM v)),
