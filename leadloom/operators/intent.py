@@ -107,9 +107,13 @@ def response_speed(minutes: Column) -> Column:
     return F.when(minutes.isNull(), D.RESPONSE_UNKNOWN).otherwise(out)
 
 
-def progression(messages: DataFrame, key: str = "conv_id", signals: list | None = None) -> DataFrame:
-    """Signals without concerns in the second half of the customer's messages against the first."""
-    rows = message_signals(messages, signals).select(
+def progression(messages: DataFrame, key: str = "conv_id", signals: list | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Signals without concerns in the second half of the customer's messages against the first.
+
+    ``found`` is the result of ``message_signals`` where it is at hand.
+    """
+    found = message_signals(messages, signals) if found is None else found
+    rows = found.select(
         key, "idx", F.size(F.filter("signals", lambda s: s["category"] != "CONCERN")).alias("n"))
     placed = blocked_row_number(rows, key, "idx", "rn")
     early = F.col("rn") <= F.floor(F.col("rn_total") / 2)
@@ -157,9 +161,10 @@ def summarise(scores: DataFrame) -> DataFrame:
 
 
 def analyze(messages: DataFrame, key: str = "conv_id", signals: list | None = None) -> DataFrame:
-    """Full result per conversation."""
-    scores = category_scores(messages, extract_signals(messages, key, signals), key)
-    return (summarise(scores).join(response_time(messages, key), key, "left").join(progression(messages, key, signals), key, "left")
+    """Full result per conversation; the signals are extracted once, into a written table, for scores and progression."""
+    found = staged(message_signals(messages, signals).select(key, "idx", "signals"), "signals")
+    scores = category_scores(messages, found.select(key, "idx", F.explode("signals").alias("s")).select(key, "idx", "s.*"), key)
+    return (summarise(scores).join(response_time(messages, key), key, "left").join(progression(messages, key, found=found), key, "left")
             .withColumn("response_speed", response_speed(F.col("avg_response_time_min")))
             .withColumn("progression", F.coalesce("progression", F.lit(D.PROGRESSION["short"]))))
 

@@ -251,6 +251,21 @@ def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow the row with the keys ``after`` (None: the first ones), in an order of (column, rising) that tells rows apart.
+
+    A filter on the keys and a bounded top-n per task: unlike by an offset, the
+    rows before a page are neither sorted nor counted, however late the page.
+    Keys are not null.
+    """
+    later, equal = F.lit(False), F.lit(True)
+    for (name, rising), value in zip(order, after or (), strict=False):
+        beyond = F.col(name) > F.lit(value) if rising else F.col(name) < F.lit(value)
+        later, equal = later | (equal & beyond), equal & (F.col(name) == F.lit(value))
+    rows = df if after is None else df.filter(later)
+    return rows.orderBy(*[F.asc(name) if rising else F.desc(name) for name, rising in order]).limit(size)
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     cols = snapshots.columns
     return snapshots.agg(F.max_by(F.struct(*cols), "snapshot_time").alias("s")).select("s.*")

@@ -445,6 +445,13 @@ def srt1_leads_page(spark, sf):
     return R.page(leads(spark, sf).select("profile_key", "lead_score"), [F.desc("lead_score"), "profile_key"], 3, 50)
 
 
+@query("srt1_leads_after", """
+SELECT profile_key, lead_score FROM {o_leads} WHERE lead_score < 8.5 OR (lead_score = 8.5 AND profile_key > '+84350000000') ORDER BY lead_score DESC, profile_key LIMIT 50""")
+def srt1_leads_after(spark, sf):
+    """The page that follows a given lead, without the rows before it."""
+    return R.page_after(leads(spark, sf).select("profile_key", "lead_score"), [("lead_score", False), ("profile_key", True)], (8.5, "+84350000000"), 50)
+
+
 @query("srt2_hot_top100", "SELECT source, seq, hot_score FROM {o_hot} WHERE hot_score >= 1 ORDER BY hot_score DESC, source, seq LIMIT 100")
 def srt2_hot_top100(spark, sf):
     return hot(spark, sf).filter("hot_score >= 1").select("source", "seq", "hot_score").orderBy(

@@ -38,3 +38,15 @@ def test_no_text_meets_all_names(spark):
     assert found.count() >= 20_000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_pages_by_key_cover_all_rows_once(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([(f"k{i:03d}", float(r.randrange(5))) for i in range(137)], "key string, score double")
+    order, seen, after = [("score", False), ("key", True)], [], None
+    while rows := [tuple(x) for x in R.page_after(df, order, after, 20).select("score", "key").collect()]:
+        seen += rows
+        after = rows[-1]
+    assert seen == sorted(seen, key=lambda x: (-x[0], x[1])) and len(seen) == 137
+    plan = R.page_after(df, order, (3.0, "k001"), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Filter" in plan
