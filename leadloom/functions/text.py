@@ -1,5 +1,8 @@
 """Names, e-mails, addresses, file names and keyword tests as Column expressions."""
 
+import re
+from re import _parser as _regex
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,3 +217,53 @@ def chat_phone(text: Column) -> Column:
 def chat_email(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(text), r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_]+", 0),
                     F.lit(""))
+
+
+# --- searching many patterns ------------------------------------------------
+def _needed(nodes) -> list[str] | None:
+    """Strings of which every match of these parsed parts holds one; None where no such list is known.
+
+    Of the parts' own lists the one with the longest shortest string is taken.
+    """
+    lists, run = [], ""
+    for op, value in [*nodes, (None, None)]:
+        if op is _regex.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            lists.append([run])
+            run = ""
+        inside = None
+        if op is _regex.SUBPATTERN and not value[1] and not value[2]:
+            inside = _needed(value[3])
+        elif op in (_regex.MAX_REPEAT, _regex.MIN_REPEAT) and value[0]:
+            inside = _needed(value[2])
+        elif op is _regex.BRANCH:
+            ways = [_needed(way) for way in value[1]]
+            inside = None if None in ways else list(dict.fromkeys(x for way in ways for x in way))
+        if inside:
+            lists.append(inside)
+    return max(lists, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def needed_literals(pattern: str) -> list[str]:
+    """Literal strings of which every match of ``pattern`` holds at least one; empty where none can be told."""
+    try:
+        parsed = _regex.parse(pattern)
+    except re.error:  # Java's own syntax
+        return []
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return []
+    return _needed(parsed) or []
+
+
+def found(text: Column, pattern: str) -> Column:
+    """``rlike`` that searches only texts with one of the literals the pattern needs.
+
+    A byte search for a literal costs a fraction of a regular expression, so of
+    many patterns only those that can match are tried.
+    """
+    literals = needed_literals(pattern)
+    if not literals:
+        return text.rlike(pattern)
+    return contains_any(text, literals) & text.rlike(pattern)

@@ -20,7 +20,7 @@ CATEGORIES = list(D.INTENT_CATEGORIES)
 
 def _signal(text: Column, order: int, category: str, pattern: str, score: float, label: str) -> Column:
     around = F.trim(F.regexp_extract(text, ".{0,10}?(?:" + pattern + ").{0,20}", 0))
-    return F.when(text.rlike(pattern), F.struct(
+    return F.when(T.found(text, pattern), F.struct(
         F.lit(order).alias("ord"), F.lit(category).alias("category"), F.lit(label).alias("label"),
         F.lit(float(score)).alias("score"), F.concat(F.lit("..."), around, F.lit("...")).alias("snippet")))
 
