@@ -92,10 +92,10 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)
 """)
 def op6(spark, sf_dir):
-    out = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
-    out = out.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), decontaminate.items().alias("_items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"),
-                      F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    n_hit = decontaminate.hit_words("runs")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 RULES = [url_reputation.Rule("allow", "org", "/"), url_reputation.Rule("block", "example.org", "/es/"),

@@ -57,6 +57,29 @@ def test_hits_equal_brute_force(spark, docs, planted, width, block):
     assert sorted([(r[0], r[1], r[2], r[3]) for r in got], key=str) == brute(*planted, width)
 
 
+@pytest.mark.parametrize("width,block", [(5, 8 << 20), (10, 8 << 20), (5, 200), (1, 8 << 20)])
+def test_runs_and_items_equal_brute_force(spark, docs, planted, width, block):
+    d, b = frames(spark, docs, *planted)
+    out = decontaminate.hits(d, b, width=width, carry=["doc_id"], block_bytes=block)
+    got = out.select("doc_id", "n_words", decontaminate.hit_words("runs").alias("n"), "items").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(*planted, width)
+
+
+def test_many_items_in_many_places():
+    items = [(f"i{i}", b"word") for i in range(2000)]
+    shard = decontaminate.Shard([b"word " * 2000, b"other word"], decontaminate.Windows(items, 10))
+    runs, found = shard.hits()
+    assert runs == [[(0, 2000)], [(1, 1)]] and [len(f) for f in found] == [2000, 2000]
+
+
+def test_a_block_of_items_is_packed():
+    rng = random.Random(5)
+    items = [(str(i), " ".join(f"w{rng.randrange(20000)}" for _ in range(150)).encode()) for i in range(1000)]
+    windows = decontaminate.Windows(items, 10)
+    arrays = sum(x.nbytes for x in vars(windows).values() if hasattr(x, "nbytes"))
+    assert len(windows.low) == 141 * 1000 and arrays < 60 * 150 * 1000  # 60 bytes a word
+
+
 def test_matches_are_verbatim_and_maximal(spark, docs, planted):
     rows, bench = planted
     d, b = frames(spark, docs, rows, [x for x in bench if x[0] != "i0"])
