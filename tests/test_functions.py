@@ -57,6 +57,7 @@ def test_names_and_emails(spark):
     assert apply(spark, T.name_first, ["Nguyen Van A"]) == ["A"] and apply(spark, T.name_last, ["Nguyen Van A", "A"]) == ["Nguyen Van", ""]
 
 
+# fixed values: file names and the tiers they must get
 FILES = [("DSKH NGAN HANG HSBC TIET KIEM.xls", "banking_vip"), ("KH VPBank Priority Banking 2024.xlsx", "banking_vip"),
          ("100 Villa Sai Gon Pearl Vinhomes.xls", "real_estate_vip"), ("Chung Cu Masteri The Tresor.xlsx", "real_estate_vip"),
          ("DS CEO GIAM DOC HCM 2000 KH.xlsx", "ceo_director"), ("BMW Mercedes Lexus Owner List.xls", "automotive_vip"),
