@@ -107,3 +107,23 @@ def test_a_labelled_id_on_many_rows_counts_once(spark):
     assert once.bias == often.bias and once.weights.tolist() == often.weights.tolist()
     left = toxicity.drop(many.limit(5), labels, per_class=1, least=1)
     assert left.columns == many.columns and {r["_toxicity"] for r in left.collect()} <= {"x"}
+
+
+def test_every_label_is_learnt_from(spark, docs, monkeypatch):
+    """A label past any fixed number, and rows of a rare class in every block, count in means, pairs and threshold."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "plain words " * (2 + i % 7) + "! " * int(n)) for i, n in enumerate(rng.integers(0, 9, 600))]
+    known = [(i, int(t.count("!") < 8 and i % 50 > 0), 0) for i, t in rows]
+    seen = []
+    monkeypatch.setattr(quality, "sample", lambda *a: (seen.append(a[3]), sample(*a))[1])
+    quality.score(docs(rows[:9]), labels(spark, known[:9])).collect()
+    assert seen == [None]
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    frame = spark.createDataFrame([(i, int(i % 50 > 0), 1, [float(i + j) for j in range(12)]) for i in range(600)], "id long, label int, n long, _features array<double>")
+    parts, good, few = quality.blocks(frame)
+    assert parts.count() == 9 and (good, few) == (588, 12)
+    own = quality.total(parts, lambda x, good, weight, own: np.array([own.sum(), x[own, 0].sum(), float((~good).sum() == 12)]))
+    assert own.tolist() == [600, sum(range(600)), 9]
+    model = quality.fit(frame)
+    assert model == quality.fit(frame.repartition(11))
+    assert frame.filter(model.strength("_features") >= 0).count() == 588
