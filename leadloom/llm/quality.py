@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from leadloom.llm.batches import add_columns, text_bytes
+from leadloom.llm.batches import add_columns, ship, text_bytes
 from leadloom.llm.common import hash60, staged
 from leadloom.llm.labels import sample
 from leadloom.operators.reports import order_statistics
@@ -90,7 +90,7 @@ def blocks(known: DataFrame) -> tuple[DataFrame, int, int]:
         values = (x[order].tobytes(), good[order].tobytes(), weight[order].tobytes(), (copy[order] == 0).tobytes())
         return pa.table({"block": table.column("block").slice(0, 1), **{c: pa.array([v], pa.binary()) for c, v in zip(PACKED, values, strict=True)}})
 
-    packed = dealt.groupBy("block").applyInArrow(pack, "block int, " + ", ".join(f"{c} binary" for c in PACKED))
+    packed = ship(dealt).groupBy("block").applyInArrow(pack, "block int, " + ", ".join(f"{c} binary" for c in PACKED))
     return staged(packed, "labelled"), n_good, n_bad
 
 
@@ -105,7 +105,7 @@ def total(packed: DataFrame, measure) -> np.ndarray:
                 x, good, weight, own = (np.frombuffer(row[c], t) for c, t in zip(PACKED, (float, bool, float, bool), strict=True))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int32()), "value": pa.array([measure(x.reshape(-1, _WIDTH), good, weight, own).tolist()], pa.list_(pa.float64()))})
 
-    found = packed.mapInArrow(run, "block int, value array<double>").orderBy("block").collect()  # BLOCKS rows at most
+    found = ship(packed).mapInArrow(run, "block int, value array<double>").orderBy("block").collect()  # BLOCKS rows at most
     return np.sum([r["value"] for r in found], axis=0)
 
 

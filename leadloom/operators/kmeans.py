@@ -2,23 +2,26 @@
 
 Points are whole numbers (scaled features in ten-thousandths), distances are
 exact, sums are exact decimals, and every tie is broken by a number or a key.  A
-step is one aggregation over the points with map-side combine: k rows per fit
-reach the driver, which rounds the new centres and puts them into the next step
-as literals.  Several fits (values of k, starts) share their passes.
+step is one aggregation over the points: a task reduces its Arrow batches to k
+rows per fit, whose sums reach the driver, which rounds the new centres and ships
+them with the next step.  No step has code of its own to compile, and several
+fits (values of k, starts) share their passes.
 """
 
 from collections.abc import Iterable
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.functions import vector_to_array
 
 from leadloom.functions.numbers import exact_avg
 from leadloom.operators.cluster import persona
-from leadloom.session import new_dir
+from leadloom.session import new_dir, ship
 
 UNIT = 10_000
-EXACT = "decimal(20,0)"
 
 Centre = tuple[int, ...]
 Fits = dict[tuple[int, int], list[Centre]]  # centres by (k, start)
@@ -55,44 +58,110 @@ def nearest(xs: list[str], centres: list[Centre]) -> Column:
     return F.least(*options) if len(options) > 1 else options[0]
 
 
-def seeds(rows: DataFrame, k: int, start: int = 0) -> list[Centre]:
-    """Farthest-first: a row that a hash of start and key picks, then k - 1 times the row farthest from all before, ties by key.
+def _matrix(batch: pa.RecordBatch, xs: list[str]) -> np.ndarray:
+    return np.stack([batch.column(x).to_numpy() for x in xs], 1)
 
-    The first seeds of a larger k are those of a smaller one.
-    """
+
+def _gaps(x: np.ndarray, centres: list[Centre]) -> np.ndarray:
+    """Squared distances, a row per centre."""
+    return np.stack([((x - np.array(m, np.int64)) ** 2).sum(1) for m in centres])
+
+
+def farthest(rows: DataFrame, found: dict[int, list[Centre]]) -> dict[int, Centre]:
+    """Per start the row farthest from the seeds it has, ties by key, in one pass for all starts."""
     xs = coordinates(rows)
+
+    def run(batches):
+        best: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, keys = _matrix(batch, xs), batch.column("key")
+            for s, seen in found.items():
+                d = _gaps(x, seen).min(0)
+                at = np.flatnonzero(d == d.max())
+                key, i = min(zip(keys.take(pa.array(at)).to_pylist(), at.tolist(), strict=True), key=lambda o: (o[0] is not None, o[0]))
+                mine = (-int(d[i]), (key is not None, key), x[i].tolist())
+                best[s] = min(best[s], mine) if s in best else mine
+        if best:
+            yield pa.RecordBatch.from_pydict(
+                {"s": pa.array(list(best), pa.int32()), "d": pa.array([b[0] for b in best.values()], pa.int64()),
+                 "key": pa.array([b[1][1] for b in best.values()], pa.string()), **{x: pa.array([b[2][i] for b in best.values()], pa.int64()) for i, x in enumerate(xs)}})
+
+    kind = "s int, d long, key string, " + ", ".join(f"{x} long" for x in xs)
+    far = ship(rows).select("key", *xs).mapInArrow(run, kind).groupBy("s").agg(F.min_by(F.struct(*xs), F.struct("d", "key")).alias("p"))
+    return {r["s"]: tuple(r["p"]) for r in far.collect()}
+
+
+def seeds_of(rows: DataFrame, k: int, starts: Iterable[int]) -> dict[int, list[Centre]]:
+    """The farthest-first seeds of several starts in k passes; none for points of an empty table."""
+    xs, starts = coordinates(rows), list(starts)
     if not xs:
-        return []  # points of an empty table
+        return {s: [] for s in starts}
     point = F.struct(*xs)
-    first = rows.agg(F.min_by(point, F.struct(F.md5(F.concat(F.lit(f"{start}:"), "key")), F.col("key"))).alias("p")).first()["p"]
-    if first is None:
-        return []
-    found = [tuple(first)]
-    while len(found) < k:
-        far = F.struct((-nearest(xs, found)["d"]).alias("d"), F.col("key"))
-        found.append(tuple(rows.agg(F.min_by(point, far).alias("p")).first()["p"]))
+    first = rows.agg(*[F.min_by(point, F.struct(F.md5(F.concat(F.lit(f"{s}:"), "key")), F.col("key"))).alias(f"s{s}") for s in starts]).first()
+    if first[f"s{starts[0]}"] is None:
+        return {s: [] for s in starts}
+    found = {s: [tuple(first[f"s{s}"])] for s in starts}
+    for _ in range(k - 1):
+        for s, p in farthest(rows, found).items():
+            found[s] = [*found[s], p]
     return found
 
 
+def seeds(rows: DataFrame, k: int, start: int = 0) -> list[Centre]:
+    """Farthest-first: a row that a hash of start and key picks, then k - 1 times the row farthest from all before, ties by key.
+
+    The first seeds of a larger k are those of a smaller one.
+    """
+    return seeds_of(rows, k, [start])[start]
+
+
 def rounded(total: int, n: int) -> int:
     """total / n as the nearest whole number, halves away from zero."""
     value = (2 * abs(total) + n) // (2 * n)
     return value if total >= 0 else -value
 
 
+def _totals(rows: DataFrame, fits: Fits, norms: bool) -> list:
+    """Rows (k, s, c, n, x0.., t): rows, coordinate sums and sum of squared distances (or norms) of every cluster of every fit, in one pass."""
+    xs = coordinates(rows)
+
+    def run(batches):
+        kept: dict = {}  # exact: whole numbers of any size per task
+        for batch in batches:
+            x = _matrix(batch, xs)
+            squares = (x * x).sum(1) if norms else None
+            for (k, s), centres in fits.items():
+                d = _gaps(x, centres)
+                c = d.argmin(0)
+                measure = squares if norms else d.min(0)
+                for n in range(len(centres)):
+                    own = c == n
+                    if own.any():
+                        high, low = measure[own] >> 32, measure[own] & 0xFFFFFFFF  # so that no sum of a batch overflows
+                        new = [int(own.sum()), *x[own].sum(0).tolist(), (int(high.sum()) << 32) + int(low.sum())]
+                        kept[k, s, n] = [a + b for a, b in zip(kept[k, s, n], new, strict=True)] if (k, s, n) in kept else new
+        if kept:
+            names = ["n", *xs, "t"]
+            yield pa.RecordBatch.from_pydict(
+                {**{name: pa.array([f[i] for f in kept], pa.int32()) for i, name in enumerate("ksc")},
+                 **{name: pa.array([Decimal(v[i]) for v in kept.values()], pa.decimal128(38, 0)) for i, name in enumerate(names)}})
+
+    kind = "k int, s int, c int, " + ", ".join(f"{x} decimal(38,0)" for x in ("n", *xs, "t"))
+    parts = ship(rows).select(*xs).mapInArrow(run, kind)
+    return parts.groupBy("k", "s", "c").agg(*[F.sum(x).alias(x) for x in ("n", *xs, "t")]).collect()  # k rows a fit
+
+
 def sums(rows: DataFrame, fits: Fits) -> dict[tuple[int, int, int], tuple[int, list[int], int]]:
     """Rows, coordinate sums and squared distances of every cluster of every fit, in one pass: {(k, start, c): (n, sums, cost)}."""
     xs = coordinates(rows)
-    label = [F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), nearest(xs, centres).alias("near")) for (k, s), centres in fits.items()]
-    each = rows.select(*xs, F.explode(F.array(*label)).alias("f"))
-    found = each.groupBy("f.k", "f.s", "f.near.c").agg(
-        F.count("*").alias("n"), *[F.sum(F.col(x).cast(EXACT)).alias(x) for x in xs], F.sum(F.col("f.near.d").cast(EXACT)).alias("cost"))
-    return {(r["k"], r["s"], r["c"]): (r["n"], [int(r[x]) for x in xs], int(r["cost"])) for r in found.collect()}
+    return {(r["k"], r["s"], r["c"]): (int(r["n"]), [int(r[x]) for x in xs], int(r["t"])) for r in _totals(rows, fits, False)} if fits and xs else {}
 
 
 def lloyd(rows: DataFrame, ks: Iterable[int] = (3,), starts: int = 3, iterations: int = 20) -> tuple[Fits, dict[tuple[int, int], int]]:
     """Centres and costs of all fits of ``ks`` clusters from ``starts`` farthest-first starts; a cluster without rows keeps its centre."""
-    first = [seeds(rows, max(ks), s) for s in range(starts)]
+    first = seeds_of(rows, max(ks), range(starts))
     fits = {(k, s): first[s][:k] for k in ks for s in range(starts) if first[s]}
     moving = dict(fits)
     for _ in range(iterations):
@@ -151,50 +220,57 @@ def labelled(rows: DataFrame, centres: list[Centre]) -> DataFrame:
 
 def moments(rows: DataFrame, fits: Fits) -> dict[tuple[int, int], dict[int, tuple[float, list[float], float]]]:
     """Rows, coordinate sums and sum of squared norms of every cluster of every fit, in one pass."""
-    xs = coordinates(rows)
-    label = [F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), nearest(xs, centres)["c"].alias("c")) for (k, s), centres in fits.items()]
-    norm = sum((F.col(x) * F.col(x) for x in xs[1:]), F.col(xs[0]) * F.col(xs[0]))
-    found = rows.select(*xs, norm.alias("norm"), F.explode(F.array(*label)).alias("f")).groupBy("f.k", "f.s", "f.c").agg(
-        F.count("*").alias("n"), *[F.sum(F.col(x).cast(EXACT)).alias(x) for x in xs], F.sum(F.col("norm").cast(EXACT)).alias("norm"))
-    out: dict = {f: {} for f in fits}
-    for r in found.collect():
-        out[r["k"], r["s"]][r["c"]] = (float(r["n"]), [float(r[x]) for x in xs], float(r["norm"]))
+    xs, out = coordinates(rows), {f: {} for f in fits}
+    for r in _totals(rows, fits, True):
+        out[r["k"], r["s"]][r["c"]] = (float(r["n"]), [float(r[x]) for x in xs], float(r["t"]))
     return out
 
 
-def silhouette_of(xs: list[str], centres: list[Centre], clusters: dict[int, tuple[float, list[float], float]]) -> Column:
-    """Silhouette of a row by squared distances: the mean distance to a cluster follows from its rows, sums and squared norms.
+def _silhouette(x: np.ndarray, centres: list[Centre], clusters: dict[int, tuple[float, list[float], float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster and silhouette of rows by squared distances: the mean distance to a cluster follows from its rows, sums and squared norms.
 
     0 in a cluster of one row, -1 where all rows are in one cluster.
     """
+    own, norm, values = _gaps(x, centres).argmin(0), (x * x).sum(1).astype(float), x.astype(float)
     if len(clusters) < 2:
-        return F.lit(-1.0)
-    norm = sum((F.col(x) * F.col(x) for x in xs[1:]), F.col(xs[0]) * F.col(xs[0])).cast("double")
-
-    def total(c: int) -> Column:
-        n, totals, squares = clusters[c]
-        dot = sum((F.col(x).cast("double") * t for x, t in zip(xs[1:], totals[1:], strict=True)), F.col(xs[0]).cast("double") * totals[0])
-        return norm * n - dot * 2.0 + squares
-
-    own, out = nearest(xs, centres)["c"], F.lit(0.0)
+        return own, np.full(len(x), -1.0)
+    away, out = {}, np.zeros(len(x))
+    for c, (n, totals, squares) in clusters.items():
+        dot = values[:, 0] * totals[0]
+        for i in range(1, values.shape[1]):
+            dot = dot + values[:, i] * totals[i]
+        away[c] = norm * n - dot * 2.0 + squares
     for c, (n, _, _) in clusters.items():
+        mine = own == c
         if n > 1:
-            inside = total(c) / (n - 1.0)
-            others = [total(o) / clusters[o][0] for o in clusters if o != c]
-            outside = F.least(*others) if len(others) > 1 else others[0]
-            widest = F.greatest(inside, outside)
-            out = F.when(own == c, F.when(widest > 0, (outside - inside) / widest).otherwise(0.0)).otherwise(out)
-    return out
+            inside = away[c][mine] / (n - 1.0)
+            outside = np.min([away[o][mine] / clusters[o][0] for o in clusters if o != c], axis=0)
+            widest = np.maximum(inside, outside)
+            out[mine] = np.where(widest > 0, (outside - inside) / np.where(widest > 0, widest, 1.0), 0.0)
+    return own, out
+
+
+def silhouette_rows(rows: DataFrame, fits: dict[int, list[Centre]]) -> DataFrame:
+    """(c<k>, s<k>) of every row: its cluster and silhouette in the fit of each k, in two passes for all of them."""
+    parts, xs = moments(rows, {(k, 0): centres for k, centres in fits.items()}), coordinates(rows)
+
+    def run(batches):
+        for batch in batches:
+            x, out = _matrix(batch, xs), {}
+            for k, centres in fits.items():
+                c, value = _silhouette(x, centres, parts[k, 0])
+                out |= {f"c{k}": pa.array(c, pa.int32()), f"s{k}": pa.array(value)}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return ship(rows).select(*xs).mapInArrow(run, ", ".join(f"c{k} int, s{k} double" for k in fits))
 
 
 def silhouettes(rows: DataFrame, fits: dict[int, list[Centre]]) -> dict[int, float]:
     """Mean silhouette of all rows per k, in two passes for all of them."""
     if not fits:
         return {}
-    parts = moments(rows, {(k, 0): centres for k, centres in fits.items()})
-    xs = coordinates(rows)
-    exact = {k: silhouette_of(xs, centres, parts[k, 0]).cast("decimal(20,12)") for k, centres in fits.items()}
-    r = rows.agg(F.count("*").alias("n"), *[F.sum(v).alias(f"k{k}") for k, v in exact.items()]).first()
+    exact = [F.sum(F.col(f"s{k}").cast("decimal(20,12)")).alias(f"k{k}") for k in fits]
+    r = silhouette_rows(rows, fits).agg(F.count("*").alias("n"), *exact).first()
     return {k: round(float(r[f"k{k}"]) / r["n"], 9) for k in fits}
 
 

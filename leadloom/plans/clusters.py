@@ -162,9 +162,8 @@ _SILHOUETTE = [*LLOYD, *silhouette_sql("{o_points}")]
 def ml4_silhouette(spark, sf):
     """Mean silhouette of each cluster."""
     _, rows, centres = _three(spark, sf)
-    value = K.silhouette_of(XS, centres, K.moments(rows, {(3, 0): centres})[3, 0])
-    out = K.labelled(rows, centres).groupBy(c("cluster_raw").cast("long").alias("cluster_raw")).agg(
-        F.count("*").alias("n"), F.sum(value.cast("decimal(20,12)")).alias("total"))
+    out = K.silhouette_rows(rows, {3: centres}).groupBy(c("c3").cast("long").alias("cluster_raw")).agg(
+        F.count("*").alias("n"), F.sum(c("s3").cast("decimal(20,12)")).alias("total"))
     return out.select("cluster_raw", "n", F.round((c("total").cast("double") / c("n")).cast("decimal(38,10)"), 6).cast("double").alias("silhouette"))
 
 

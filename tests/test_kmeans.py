@@ -125,3 +125,21 @@ def test_a_batch_reads_its_own_folder_only(spark, blobs):
     points = frame(spark, blobs)
     plan = points.filter("batch = 3")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(batch" in plan
+
+
+def test_a_step_has_no_code_of_its_own(spark, blobs):
+    """Large centres and many fits leave the plan of a pass as it is: nothing grows past what the compiler takes, nothing is compiled anew."""
+    points, plans = frame(spark, blobs), []
+    for shift in (0, 1):
+        fits = {k: [(i + shift, i) for i in range(k)] for k in (3, 4, 5, 6)}
+        plan = K.silhouette_rows(points, fits)._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN" not in plan and "least(" not in plan
+        plans.append(len(plan))
+    assert plans[0] == plans[1] < 4000
+    assert K.seeds_of(points, 4, range(3)) == {s: K.seeds(points, 4, s) for s in range(3)}
+
+
+def test_sums_are_exact_past_64_bits(spark):
+    far = frame(spark, [(150_000.0, 0.0)] * 3 + [(-150_000.0, 0.0)] * 2)
+    assert K.sums(far, {(1, 0): [(0, 0)]}) == {(1, 0, 0): (5, [1_500_000_000, 0], 5 * 1_500_000_000 ** 2)}
+    assert 5 * 1_500_000_000 ** 2 > 2 ** 63
