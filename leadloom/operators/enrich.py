@@ -9,7 +9,7 @@ from leadloom.functions import phones as P
 from leadloom.functions import text as T
 from leadloom.functions.numbers import half_up
 from leadloom.operators import score as S
-from leadloom.operators.common import join_dimension
+from leadloom.operators.common import computed_once, join_dimension
 
 BASE_LISTING_SCORE, LISTING_STEP, LISTING_CAP = 3.0, 0.5, 8.0  # fixed values
 RECENT_FACTOR, STALE_BELOW = 1.5, 0.3  # fixed values
@@ -60,11 +60,13 @@ def valid_listings(listings: DataFrame) -> DataFrame:
 def listing_scores(listings: DataFrame) -> DataFrame:
     """One row per valid phone: frequency score, and the first listing's keyword, url and time."""
     scored = F.lit(BASE_LISTING_SCORE) + (F.count("*") - 1) * F.lit(LISTING_STEP)
-    return valid_listings(listings).groupBy("phone").agg(
+    phones = listings.filter("phone IS NOT NULL").groupBy("phone").agg(
         half_up(F.least(scored, F.lit(LISTING_CAP)), 2).alias("hot_score"),
         F.count("*").alias("listings"),
-        F.min_by(F.struct("id", "keyword", "source_url", "scraped_at"), "id").alias("first"),
-    ).select("phone", "hot_score", "listings", "first.*")
+        F.min_by(F.struct("id", "keyword", "source_url", "scraped_at"), "id").alias("first"))
+    # a number is judged once, not in each of its listings
+    judged = computed_once(phones, {"_valid": P.phone_e164(F.col("phone")).isNotNull()})
+    return judged.filter("_valid").select("phone", "hot_score", "listings", "first.*")
 
 
 def listing_hot_leads(listings: DataFrame) -> DataFrame:

@@ -195,7 +195,8 @@ def ml5_ranked_profiles(spark, sf):
 
 # --- personas of contacts -----------------------------------------------------
 def _points_v3(spark, sf):
-    features = staged(C.features_v3(PC.scored(spark, sf), "province"), "features")
+    scored = PC.scored(spark, sf).select("lead_key", "unified_score", "source_tier", "source_count", "source_weight", "province", "uid")
+    features = staged(C.features_v3(staged(scored, "scored"), "province"), "features")  # read for the province codes too
     return features, K.points(C.impute_scale(features, C.FEATURES_V3), "lead_key", BATCHES)
 
 

@@ -26,7 +26,8 @@ def keyed(spark, sf):
 
 
 def contacts(spark, sf):
-    return R.golden(keyed(spark, sf))
+    names = raw(spark, sf).select("file_name").distinct()  # of the raw rows: no phone is read for them
+    return R.golden(keyed(spark, sf), names)
 
 
 def scored(spark, sf):

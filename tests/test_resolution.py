@@ -103,3 +103,16 @@ def test_reconcile_across_files(spark):
     assert {(r["file_name"], r["uid"], r["name"], r["status"]) for r in R.reconcile(rows).collect()} == {
         ("f1", "u1", "An", "no_phone"), ("f2", "u1", None, "no_name"), ("f1", "u2", "Be", "no_phone")}
     assert {(r["uid"], r["status"]) for r in R.reconcile(rows, per=[]).collect()} == {("u1", "mapped"), ("u2", "no_phone")}
+
+
+def test_a_listed_number_is_judged_once(spark):
+    """Validity is computed after the listings of a number are counted, and changes no result."""
+    from leadloom.operators import enrich as E
+
+    rows = spark.createDataFrame([(i, p, f"k{i}", "u", None) for i, p in enumerate(["+84912345678"] * 3 + ["+84212345678", "junk", None, "+84912345679"])],
+                                 "id long, phone string, keyword string, source_url string, scraped_at timestamp")
+    scores = E.listing_scores(rows)
+    assert sorted((r["phone"], r["hot_score"], r["listings"], r["id"], r["keyword"]) for r in scores.collect()) == [
+        ("+84912345678", 4.0, 3, 0, "k0"), ("+84912345679", 3.0, 1, 6, "k6")]
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan.split("Aggregate", 1)[1].split("\n", 1)[1]  # nothing below the aggregate reads phones
