@@ -96,3 +96,16 @@ def test_audience_can_hash_keys(spark):
     plain, hashed = SK.audience(lead).first(), SK.audience(lead, hash_keys=True).first()
     assert (plain["phone"], plain["fn"], plain["ln"], plain["ct"], plain["country"]) == ("84912345678", "An", "Le Van", "Hồ Chí Minh", "VN")
     assert len(hashed["phone"]) == 64 and hashed["fn"] == "An"
+
+
+def test_landed_insights_are_compressed(spark, monkeypatch, tmp_path):
+    """The landed JSON is the most that the query writes: its files are compressed, and all rows come back."""
+    import glob
+
+    from leadloom.plans import files as PF
+
+    monkeypatch.setattr(PF, "new_dir", lambda *a: f"{tmp_path}/insights")
+    leads = PF.src8_insights_json(spark, "/root/testdata/sf0.001").agg({"leads": "sum"}).first()[0]
+    found = glob.glob(f"{tmp_path}/insights/part-*")
+    assert found and all(f.endswith(".json.gz") for f in found)
+    assert leads == PF.PA.insights(spark, "/root/testdata/sf0.001").agg({"leads": "sum"}).first()[0]
