@@ -12,6 +12,7 @@ from leadloom import dictionaries as D
 from leadloom.functions import phones as P
 from leadloom.functions import text as T
 from leadloom.operators.common import computed_once, join_dimension
+from leadloom.session import staged
 
 STATUSES = ("valid", "duplicate", "missing_contact", "invalid_phone")
 
@@ -110,12 +111,17 @@ def ingest_stats(marked: DataFrame) -> DataFrame:
     return per_file.rollup("file_name").agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def file_tiers(files: DataFrame) -> DataFrame:
+    """Tier and weight of every file name, as a written table: its real size decides how it is joined, so that
+    few files are sent to the rows and the rows are not moved to them."""
+    tiers = T.classify_files(files.select("file_name").distinct()).select(
+        "file_name", F.col("tier").alias("source_tier"), F.col("weight").alias("source_weight"))
+    return staged(tiers, "tiers")
+
+
 def with_tier(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Tier and weight of each row's file, classified once per file."""
-    files = rows.select("file_name").distinct() if files is None else files
-    tiers = T.classify_files(files.select("file_name")).select(
-        "file_name", F.col("tier").alias("source_tier"), F.col("weight").alias("source_weight"))
-    return join_dimension(rows, tiers, "file_name", ["file_name", "pos"])
+    return join_dimension(rows, file_tiers(rows if files is None else files), "file_name", ["file_name", "pos"])
 
 
 def golden(keyed: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -124,35 +130,47 @@ def golden(keyed: DataFrame, files: DataFrame | None = None) -> DataFrame:
     Rows of a phone are merged: first non-empty value by file order, the best
     tier, the longest address, the number of distinct files.  E-mail-only
     contacts keep their first row.
+
+    Rows are merged per key and file first, where the position alone orders
+    them, and these then per key: no value carries its file along, and files
+    are classified and counted on the merged rows.
     """
-    rows = with_tier(keyed.filter("lead_key IS NOT NULL"), files)
-    order = F.struct("file_name", "pos")
     alone = F.col("phone").isNull()
-
-    def first_filled(name: str) -> Column:
-        filled = F.coalesce(F.col(name), F.lit("")) != ""
-        return F.min_by(F.coalesce(F.col(name), F.lit("")), F.when(filled | alone, order)).alias(name)
-
-    best_file = F.struct(F.when(alone, 0.0).otherwise(-F.col("source_weight")).alias("w"), "file_name", "pos")
-    widest = F.struct(F.when(alone, 0).otherwise(-F.length("address")).alias("n"), "file_name", "pos")
-    merged = rows.groupBy("lead_key").agg(
-        F.max("phone").alias("phone"), first_filled("email"), first_filled("name"),
-        first_filled("uid"), first_filled("link"),
-        F.min_by("address", widest).alias("address"),
-        F.min_by(F.struct("source_tier", "source_weight"), best_file).alias("best"),
-        F.min_by(F.struct("file_name", "raw_note", "raw_source"), order).alias("head"),
-        F.count_distinct("file_name").alias("n_files"),
+    filled = ("email", "name", "uid", "link")
+
+    def first(cond: Column | None, *cells) -> Column:
+        """The least struct: the value of its last fields in the order of its first ones."""
+        return F.min(F.struct(*cells) if cond is None else F.when(cond, F.struct(*cells)))
+
+    def kept(name: str) -> Column:
+        value = F.coalesce(F.col(name), F.lit(""))
+        return first((value != "") | alone, "pos", value.alias("v")).alias(name)
+
+    widest = F.when(alone, 0).otherwise(-F.length("address"))
+    per_file = keyed.filter("lead_key IS NOT NULL").groupBy("lead_key", "file_name").agg(
+        F.max("phone").alias("phone"), *[kept(name) for name in filled],
+        first(None, widest.alias("n"), "pos", "address").alias("address"),
+        first(None, "pos", "raw_note", "raw_source").alias("head"),
+        F.max("file_date").alias("file_date"))
+    tiered = join_dimension(per_file, file_tiers(keyed if files is None else files), "file_name", ["lead_key"])
+    best = F.when(alone, 0.0).otherwise(-F.col("source_weight"))
+    merged = tiered.groupBy("lead_key").agg(
+        F.max("phone").alias("phone"),
+        *[first(F.col(name).isNotNull(), "file_name", F.col(name)["v"].alias("v")).alias(name) for name in filled],
+        first(None, F.col("address")["n"].alias("n"), "file_name", F.col("address")["address"].alias("v")).alias("address"),
+        first(None, best.alias("w"), "file_name", "source_tier", "source_weight").alias("best"),
+        first(None, "file_name", "head").alias("first"),
+        F.count("file_name").alias("n_files"),
         F.max("file_date").alias("latest_file_date"))
     return merged.select(
-        "lead_key", "phone", F.coalesce("email", F.lit("")).alias("email"),
-        F.coalesce("name", F.lit("")).alias("name"), F.coalesce("uid", F.lit("")).alias("uid"),
-        F.coalesce("link", F.lit("")).alias("link"), "address",
+        "lead_key", "phone", *[F.coalesce(F.col(name)["v"], F.lit("")).alias(name) for name in filled],
+        F.col("address")["v"].alias("address"),
         F.col("best.source_tier").alias("source_tier"),
         F.col("best.source_weight").alias("source_weight"),
         F.when(F.col("phone").isNull(), F.lit(1).cast("bigint")).otherwise(F.col("n_files")).alias("source_count"),
-        "latest_file_date", F.col("head.file_name").alias("file_source"),
-        F.coalesce("head.raw_note", F.lit("")).alias("note"),
-        F.coalesce("head.raw_source", F.lit("")).alias("source"))
+        "latest_file_date", F.col("first.file_name").alias("file_source"),
+        F.coalesce("first.head.raw_note", F.lit("")).alias("note"),
+        F.coalesce("first.head.raw_source", F.lit("")).alias("source"))
 
 
 def golden_names(keyed: DataFrame) -> DataFrame:

@@ -26,8 +26,7 @@ def keyed(spark, sf):
 
 
 def contacts(spark, sf):
-    names = raw(spark, sf).select("file_name").distinct()  # of the raw rows: no phone is read for them
-    return R.golden(keyed(spark, sf), names)
+    return R.golden(keyed(spark, sf), load(spark, sf, "v_contact_files"))  # no contact row is read for the names
 
 
 def scored(spark, sf):

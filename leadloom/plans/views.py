@@ -83,6 +83,9 @@ FROM (SELECT o_orderkey, o_custkey, o_orderdate, c_name, n_nationkey, {_phone('o
       FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey
       JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey) t""",
 
+    # listing of the folder the contact rows come from; it may name files without rows
+    "v_contact_files": f"SELECT DISTINCT {_pick(_ok + ' % 13', FILE_NAMES)} AS file_name FROM {{orders}}",
+
     "v_interactions": f"""
 SELECT event_id,
        CASE WHEN event_id % 53 = 0 THEN '' ELSE '1000' || lpad(CAST(user_id AS STRING), 11, '0') END AS uid,

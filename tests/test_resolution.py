@@ -116,3 +116,42 @@ def test_a_listed_number_is_judged_once(spark):
         ("+84912345678", 4.0, 3, 0, "k0"), ("+84912345679", 3.0, 1, 6, "k6")]
     plan = scores._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan.split("Aggregate", 1)[1].split("\n", 1)[1]  # nothing below the aggregate reads phones
+
+
+def test_rows_are_not_moved_to_their_files(spark):
+    """Files are classified first; rows meet the few of them where they are."""
+    rows = spark.range(1_000_000).selectExpr(
+        "concat('file ', id % 7, '.csv') AS file_name", "id AS pos", "concat('an ', id) AS raw_name", "concat('09100', id % 90000 + 10000) AS raw_phone",
+        "'' AS raw_email", "'Huế' AS raw_address", "'' AS raw_source", "'' AS raw_campaign", "'' AS raw_note", "'' AS raw_uid", "'' AS raw_link",
+        "CAST(NULL AS DATE) AS file_date")
+    plan = R.golden(R.lead_keys(R.clean(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(_key" not in plan
+
+
+def test_ties_of_values_within_and_between_files(spark):
+    rows = [("b.csv", 1, "an", "0912345678", "", "12 Huế", "s1", "", "n1", "", "", None), ("b.csv", 2, "binh", "0912345678", "b@x.vn", "34 Huế", "s2", "", "n2", "", "l2", None),
+            ("a.csv", 9, "", "0912345678", "a@x.vn", "56 Huế", "s3", "", "n3", "u3", "", None), (None, 3, "", "0912345678", "", "", "", "", "", "", "", None),
+            ("c.csv", 1, "", "", "only@x.vn", "", "", "", "", "", "", None), ("a.csv", 5, "sau", "", "only@x.vn", "", "", "", "", "", "", None)]
+    got = {r["lead_key"]: r.asDict() for r in R.golden(R.lead_keys(R.clean(spark.createDataFrame(rows, SCHEMA)))).collect()}
+    one = got["0912345678"]
+    assert (one["name"], one["email"], one["uid"], one["link"], one["address"]) == ("An", "a@x.vn", "u3", "l2", "56 Huế")
+    assert (one["source_count"], one["file_source"], one["note"]) == (2, None, "")  # a row without a file is none more
+    assert (got["only@x.vn"]["name"], got["only@x.vn"]["source_count"], got["only@x.vn"]["file_source"]) == ("Sau", 1, "a.csv")
+
+
+def test_leads_read_interactions_once(spark, sf_dir):
+    """Matched leads are written once, not computed for each of their uses."""
+    from leadloom.plans import reports as RP
+
+    assert "event_id" not in RP.leads(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_people_scores_equal_those_of_all_interactions(spark):
+    from leadloom.operators import enrich as E
+
+    rows = [(i, str(i % 7), [None, "", "comment", "like", "share"][i * 3 % 5], "k", "u", f"2024-01-{1 + i % 30:02d}") for i in range(200)] + [(900, "", "tag", "k", "u", "2024-01-30"), (901, "8", None, "k", "u", "2024-01-30")]
+    table = spark.createDataFrame(rows, "event_id LONG, uid STRING, behavior STRING, keyword STRING, source_url STRING, ts STRING").withColumn("ts", F.col("ts").cast("timestamp"))
+    people = spark.createDataFrame([(f"+8491000000{i}", str(i)) for i in range(9)], "profile_key STRING, uid STRING")
+    pad = {"keyword": F.lit(None).cast("string")}
+    every, one = (E.hot_by_profile(E.match_hot_leads(hot, people)) for hot in (E.social_hot_leads(table, "2024-01-31"), E.social_hot_uids(table, "2024-01-31").withColumns(pad)))
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, one.collect())) and every.count() == 8
