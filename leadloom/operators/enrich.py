@@ -22,12 +22,19 @@ def behavior_weight(behavior: Column) -> Column:
     return out
 
 
+def _points(as_of: str) -> Column:
+    """Points of an interaction: behaviour weights, recent ones counted 1.5 times."""
+    return (behavior_weight(F.col("behavior")) * F.when(
+        DT.within_days(F.col("ts"), as_of), F.lit(RECENT_FACTOR)).otherwise(F.lit(1.0))).cast("decimal(20,4)")
+
+
+def _hot_score(points: Column) -> Column:
+    return half_up(F.least(F.sum(points), F.lit(10)), 2).alias("hot_score")
+
+
 def interaction_scores(interactions: DataFrame, as_of: str) -> DataFrame:
     """Hot score per uid: behaviour weights, recent ones counted 1.5 times, at most 10."""
-    points = behavior_weight(F.col("behavior")) * F.when(
-        DT.within_days(F.col("ts"), as_of), F.lit(RECENT_FACTOR)).otherwise(F.lit(1.0))
-    return interactions.groupBy("uid").agg(
-        half_up(F.least(F.sum(points.cast("decimal(20,4)")), F.lit(10)), 2).alias("hot_score"))
+    return interactions.groupBy("uid").agg(_hot_score(_points(as_of)))
 
 
 def social_hot_leads(interactions: DataFrame, as_of: str) -> DataFrame:
@@ -41,15 +48,19 @@ def social_hot_leads(interactions: DataFrame, as_of: str) -> DataFrame:
 
 
 def social_hot_uids(interactions: DataFrame, as_of: str) -> DataFrame:
-    """The same reduced to one row per uid, which is all that profiles need: its score and its first behaviour."""
-    known = interactions.filter("uid <> ''")
-    named = F.when(F.col("behavior") != "", F.struct("event_id"))
-    firsts = known.groupBy("uid").agg(
-        F.min("event_id").alias("_any"), F.min_by(F.struct("event_id", "behavior", "keyword", "source_url", "ts"), named).alias("_first"))
-    return (interaction_scores(known, as_of).join(firsts, "uid").filter(F.col("hot_score") >= STALE_BELOW)
-            .select(F.lit("facebook").alias("source"), F.coalesce("_first.event_id", "_any").alias("seq"), "uid",
-                    F.lit(None).cast("string").alias("phone"), "_first.keyword", F.coalesce("_first.behavior", F.lit("")).alias("behavior"),
-                    "_first.source_url", "hot_score", F.col("_first.ts").alias("seen_at")))
+    """The same reduced to one row per uid, which is all that profiles need: its score and its first behaviour.
+
+    Rows are reduced per uid and behaviour first, by numbers only, so that one
+    hash aggregation reads them and no row is sorted or carried as a whole.
+    """
+    kinds = interactions.filter("uid <> ''").groupBy("uid", "behavior").agg(
+        F.sum(_points(as_of)).alias("_points"), F.min("event_id").alias("_seq"))
+    named = F.struct("_seq", "behavior")
+    firsts = kinds.groupBy("uid").agg(
+        _hot_score(F.col("_points")), F.min("_seq").alias("_any"), F.min(F.when(F.col("behavior") != "", named)).alias("_first"))
+    return (firsts.filter(F.col("hot_score") >= STALE_BELOW)
+            .select(F.lit("facebook").alias("source"), F.coalesce("_first._seq", "_any").alias("seq"), "uid",
+                    F.lit(None).cast("string").alias("phone"), F.coalesce("_first.behavior", F.lit("")).alias("behavior"), "hot_score"))
 
 
 def valid_listings(listings: DataFrame) -> DataFrame:
