@@ -2,9 +2,9 @@
 
 Points are whole numbers (scaled features in ten-thousandths), distances are
 exact, sums are exact decimals, and every tie is broken by a number or a key.  A
-step is one aggregation over the points: a task reduces its Arrow batches to k
-rows per fit, whose sums reach the driver, which rounds the new centres and ships
-them with the next step.  No step has code of its own to compile, and several
+step is one stage over the points without a shuffle: a task reduces its Arrow
+batches to k rows per fit, and the driver adds these up, rounds the new centres and
+ships them with the next step.  No step has code of its own to compile, and several
 fits (values of k, starts) share their passes.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.functions import vector_to_array
 
 from leadloom.functions.numbers import exact_avg
-from leadloom.operators.cluster import persona
+from leadloom.operators.cluster import impute_scale, persona
 from leadloom.session import new_dir, ship
 
 UNIT = 10_000
@@ -36,12 +36,30 @@ def points(scaled: DataFrame, key: str, batches: int = 1) -> DataFrame:
     """(key, x0.., batch) of the vectors in ``scaled``, written in folders by batch so that a batch reads its rows only."""
     size = scaled.select(F.size(vector_to_array("scaled"))).first()
     values = vector_to_array("scaled")
-    rows = scaled.select(F.col(key).cast("string").alias("key"),
-                         *[F.round(values[i] * UNIT).cast("long").alias(f"x{i}") for i in range(size[0] if size else 0)],
-                         batch_of(F.col(key), batches).alias("batch"))
-    path = new_dir(scaled.sparkSession, "points")
+    return _written(scaled, key, [values[i] for i in range(size[0] if size else 0)], batches, ())
+
+
+def feature_points(features: DataFrame, cols: list[str], key: str, batches: int = 1, keep: Iterable[str] = ()) -> DataFrame:
+    """The points of feature columns, scaled by the means and deviations that one pass finds, and the columns ``keep`` beside them.
+
+    Only features with missing values go the longer way over their medians.
+    """
+    stats = [f(F.col(x)).alias(f"{name}{i}") for i, x in enumerate(cols) for name, f in (("m", F.avg), ("s", F.stddev_samp))]
+    r = features.agg(*stats, *[F.count_if(F.col(x).isNull() | F.isnan(x)).alias(f"gaps{i}") for i, x in enumerate(cols)]).first()
+    if any(r[f"gaps{i}"] for i in range(len(cols))):
+        values = vector_to_array("scaled")
+        kept = features.select(key, *[F.col(x).alias(f"_{x}") for x in keep], *cols)
+        return _written(impute_scale(kept, cols), key, [values[i] for i in range(len(cols))], batches, [F.col(f"_{x}").alias(x) for x in keep])
+    scaled = [(F.col(x) - r[f"m{i}"]) / r[f"s{i}"] if r[f"s{i}"] else F.lit(0.0) for i, x in enumerate(cols)]
+    return _written(features, key, scaled, batches, keep)
+
+
+def _written(rows: DataFrame, key: str, values: list[Column], batches: int, keep: Iterable) -> DataFrame:
+    rows = rows.select(F.col(key).cast("string").alias("key"), *[F.round(v * UNIT).cast("long").alias(f"x{i}") for i, v in enumerate(values)],
+                       *keep, batch_of(F.col(key), batches).alias("batch"))
+    path = new_dir(rows.sparkSession, "points")
     rows.write.partitionBy("batch").parquet(path)
-    return scaled.sparkSession.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def coordinates(rows: DataFrame) -> list[str]:
@@ -89,8 +107,11 @@ def farthest(rows: DataFrame, found: dict[int, list[Centre]]) -> dict[int, Centr
                  "key": pa.array([b[1][1] for b in best.values()], pa.string()), **{x: pa.array([b[2][i] for b in best.values()], pa.int64()) for i, x in enumerate(xs)}})
 
     kind = "s int, d long, key string, " + ", ".join(f"{x} long" for x in xs)
-    far = ship(rows).select("key", *xs).mapInArrow(run, kind).groupBy("s").agg(F.min_by(F.struct(*xs), F.struct("d", "key")).alias("p"))
-    return {r["s"]: tuple(r["p"]) for r in far.collect()}
+    far: dict = {}
+    for r in ship(rows).select("key", *xs).mapInArrow(run, kind).collect():  # a row per start and task
+        mine = (r["d"], (r["key"] is not None, r["key"]), tuple(r[x] for x in xs))
+        far[r["s"]] = min(far.get(r["s"], mine), mine)
+    return {s: mine[2] for s, mine in far.items()}
 
 
 def seeds_of(rows: DataFrame, k: int, starts: Iterable[int]) -> dict[int, list[Centre]]:
@@ -123,8 +144,8 @@ def rounded(total: int, n: int) -> int:
     return value if total >= 0 else -value
 
 
-def _totals(rows: DataFrame, fits: Fits, norms: bool) -> list:
-    """Rows (k, s, c, n, x0.., t): rows, coordinate sums and sum of squared distances (or norms) of every cluster of every fit, in one pass."""
+def _totals(rows: DataFrame, fits: Fits, norms: bool) -> dict[tuple[int, int, int], list[int]]:
+    """{(k, start, c): [n, x0.., t]}: rows, coordinate sums and sum of squared distances (or norms) of every cluster of every fit, in one pass."""
     xs = coordinates(rows)
 
     def run(batches):
@@ -149,14 +170,16 @@ def _totals(rows: DataFrame, fits: Fits, norms: bool) -> list:
                  **{name: pa.array([Decimal(v[i]) for v in kept.values()], pa.decimal128(38, 0)) for i, name in enumerate(names)}})
 
     kind = "k int, s int, c int, " + ", ".join(f"{x} decimal(38,0)" for x in ("n", *xs, "t"))
-    parts = ship(rows).select(*xs).mapInArrow(run, kind)
-    return parts.groupBy("k", "s", "c").agg(*[F.sum(x).alias(x) for x in ("n", *xs, "t")]).collect()  # k rows a fit
+    found: dict = {}
+    for r in ship(rows).select(*xs).mapInArrow(run, kind).collect():  # k rows a fit and task
+        key, new = (r["k"], r["s"], r["c"]), [int(r[x]) for x in ("n", *xs, "t")]
+        found[key] = [a + b for a, b in zip(found[key], new, strict=True)] if key in found else new
+    return found
 
 
 def sums(rows: DataFrame, fits: Fits) -> dict[tuple[int, int, int], tuple[int, list[int], int]]:
     """Rows, coordinate sums and squared distances of every cluster of every fit, in one pass: {(k, start, c): (n, sums, cost)}."""
-    xs = coordinates(rows)
-    return {(r["k"], r["s"], r["c"]): (int(r["n"]), [int(r[x]) for x in xs], int(r["t"])) for r in _totals(rows, fits, False)} if fits and xs else {}
+    return {key: (n, totals, cost) for key, (n, *totals, cost) in _totals(rows, fits, False).items()} if fits and coordinates(rows) else {}
 
 
 def lloyd(rows: DataFrame, ks: Iterable[int] = (3,), starts: int = 3, iterations: int = 20) -> tuple[Fits, dict[tuple[int, int], int]]:
@@ -220,9 +243,9 @@ def labelled(rows: DataFrame, centres: list[Centre]) -> DataFrame:
 
 def moments(rows: DataFrame, fits: Fits) -> dict[tuple[int, int], dict[int, tuple[float, list[float], float]]]:
     """Rows, coordinate sums and sum of squared norms of every cluster of every fit, in one pass."""
-    xs, out = coordinates(rows), {f: {} for f in fits}
-    for r in _totals(rows, fits, True):
-        out[r["k"], r["s"]][r["c"]] = (float(r["n"]), [float(r[x]) for x in xs], float(r["t"]))
+    out = {f: {} for f in fits}
+    for (k, s, c), (n, *totals, squares) in sorted(_totals(rows, fits, True).items()):
+        out[k, s][c] = (float(n), [float(x) for x in totals], float(squares))
     return out
 
 

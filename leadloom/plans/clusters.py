@@ -1,5 +1,6 @@
 """Clustering queries, and SQL that repeats their steps: the same seeds, sums and roundings."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leadloom import dictionaries as D
@@ -122,20 +123,25 @@ FROM (SELECT c, {O.eavg('unified_score', 6)} AS u, {O.eavg('tier_weight', 6)} AS
 # --- three clusters of profiles ---------------------------------------------
 def _points(spark, sf):
     features = staged(RP.E.features(RP.leads(spark, sf)), "features")
-    return features, K.points(C.impute_scale(features, C.FEATURES), "profile_key", BATCHES)
+    return K.feature_points(features, C.FEATURES, "profile_key", BATCHES, ["unified_score"])
 
 
 def _three(spark, sf):
-    features, rows = _points(spark, sf)
-    return features, rows, K.fit(rows, 3, STARTS, ITERATIONS)
+    rows = _points(spark, sf)
+    return rows, K.fit(rows, 3, STARTS, ITERATIONS)
+
+
+def small_frame(spark, kinds, rows):
+    """A few rows of the driver, as Arrow columns: no Python task makes them."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}))
 
 
 def centres_frame(spark, rows, centres):
     """One row per centre: its number, rows, squared distances and coordinates."""
     found = K.sums(rows, {(len(centres), 0): centres})
     out = [(n, *found.get((len(centres), 0, n), (0, None, 0))[::2], *centre) for n, centre in enumerate(centres)]
-    return spark.createDataFrame([(a, b, str(d), *xs) for a, b, d, *xs in out],
-                                 "cluster_raw LONG, n LONG, cost STRING, " + ", ".join(f"{x} LONG" for x in XS))
+    return small_frame(spark, {"cluster_raw": pa.int64(), "n": pa.int64(), "cost": pa.string()} | dict.fromkeys(XS, pa.int64()),
+                       [(a, b, str(d), *xs) for a, b, d, *xs in out])
 
 
 _CENTRES = """SELECT CAST(m.c AS BIGINT) AS cluster_raw, count(t.key) AS n, CAST(coalesce(sum(t.d), 0) AS VARCHAR) AS cost, """ + ", ".join(f"m.{x}" for x in XS)
@@ -144,13 +150,13 @@ _CENTRES = """SELECT CAST(m.c AS BIGINT) AS cluster_raw, count(t.key) AS n, CAST
 @query("ml3_kmeans_3", steps(THREE, f"{_CENTRES} FROM centres m LEFT JOIN own t ON m.c = t.c GROUP BY ALL"))
 def ml3_kmeans_3(spark, sf):
     """Centres, sizes and costs of three clusters."""
-    _, rows, centres = _three(spark, sf)
+    rows, centres = _three(spark, sf)
     return centres_frame(spark, rows, centres)
 
 
 @query("ml3_clusters", steps(THREE, "SELECT key AS profile_key, CAST(c AS INTEGER) AS cluster_raw FROM own"))
 def ml3_clusters(spark, sf):
-    _, rows, centres = _three(spark, sf)
+    rows, centres = _three(spark, sf)
     return K.labelled(rows, centres).select(c("key").alias("profile_key"), "cluster_raw")
 
 
@@ -161,7 +167,7 @@ _SILHOUETTE = [*LLOYD, *silhouette_sql("{o_points}")]
                                + " AS silhouette FROM score GROUP BY c"))
 def ml4_silhouette(spark, sf):
     """Mean silhouette of each cluster."""
-    _, rows, centres = _three(spark, sf)
+    rows, centres = _three(spark, sf)
     out = K.silhouette_rows(rows, {3: centres}).groupBy(c("c3").cast("long").alias("cluster_raw")).agg(
         F.count("*").alias("n"), F.sum(c("s3").cast("decimal(20,12)")).alias("total"))
     return out.select("cluster_raw", "n", F.round((c("total").cast("double") / c("n")).cast("decimal(38,10)"), 6).cast("double").alias("silhouette"))
@@ -169,13 +175,13 @@ def ml4_silhouette(spark, sf):
 
 @query("ml4_silhouette_value", steps(_SILHOUETTE, "SELECT CAST(k AS INTEGER) AS k, silhouette FROM scores"))
 def ml4_silhouette_value(spark, sf):
-    _, rows, centres = _three(spark, sf)
-    return spark.createDataFrame(list(K.silhouettes(rows, {3: centres}).items()), "k INT, silhouette DOUBLE")
+    rows, centres = _three(spark, sf)
+    return small_frame(spark, {"k": pa.int32(), "silhouette": pa.float64()}, list(K.silhouettes(rows, {3: centres}).items()))
 
 
 def _ranked(spark, sf):
-    features, rows, centres = _three(spark, sf)
-    both = K.with_cluster(features, "profile_key", K.labelled(rows, centres))
+    rows, centres = _three(spark, sf)
+    both = K.labelled(rows, centres).withColumnRenamed("key", "profile_key")
     means = both.groupBy("cluster_raw").agg(K.exact_avg(c("unified_score"), 6).alias("mean"))
     ranks = means.select("cluster_raw", (F.row_number().over(C.Window.partitionBy(F.lit(1)).orderBy("mean", "cluster_raw")) - 1).alias("cluster"))  # k rows
     return both.join(F.broadcast(ranks), "cluster_raw").withColumn("cluster_label", C.cluster_label(c("cluster")))
@@ -196,14 +202,15 @@ def ml5_ranked_profiles(spark, sf):
 # --- personas of contacts -----------------------------------------------------
 def _points_v3(spark, sf):
     scored = PC.scored(spark, sf).select("lead_key", "unified_score", "source_tier", "source_count", "source_weight", "province", "uid")
-    features = staged(C.features_v3(staged(scored, "scored"), "province"), "features")  # read for the province codes too
-    return features, K.points(C.impute_scale(features, C.FEATURES_V3), "lead_key", BATCHES)
+    features = C.features_v3(staged(scored, "scored"), "province")  # a few lookups a row, read twice
+    return K.feature_points(features, C.FEATURES_V3, "lead_key", BATCHES, ["unified_score", "tier_weight", "source_count"])
 
 
 @query("ml7_choose_k", steps(MINI, "SELECT CAST(s.k AS INTEGER) AS k, silhouette, chosen.k IS NOT NULL AS chosen FROM scores s LEFT JOIN chosen ON s.k = chosen.k"))
 def ml7_choose_k(spark, sf):
-    _, scores = K.fit_best(_points_v3(spark, sf)[1], KS, BATCHES, EPOCHS)
-    return spark.createDataFrame([(k, v, k == K.best_k(scores)) for k, v in scores.items()], "k INT, silhouette DOUBLE, chosen BOOLEAN")
+    _, scores = K.fit_best(_points_v3(spark, sf), KS, BATCHES, EPOCHS)
+    return small_frame(spark, {"k": pa.int32(), "silhouette": pa.float64(), "chosen": pa.bool_()},
+                       [(k, v, k == K.best_k(scores)) for k, v in scores.items()])
 
 
 @query("ml7_silhouettes", steps(MINI, "SELECT CAST(k AS INTEGER) AS k, silhouette FROM scores"))
@@ -214,13 +221,13 @@ def ml7_silhouettes(spark, sf):
 @query("ml8_final_fit", steps(MINI, f"{_CENTRES} FROM centres m JOIN chosen USING (k) LEFT JOIN mine t ON m.c = t.c GROUP BY ALL"))
 def ml8_final_fit(spark, sf):
     """Mini-batch centres for the chosen k, with their rows and costs over all contacts."""
-    _, rows = _points_v3(spark, sf)
+    rows = _points_v3(spark, sf)
     return centres_frame(spark, rows, K.fit_best(rows, KS, BATCHES, EPOCHS)[0])
 
 
 def _best(spark, sf):
-    features, rows = _points_v3(spark, sf)
-    return K.with_cluster(features, "lead_key", K.labelled(rows, K.fit_best(rows, KS, BATCHES, EPOCHS)[0]))
+    rows = _points_v3(spark, sf)
+    return K.labelled(rows, K.fit_best(rows, KS, BATCHES, EPOCHS)[0]).withColumnRenamed("key", "lead_key")
 
 
 @query("ml8_clusters", steps(MINI, "SELECT f.lead_key, CAST(c AS INTEGER) AS cluster_raw FROM mine JOIN {o_features_v3} f ON CAST(f.lead_key AS VARCHAR) = mine.key"))

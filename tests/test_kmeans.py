@@ -143,3 +143,33 @@ def test_sums_are_exact_past_64_bits(spark):
     far = frame(spark, [(150_000.0, 0.0)] * 3 + [(-150_000.0, 0.0)] * 2)
     assert K.sums(far, {(1, 0): [(0, 0)]}) == {(1, 0, 0): (5, [1_500_000_000, 0], 5 * 1_500_000_000 ** 2)}
     assert 5 * 1_500_000_000 ** 2 > 2 ** 63
+
+
+def test_a_pass_is_one_stage_without_a_shuffle(spark):
+    rows = spark.range(3000).selectExpr("CAST(id AS STRING) AS key", "id % 50 * 1000 AS x0", "id % 7 * 1000 AS x1", "0 AS batch").repartition(6)
+    rows.write.mode("overwrite").parquet(path := K.new_dir(spark, "pass"))
+    rows, tracker = spark.read.parquet(path), spark.sparkContext.statusTracker()
+    centres = {(2, 0): [(0, 0), (40000, 3000)]}
+    K.sums(rows, centres)
+    spark.sparkContext.setJobGroup("pass", "k-means passes")
+    try:
+        found = K.sums(rows, centres)
+        K.farthest(rows, {0: [(0, 0)]})
+        jobs = tracker.getJobIdsForGroup("pass")
+        assert [len(tracker.getJobInfo(j).stageIds) for j in jobs] == [1, 1]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(n for n, _, _ in found.values()) == 3000
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_feature_points_equal_scaled_vectors(spark, missing):
+    from leadloom.operators import cluster as C
+
+    table = spark.range(400).selectExpr("CAST(id AS STRING) AS key", f"CASE WHEN id % 9 = 4 AND {missing} THEN NULL ELSE CAST(id % 13 AS DOUBLE) END AS a",
+                                        "CAST(id % 5 AS DOUBLE) / 3 AS b", "1.0D AS c")
+    rows = K.feature_points(table, ["a", "b", "c"], "key", 4, ["a"])
+    want = {r["key"]: tuple(r)[1:] for r in K.points(C.impute_scale(table, ["a", "b", "c"]), "key", 4).collect()}
+    got = {r["key"]: (r["x0"], r["x1"], r["x2"], r["batch"]) for r in rows.collect()}
+    assert got == want and len(got) == 400
+    assert {r["key"]: r["a"] for r in rows.collect()} == {r["key"]: r["a"] for r in table.collect()}
