@@ -16,6 +16,9 @@ from leadloom.session import staged
 
 STATUSES = ("valid", "duplicate", "missing_contact", "invalid_phone")
 
+#: Columns of keyed rows that golden contacts and their files are made of.
+MERGED = ("lead_key", "reject", "phone", "email", "name", "uid", "link", "address", "file_name", "pos", "file_date", "raw_note", "raw_source")
+
 
 def clean(raw: DataFrame) -> DataFrame:
     """Cleaned columns next to the raw ones; one row per input row."""
@@ -234,10 +237,13 @@ def merge_duplicates(duplicates: DataFrame, contacts: DataFrame, stored_files: D
         (F.col("source_count") + F.coalesce("new_files", F.lit(0))).alias("source_count"))
 
 
-def upsert(old: DataFrame, old_files: DataFrame, new: DataFrame, new_files: DataFrame) -> DataFrame:
-    """Golden contacts of a new batch merged into the stored ones (one row per key each)."""
-    sources = (old_files.unionByName(new_files).distinct()
-               .groupBy("lead_key").agg(F.count("*").alias("n_files")))
+def upsert(old: DataFrame, old_files: DataFrame | None, new: DataFrame, new_files: DataFrame) -> DataFrame:
+    """Golden contacts of a new batch merged into the stored ones (one row per key each).
+
+    Without ``old_files``, ``new_files`` are the distinct files of both.
+    """
+    files = new_files if old_files is None else old_files.unionByName(new_files).distinct()
+    sources = files.groupBy("lead_key").agg(F.count("*").alias("n_files"))
     o, n = old.alias("o"), new.alias("n")
 
     stored = F.col("o.lead_key").isNotNull()

@@ -82,7 +82,8 @@ class ContactStore:
         return None if version is None else self.rows("keys", version, self.touched(keyed))
 
     # --- writing -----------------------------------------------------------
-    def _write(self, manifest: dict, table: str, rows: DataFrame, run: str, touched: list[int]) -> None:
+    def _write(self, manifest: dict, table: str, rows: DataFrame, run: str, touched: list[int]) -> DataFrame:
+        """Write the rows of the touched buckets and name their folders in the manifest; returns the written rows."""
         folder = f"{table}/{run}"
         placed = rows.withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket")  # splits large buckets, joins small ones
         placed.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
@@ -91,6 +92,7 @@ class ContactStore:
             manifest["folders"][table].pop(str(bucket), None)
             if self._fs.exists(self._folder(f"{self.path}/{folder}/_bucket={bucket}")):
                 manifest["folders"][table][str(bucket)] = f"{folder}/_bucket={bucket}"
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
 
     def merge(self, contacts: DataFrame, files: DataFrame, version: str, base: str | None = None) -> None:
         """Publish ``version``: the contacts of ``base`` (None: an empty store) and a batch of golden contacts and their files.
@@ -101,9 +103,9 @@ class ContactStore:
         manifest, run = self._manifest(base), f"{version}-{uuid.uuid4().hex[:12]}"
         touched = self.touched(contacts)
         old, old_files = (None if base is None else self.rows(t, base, touched) for t in ("contacts", "files"))
-        merged, merged_files = (contacts, files) if old is None else (
-            R.upsert(old, old_files, contacts, files), old_files.unionByName(files).distinct())
-        self._write(manifest, "files", merged_files.filter("lead_key IS NOT NULL"), run, touched)
+        merged_files = files if old is None else old_files.unionByName(files).distinct()
+        written = self._write(manifest, "files", merged_files.filter("lead_key IS NOT NULL"), run, touched)
+        merged = contacts if old is None else R.upsert(old, None, contacts, written)
         self._write(manifest, "contacts", merged.filter("lead_key IS NOT NULL"), run, touched)
         keys = R.history_keys(contacts)
         touched = self.touched(keys)
@@ -134,5 +136,5 @@ class ContactStore:
 
 def merge_batch(store: ContactStore, raw: DataFrame, version: str) -> None:
     """Clean a batch of raw contact rows and merge it as ``version`` on the one before; repeating it replaces its own."""
-    keyed = staged(R.lead_keys(R.clean(raw)), "keyed")
+    keyed = staged(R.lead_keys(R.clean(raw)).filter("lead_key IS NOT NULL").select(*R.MERGED), "keyed")
     store.merge(staged(R.golden(keyed), "golden"), staged(R.golden_files(keyed), "files"), version, store.before(version))

@@ -95,3 +95,32 @@ def test_empty_batches(spark, tmp_path, many):
     merge_batch(store, many, "2")
     merge_batch(store, many.limit(0), "3")
     assert content(store.contacts("3")) == content(store.contacts("2"))
+
+
+def test_a_batch_stages_only_what_is_merged(spark, tmp_path, many, monkeypatch):
+    from leadloom import store as S
+
+    seen = {}
+    monkeypatch.setattr(S, "staged", lambda df, label: seen.setdefault(label, df))
+    S.merge_batch(ContactStore(spark, str(tmp_path / "s"), 4), many, "1")
+    assert set(seen["keyed"].columns) == set(R.MERGED) and not {"raw_phone", "raw_name", "raw_email"} & set(seen["keyed"].columns)
+    assert seen["keyed"].filter("lead_key IS NULL").count() == 0
+
+
+def test_contact_rows_are_made_once_for_all_landings(spark, monkeypatch):
+    from leadloom.plans import streams as ST
+
+    made, raw = spark.sparkContext.accumulator(0), ST.PC.raw
+
+    def counted(spark, sf):
+        rows = raw(spark, sf)
+
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+        return rows.mapInArrow(run, rows.schema)
+
+    monkeypatch.setattr(ST.PC, "raw", counted)
+    stored = ST.str1_incremental_ingest(spark, "/root/testdata/sf0.001").count()
+    assert stored and made.value == raw(spark, "/root/testdata/sf0.001").count()
