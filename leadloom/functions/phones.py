@@ -19,7 +19,8 @@ _SIGNED_EXPONENT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-][0-9]+$"
 def _whole_number(text: Column, form: str) -> Column:
     """Undo the float / scientific text of spreadsheet cells: 9.1E+08 -> 910000000."""
     whole = F.coalesce(text.try_cast("double").try_cast("bigint").cast("string"), F.lit(""))
-    return F.when(text.rlike(form), whole).otherwise(text)
+    marked = text.contains(".") | text.contains("e") | text.contains("E")  # every form has one of them
+    return F.when(marked & text.rlike(form), whole).otherwise(text)
 
 
 def mobile_body(phone: Column, prefixes: list[str] | None = None) -> Column:

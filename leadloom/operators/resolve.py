@@ -5,6 +5,7 @@ of one key: first-seen is an aggregate joined back on (key, file, position),
 and the merge is built from aggregates with map-side combine.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ STATUSES = ("valid", "duplicate", "missing_contact", "invalid_phone")
 MERGED = ("lead_key", "reject", "phone", "email", "name", "uid", "link", "address", "file_name", "pos", "file_date", "raw_note", "raw_source")
 
 
+#: Bits of a word, and the most files that golden contacts count by bits.
+FILE_BITS, COUNTED_FILES = 63, 8 * 63
+
+
 def clean(raw: DataFrame) -> DataFrame:
     """Cleaned columns next to the raw ones; one row per input row."""
     once = computed_once(raw, {
@@ -134,46 +139,60 @@ def golden(keyed: DataFrame, files: DataFrame | None = None) -> DataFrame:
     tier, the longest address, the number of distinct files.  E-mail-only
     contacts keep their first row.
 
-    Rows are merged per key and file first, where the position alone orders
-    them, and these then per key: no value carries its file along, and files
-    are classified and counted on the merged rows.
+    ``files`` names all files of the rows.  Up to ``COUNTED_FILES`` of them are
+    numbered in the order of their names: rows are merged per key at once, a
+    number stands for the file, and a contact's files are the bits of a few
+    words.  Of more files, rows are merged per key and file first, and these
+    then per key.
     """
     alone = F.col("phone").isNull()
     filled = ("email", "name", "uid", "link")
+    tiers = file_tiers(keyed if files is None else files)
+    named = sorted((tuple(r) for r in tiers.filter("file_name IS NOT NULL").limit(COUNTED_FILES + 1).collect()))
+    rows = keyed.filter("lead_key IS NOT NULL")
 
     def first(cond: Column | None, *cells) -> Column:
         """The least struct: the value of its last fields in the order of its first ones."""
         return F.min(F.struct(*cells) if cond is None else F.when(cond, F.struct(*cells)))
 
-    def kept(name: str) -> Column:
-        value = F.coalesce(F.col(name), F.lit(""))
-        return first((value != "") | alone, "pos", value.alias("v")).alias(name)
-
-    widest = F.when(alone, 0).otherwise(-F.length("address"))
-    per_file = keyed.filter("lead_key IS NOT NULL").groupBy("lead_key", "file_name").agg(
-        F.max("phone").alias("phone"), *[kept(name) for name in filled],
-        first(None, widest.alias("n"), "pos", "address").alias("address"),
-        first(None, "pos", "raw_note", "raw_source").alias("head"),
-        F.max("file_date").alias("file_date"))
-    tiered = join_dimension(per_file, file_tiers(keyed if files is None else files), "file_name", ["lead_key"])
-    best = F.when(alone, 0.0).otherwise(-F.col("source_weight"))
-    merged = tiered.groupBy("lead_key").agg(
-        F.max("phone").alias("phone"),
-        *[first(F.col(name).isNotNull(), "file_name", F.col(name)["v"].alias("v")).alias(name) for name in filled],
-        first(None, F.col("address")["n"].alias("n"), "file_name", F.col("address")["address"].alias("v")).alias("address"),
-        first(None, best.alias("w"), "file_name", "source_tier", "source_weight").alias("best"),
-        first(None, "file_name", "head").alias("first"),
-        F.count("file_name").alias("n_files"),
-        F.max("file_date").alias("latest_file_date"))
+    def cells(at: str) -> list[Column]:
+        values = {name: F.coalesce(F.col(name), F.lit("")) for name in filled}
+        widest = F.when(alone, 0).otherwise(-F.length("address"))
+        return [F.max("phone").alias("phone"), *[first((v != "") | alone, at, "pos", v.alias("v")).alias(name) for name, v in values.items()],
+                first(None, widest.alias("n"), at, "pos", F.col("address").alias("v")).alias("address"),
+                first(None, at, "pos", "raw_note", "raw_source").alias("head"),
+                first(None, at).alias("file"), F.max("file_date").alias("latest_file_date")]
+
+    best = F.when(alone, 0.0).otherwise(-F.col("source_weight")).alias("w")
+    if len(named) <= COUNTED_FILES:
+        at, words = "_file", range(0, max(len(named), 1), FILE_BITS)
+        numbers = pa.table({"file_name": pa.array([n for n, _, _ in named], pa.string()), at: pa.array(range(len(named)), pa.int32()),
+                            "source_weight": pa.array([w for _, _, w in named], pa.float64())})
+        listed = rows.join(F.broadcast(keyed.sparkSession.createDataFrame(numbers)), "file_name", "left")
+        seen = [F.bit_or(F.when(F.col(at).between(w, w + FILE_BITS - 1), F.expr(f"shiftleft(1L, {at} - {w})"))) for w in words]
+        merged = listed.groupBy("lead_key").agg(*cells(at), first(None, best, at).alias("best"), *[bits.alias(f"_seen{i}") for i, bits in enumerate(seen)])
+        n_files = sum((F.coalesce(F.bit_count(f"_seen{i}"), F.lit(0)) for i in range(1, len(seen))), F.coalesce(F.bit_count("_seen0"), F.lit(0))).cast("bigint")
+
+        def listed_as(i: int, number: str) -> Column:
+            return F.get(F.array(*[F.lit(f[i]) for f in named]), F.col(number)) if named else F.lit(None)
+
+        file_source, tier, weight = listed_as(0, f"file.{at}"), listed_as(1, f"best.{at}"), listed_as(2, f"best.{at}")
+    else:
+        at = "file_name"
+        per_file = rows.groupBy("lead_key", at).agg(*cells(at))
+        merged = join_dimension(per_file, tiers, at, ["lead_key"]).groupBy("lead_key").agg(
+            *[F.max(x).alias(x) for x in ("phone", "latest_file_date")], *[F.min(x).alias(x) for x in (*filled, "address", "head", "file")],
+            first(None, best, at, "source_tier", "source_weight").alias("best"), F.count(at).alias("n_files"))
+        n_files, file_source, tier, weight = (F.col(x) for x in ("n_files", f"file.{at}", "best.source_tier", "best.source_weight"))
     return merged.select(
         "lead_key", "phone", *[F.coalesce(F.col(name)["v"], F.lit("")).alias(name) for name in filled],
         F.col("address")["v"].alias("address"),
-        F.col("best.source_tier").alias("source_tier"),
-        F.col("best.source_weight").alias("source_weight"),
-        F.when(F.col("phone").isNull(), F.lit(1).cast("bigint")).otherwise(F.col("n_files")).alias("source_count"),
-        "latest_file_date", F.col("first.file_name").alias("file_source"),
-        F.coalesce("first.head.raw_note", F.lit("")).alias("note"),
-        F.coalesce("first.head.raw_source", F.lit("")).alias("source"))
+        tier.cast("string").alias("source_tier"),
+        weight.cast("double").alias("source_weight"),
+        F.when(F.col("phone").isNull(), F.lit(1).cast("bigint")).otherwise(n_files).alias("source_count"),
+        "latest_file_date", file_source.cast("string").alias("file_source"),
+        F.coalesce("head.raw_note", F.lit("")).alias("note"),
+        F.coalesce("head.raw_source", F.lit("")).alias("source"))
 
 
 def golden_names(keyed: DataFrame) -> DataFrame:

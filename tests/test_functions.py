@@ -126,3 +126,35 @@ def test_sql_functions(spark):
         got = spark.sql(f"SELECT v, {name}(v) AS r FROM sql_values").collect()
         want = spark.table("sql_values").select("v", fn(F.col("v")).alias("r")).collect()
         assert got == want, name
+
+
+def test_short_cuts_of_cleaning_change_nothing(spark):
+    """Texts that need no regular expression are told by cheaper tests, with the same results."""
+    from leadloom import dictionaries as D
+    from leadloom.functions import phones as P
+
+    odd = [None, "", " ", "nan", "NaN ", " nan\n", "nan\r\n", "nan\u2028", "nanx", "nan nan", "  a  b ", "a\tb", "a\nb\x0bc\fd\re", "\u00a0a\u00a0 b", "N/A", "none", "İ", "Lê  Văn",
+           "9.1E+08", "910000000.0", "+84.5e3", "84 910 000 000", "0910-000.000", "1e5", "E5", ".5", "5.", "09e", "0910000000"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id INT, t STRING")
+    t, raw = F.col("t"), F.coalesce(F.col("t"), F.lit(""))
+    blank = F.nullif(F.regexp_replace(F.trim(t), "(?i)^nan$", ""), F.lit(""))
+    name = F.when(F.lower(raw).isin(D.NULL_NAME_WORDS), F.lit("")).otherwise(F.initcap(F.trim(F.regexp_replace(raw, r"\s+", " "))))
+    whole = F.coalesce(t.try_cast("double").try_cast("bigint").cast("string"), F.lit(""))
+    want = rows.select("id", blank, name, *[F.when(t.rlike(form), whole).otherwise(t) for form in (P._FLOAT_TEXT, P._SIGNED_EXPONENT)])
+    got = rows.select("id", T.blank_to_null(t), T.name_clean(t), *[P._whole_number(t, form) for form in (P._FLOAT_TEXT, P._SIGNED_EXPONENT)])
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [tuple(r) for r in want.orderBy("id").collect()]
+
+
+def test_province_is_the_first_name_of_the_list(spark):
+    from leadloom import dictionaries as D
+
+    def plain(place):
+        for label, words in D.PROVINCE_PRIORITY:
+            if any(w in place for w in words):
+                return label
+        return next((D.PROVINCE_ALIASES.get(n, n) for n in D.PROVINCE_NAMES if n.lower() in place), "Unknown")
+
+    places = ["", "12 lê lợi", "tp hcm", *[n.lower() for n in D.PROVINCE_NAMES], *[f"{a.lower()}, {b.lower()}" for a, b in zip(D.PROVINCE_NAMES, D.PROVINCE_NAMES[7:] + D.PROVINCE_NAMES[:7])]]
+    rows = spark.createDataFrame([(p,) for p in places], "p STRING")
+    assert {r[0]: r[1] for r in rows.select("p", T.province_in("p")).collect()} == {p: plain(p) for p in places}
+    assert rows.select(T.province_in("p"))._jdf.queryExecution().optimizedPlan().toString().count("Contains") <= 1

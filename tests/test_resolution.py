@@ -155,3 +155,37 @@ def test_people_scores_equal_those_of_all_interactions(spark):
     pad = {"keyword": F.lit(None).cast("string")}
     every, one = (E.hot_by_profile(E.match_hot_leads(hot, people)) for hot in (E.social_hot_leads(table, "2024-01-31"), E.social_hot_uids(table, "2024-01-31").withColumns(pad)))
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, one.collect())) and every.count() == 8
+
+
+def test_contacts_are_merged_in_one_shuffle(spark, monkeypatch):
+    """Rows go to their key once, with their files as numbers; many files, or more than one word of them, give the same contacts."""
+    files = [f"file {i * 37 % 101:03d} {w}.csv" for i, w in zip(range(101), ["Techcombank", "Audi Lexus", "gym", "mobifone"] * 26)]
+    rows = [(files[i * 29 % 101] if i % 50 else None, i, ["", "an", "binh  le", "nan"][i % 4], f"09123456{i % 40 + 10}" if i % 9 else "", f"u{i % 13}@x.vn" if i % 3 else "",
+             ["", "Huế", "12 Lê Lợi, Huế"][i % 3], f"s{i}", "", f"n{i}", ["", f"u{i}"][i % 2], "", None) for i in range(1500)]
+    keyed = R.lead_keys(R.clean(spark.createDataFrame(rows, SCHEMA)))
+    once = R.golden(keyed)
+    assert once._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("hashpartitioning(lead_key") == 1
+    monkeypatch.setattr(R, "COUNTED_FILES", 0)
+    by_file = R.golden(keyed)
+    assert by_file._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("hashpartitioning(lead_key") == 2
+    assert once.dtypes == by_file.dtypes
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, by_file.collect()))
+    assert max(r["source_count"] for r in once.collect()) > 20
+    monkeypatch.undo()
+    assert R.golden(keyed.filter("false")).collect() == []
+
+
+def test_scoring_contacts_stays_below_the_compiled_size(spark, sf_dir):
+    """Java compiles no method of more than 8,000 bytes."""
+    import re
+
+    from leadloom.plans import contacts as PC
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scored = PC.scored(spark, sf_dir).select("lead_key", "unified_score", "source_tier", "source_count", "source_weight", "province", "uid")
+        code = spark._jvm.PythonSQLUtils.explainString(scored._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
