@@ -22,10 +22,9 @@ def behavior_weight(behavior: Column) -> Column:
     return out
 
 
-def _points(as_of: str) -> Column:
+def _points(recent: Column) -> Column:
     """Points of an interaction: behaviour weights, recent ones counted 1.5 times."""
-    return (behavior_weight(F.col("behavior")) * F.when(
-        DT.within_days(F.col("ts"), as_of), F.lit(RECENT_FACTOR)).otherwise(F.lit(1.0))).cast("decimal(20,4)")
+    return (behavior_weight(F.col("behavior")) * F.when(recent, F.lit(RECENT_FACTOR)).otherwise(F.lit(1.0))).cast("decimal(20,4)")
 
 
 def _hot_score(points: Column) -> Column:
@@ -34,7 +33,7 @@ def _hot_score(points: Column) -> Column:
 
 def interaction_scores(interactions: DataFrame, as_of: str) -> DataFrame:
     """Hot score per uid: behaviour weights, recent ones counted 1.5 times, at most 10."""
-    return interactions.groupBy("uid").agg(_hot_score(_points(as_of)))
+    return interactions.groupBy("uid").agg(_hot_score(_points(DT.within_days(F.col("ts"), as_of))))
 
 
 def social_hot_leads(interactions: DataFrame, as_of: str) -> DataFrame:
@@ -50,14 +49,16 @@ def social_hot_leads(interactions: DataFrame, as_of: str) -> DataFrame:
 def social_hot_uids(interactions: DataFrame, as_of: str) -> DataFrame:
     """The same reduced to one row per uid, which is all that profiles need: its score and its first behaviour.
 
-    Rows are reduced per uid and behaviour first, by numbers only, so that one
-    hash aggregation reads them and no row is sorted or carried as a whole.
+    Rows are counted per uid and behaviour first, by numbers only, so that one
+    hash aggregation reads them and no row is sorted or carried as a whole; points
+    are made of the counts.
     """
     kinds = interactions.filter("uid <> ''").groupBy("uid", "behavior").agg(
-        F.sum(_points(as_of)).alias("_points"), F.min("event_id").alias("_seq"))
+        F.count("*").alias("_n"), F.count_if(DT.within_days(F.col("ts"), as_of)).alias("_recent"), F.min("event_id").alias("_seq"))
+    points = _points(F.lit(True)) * F.col("_recent") + _points(F.lit(False)) * (F.col("_n") - F.col("_recent"))
     named = F.struct("_seq", "behavior")
     firsts = kinds.groupBy("uid").agg(
-        _hot_score(F.col("_points")), F.min("_seq").alias("_any"), F.min(F.when(F.col("behavior") != "", named)).alias("_first"))
+        _hot_score(points), F.min("_seq").alias("_any"), F.min(F.when(F.col("behavior") != "", named)).alias("_first"))
     return (firsts.filter(F.col("hot_score") >= STALE_BELOW)
             .select(F.lit("facebook").alias("source"), F.coalesce("_first._seq", "_any").alias("seq"), "uid",
                     F.lit(None).cast("string").alias("phone"), F.coalesce("_first.behavior", F.lit("")).alias("behavior"), "hot_score"))
@@ -73,11 +74,11 @@ def listing_scores(listings: DataFrame) -> DataFrame:
     scored = F.lit(BASE_LISTING_SCORE) + (F.count("*") - 1) * F.lit(LISTING_STEP)
     phones = listings.filter("phone IS NOT NULL").groupBy("phone").agg(
         half_up(F.least(scored, F.lit(LISTING_CAP)), 2).alias("hot_score"),
-        F.count("*").alias("listings"),
-        F.min_by(F.struct("id", "keyword", "source_url", "scraped_at"), "id").alias("first"))
+        F.count("*").alias("listings"), F.min("id").alias("id"),
+        F.min_by(F.struct("keyword", "source_url", "scraped_at"), "id").alias("first"))
     # a number is judged once, not in each of its listings
     judged = computed_once(phones, {"_valid": P.phone_e164(F.col("phone")).isNotNull()})
-    return judged.filter("_valid").select("phone", "hot_score", "listings", "first.*")
+    return judged.filter("_valid").select("phone", "hot_score", "listings", "id", "first.*")
 
 
 def listing_hot_leads(listings: DataFrame) -> DataFrame:

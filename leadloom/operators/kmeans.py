@@ -29,6 +29,8 @@ Fits = dict[tuple[int, int], list[Centre]]  # centres by (k, start)
 
 def batch_of(key: Column, batches: int) -> Column:
     """Seeded batch of a row: a number any engine can compute from the key."""
+    if batches == 1:
+        return F.lit(0)
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 6), 16, 10).cast("long") % batches).cast("int")
 
 

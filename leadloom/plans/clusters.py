@@ -122,8 +122,8 @@ FROM (SELECT c, {O.eavg('unified_score', 6)} AS u, {O.eavg('tier_weight', 6)} AS
 
 # --- three clusters of profiles ---------------------------------------------
 def _points(spark, sf):
-    features = staged(RP.E.features(RP.leads(spark, sf)), "features")
-    return K.feature_points(features, C.FEATURES, "profile_key", BATCHES, ["unified_score"])
+    features = staged(RP.features(spark, sf), "features")
+    return K.feature_points(features, C.FEATURES, "profile_key", keep=["unified_score"])  # full passes
 
 
 def _three(spark, sf):

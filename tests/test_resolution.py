@@ -189,3 +189,14 @@ def test_scoring_contacts_stays_below_the_compiled_size(spark, sf_dir):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000
+
+
+def test_feature_tables_hold_no_texts(spark, sf_dir):
+    """The features of profiles are those of the whole leads, but no name, note or keyword is written for them."""
+    from leadloom.operators import enrich as E
+    from leadloom.plans import reports as RP
+
+    few = RP.features(spark, sf_dir)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, E.features(RP.leads(spark, sf_dir)).collect()))
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "phone" in plan and not any(f"{x}#" in plan for x in ("name", "address", "note", "keyword", "source_url", "seen_at"))
